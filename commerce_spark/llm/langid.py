@@ -49,19 +49,23 @@ def features(texts: list[str]) -> np.ndarray:
     return out
 
 
-def _svm(x: np.ndarray, y: np.ndarray, rounds: int = 300, c: float = 10.0) -> tuple[np.ndarray, float]:
+def _svm(x: np.ndarray, y: np.ndarray, rounds: int = 150, c: float = 10.0) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear support vector machine (squared hinge, classes weighed alike); y is +-1."""
-    w, b = np.zeros(x.shape[1]), 0.0
+    used = np.flatnonzero(x.any(axis=0))
+    full, x, y = np.zeros(x.shape[1]), np.ascontiguousarray(x[:, used]), y.astype(np.float32)
+    w, b = np.zeros(x.shape[1], np.float32), np.float32(0)
     vw, vb, turn = w.copy(), b, 1.0
-    each = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
+    each = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
+    turned = np.ascontiguousarray(x.T)
     step = 1.0 / (1.0 + 2 * c * (float((x * x).sum(axis=1).max(initial=0)) + 1))
     for _ in range(rounds):
         slack = np.maximum(0, 1 - y * (x @ vw + vb)) * each * y
-        new_w, new_b = vw - step * (vw - 2 * c * (x.T @ slack)), vb + step * 2 * c * slack.sum()
+        new_w, new_b = vw - np.float32(step) * (vw - np.float32(2 * c) * (turned @ slack)), vb + step * 2 * c * slack.sum()
         new = (1 + (1 + 4 * turn * turn) ** 0.5) / 2
-        vw, vb = new_w + (turn - 1) / new * (new_w - w), new_b + (turn - 1) / new * (new_b - b)
+        vw, vb = new_w + np.float32((turn - 1) / new) * (new_w - w), new_b + (turn - 1) / new * (new_b - b)
         w, b, turn = new_w, new_b, new
-    return w, b
+    full[used] = w
+    return full, float(b)
 
 
 @dataclass
@@ -118,7 +122,7 @@ def _squash(margin: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(3 * margin, -50, 50)))
 
 
-def fit(docs: DataFrame, per_language: int = 300, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
+def fit(docs: DataFrame, per_language: int = 200, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
     """Train on a sample of at most `per_language` rows a language: those whose doc_id hashes lowest.
 
     The bound is this parameter times the number of languages; the sampled rows' features are made from whole

@@ -58,12 +58,13 @@ def timetable(counts: dict) -> dict:
     return slots
 
 
-def schedule(docs: DataFrame, weights: dict | None = None, block_bytes: int = 1 << 16, period: int = 1024, lane_rows: int = 1_000_000, seed: int = 0) -> DataFrame:
+def schedule(docs: DataFrame, weights: dict | None = None, block_bytes: int = 1 << 16, period: int = 1024, lanes: int = 1 << 14, seed: int = 0) -> DataFrame:
     """A row for each time a document is served: doc_id, source, size, epoch, block, slot, place (its start in the block).
 
     weights: target weight of each source (the table of sources is what the driver holds); None: `tempered`
     sizes. Slots run until the last source was served whole once, so every document comes at least once; sources
-    that end sooner start over with the next epoch. Sizes are UTF-8 bytes plus 1. A null source is a source of its
+    that end sooner start over with the next epoch. Sources are ranked in lanes of about 1/`lanes` of all rows (4096 at
+    least), so that a source with a third of all rows is not one group. Sizes are UTF-8 bytes plus 1. A null source is a source of its
     own; null and empty texts have size 1; repeated rows are rows of their own; an empty table gives no rows.
     """
     rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("size"))
@@ -81,6 +82,7 @@ def schedule(docs: DataFrame, weights: dict | None = None, block_bytes: int = 1
         blocks = {k: -(-r["size"] // block_bytes) for k, r in found.items()}
         ends = 1 + max((blocks[k] - 1) // counts[k] * period + slots[k][(blocks[k] - 1) % counts[k]] for k in found)
         served = {k: ends // period * counts[k] + bisect_left(slots[k], ends % period) for k in found}
+        lane_rows = max(4096, -(-sum(r.n for r in found.values()) // lanes))
         plan = [(k, counts[k], blocks[k], served[k], slots[k], -(-r.n // lane_rows)) for k, r in found.items()]
     table = F.broadcast(spark.createDataFrame(plan, schema).withColumnRenamed("source", "name"))
     rows = rows.join(table, rows.source.eqNullSafe(F.col("name"))).drop("name")

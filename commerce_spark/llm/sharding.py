@@ -71,12 +71,12 @@ def fill(counts: dict[int, int], shards: int, vnodes: int, slack: float = 0.0, s
     return out
 
 
-def place(docs: DataFrame, shards: int = 16, vnodes: int = 128, slack: float = 0.0, lane_rows: int = 1_000_000, seed: int = 0) -> DataFrame:
+def place(docs: DataFrame, shards: int = 16, vnodes: int = 128, slack: float = 0.0, lanes: int = 1 << 14, seed: int = 0) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of every row.
 
     Rows of a cell keep the order (hash of the text, doc_id), so equal texts stay together until a shard is full.
-    A cell with over `lane_rows` rows is ranked in lanes dealt by doc_id, so that a text with a third of all rows is not
-    one group. A null text counts as no bytes (size 1, crc32 0); repeated rows get slots of their own; an
+    A cell with over 1/`lanes` of all rows (4096 at least) is ranked in lanes dealt by doc_id, so that a text with a
+    third of all rows is not one group; there are fewer extra lanes than `lanes`. A null text counts as no bytes (size 1, crc32 0); repeated rows get slots of their own; an
     empty table gives no rows.
     """
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
@@ -84,6 +84,7 @@ def place(docs: DataFrame, shards: int = 16, vnodes: int = 128, slack: float = 0
     rows = rows.withColumn("cell", F.shiftrightunsigned("pos", 64 - CELL_BITS).cast("int"))
     counts = {r.cell: r.n for r in rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     spark = docs.sparkSession
+    lane_rows = max(4096, -(-sum(counts.values()) // lanes))
     hot = [(c, -(-n // lane_rows)) for c, n in counts.items() if n > lane_rows]
     rows = rows.join(F.broadcast(spark.createDataFrame(hot, "cell int, lanes int")), "cell", "left")
     rows = rows.withColumn("lane", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("lanes")).cast("int"), F.lit(0))).drop("lanes")

@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, langid, mixing, rpforest, sentencepiece_bpe, sharding, simhash, topk
+from . import htmltext, langid, mixing, rpforest, sentencepiece_bpe, sharding, simhash, sstable, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sstable.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=0)
+
+
 def op8_rpforest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rpforest.classes(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), cosine=0.95)
 

@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, langid, mixing, rpforest, sentencepiece_bpe, sharding, simhash, sstable, topk
+from . import htmltext, langid, mixing, rpforest, sentencepiece_bpe, sharding, simhash, sstable, suffixdedup, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,10 @@ def op8_rpforest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rpforest.classes(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), cosine=0.95)
 
 
+def op9_suffixdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.digest(table(spark, sf_dir, "documents"), length=200)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.place(table(spark, sf_dir, "documents"), shards=16)
     return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -30,67 +30,50 @@ from .common import U64, cut, mix64, pieces
 
 GRAM = 64
 _BYTE = mix64(np.arange(256, dtype=U64) * U64(0x632BE59BD9B4E019) + U64(7))
-_POWER = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3]
-_BASE = 0xD1342543DE82EF95
+_POWER = mix64(np.arange(6, dtype=U64) + U64(99)) | U64(1)  # one for each doubling up to GRAM
+_PLACES = U64((1 << 24) - 1)
 
 
-def _grams(data: np.ndarray, steps: int = 6) -> np.ndarray:
-    """A hash for each substring of 2^steps bytes, by doubling."""
-    with np.errstate(over="ignore"):
-        h = _BYTE[data]
-        for k in range(steps):
-            h = h[: -(1 << k)] * U64(_POWER[k]) + h[1 << k :]
-        return h
-
-
-def _prefix(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums that hash any substring, and the inverse powers that bring them to one scale."""
-    with np.errstate(over="ignore"):
-        n = len(data)
-        up = np.ones(n + 1, U64)
-        up[1:] = U64(_BASE)
-        up = np.multiply.accumulate(up)
-        down = np.ones(n + 1, U64)
-        down[1:] = U64(pow(_BASE, -1, 1 << 64))
-        down = np.multiply.accumulate(down)
-        return np.concatenate(([U64(0)], np.cumsum(_BYTE[data] * up[:n], dtype=U64))), down
+def _grams(data: np.ndarray) -> np.ndarray:
+    """A hash for each substring of GRAM bytes, by doubling."""
+    h = _BYTE[data]
+    k = 1
+    for factor in _POWER:
+        more = h[:-k] * factor
+        more += h[k:]
+        h, k = more, 2 * k
+    return h
 
 
 def runs(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Of the texts data[begin:end]: runs of windows with one anchor, as text, first window, last window, gram, context."""
+    """Of the texts data[begin:end], each of `length` bytes or more: runs of windows with one anchor, as text, first
+    window, last window, gram, context."""
     w = length - GRAM + 1
-    if len(data) < length:
-        return tuple(np.empty(0, np.int64) for _ in range(5))
     h = _grams(data)
     n = len(h)
-    place = np.arange(n, dtype=U64)
-    value = (mix64(h) & ~U64((1 << 24) - 1)) | place
     blocks = -(-n // w)
-    padded = np.full(blocks * w, np.iinfo(U64).max, U64)
-    padded[:n] = value
-    grid = padded.reshape(blocks, w)
+    grid = np.full((blocks, w), np.iinfo(U64).max, U64)
+    value = grid.ravel()
+    np.bitwise_and(h, ~_PLACES, out=value[:n])
+    value[:n] |= np.arange(n, dtype=U64)
     fore = np.minimum.accumulate(grid, axis=1).ravel()
     back = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
     m = len(data) - length + 1
-    anchor = (np.minimum(back[:m], fore[w - 1 : w - 1 + m]) & U64((1 << 24) - 1)).astype(np.int64)
-    text = np.repeat(np.arange(len(begins)), ends - begins)
-    inside = np.zeros(len(data), bool)
-    valid = ends - begins >= length
-    mark = np.zeros(len(data) + 1, np.int64)
-    np.add.at(mark, begins[valid], 1)
-    np.add.at(mark, ends[valid] - length + 1, -1)
-    inside = np.cumsum(mark)[:m] > 0
-    at = np.flatnonzero(inside)
-    if not len(at):
-        return tuple(np.empty(0, np.int64) for _ in range(5))
-    new = np.ones(len(at), bool)
-    new[1:] = (at[1:] != at[:-1] + 1) | (anchor[at[1:]] != anchor[at[:-1]]) | (text[at[1:]] != text[at[:-1]])
-    first = at[new]
-    last = at[np.append(np.flatnonzero(new)[1:] - 1, len(at) - 1)]
-    sums, down = _prefix(data)
-    with np.errstate(over="ignore"):
-        context = mix64((sums[last + length] - sums[first]) * down[first] + (last - first).astype(U64))
-    return text[first], first, last, mix64(h[anchor[first]] + U64(1)).view(np.int64), context.view(np.int64)
+    anchor = np.minimum(back[:m], fore[w - 1 : w - 1 + m])
+    anchor &= _PLACES
+    new = np.ones(m + 1, bool)
+    np.not_equal(anchor[1:], anchor[:-1], out=new[1:m])
+    new[begins] = True
+    new[ends - length + 1] = True
+    at = np.flatnonzero(new)
+    first, last = at[:-1], at[1:] - 1
+    text = np.searchsorted(begins, first, side="right") - 1
+    inside = first <= ends[text] - length
+    first, last, text = first[inside], last[inside], text[inside]
+    context = (last - first).astype(U64)
+    for k in range(-(-(length + w - 1) // GRAM)):  # grams that cover the context
+        context = mix64(context ^ h[np.minimum(first + k * GRAM, last + length - GRAM)])
+    return text, first, last, mix64(h[anchor[first].astype(np.int64)]).view(np.int64), context.view(np.int64)
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -173,7 +156,7 @@ def _ref() -> F.Column:
 
 def _runs(rows: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text", rows=4096, mb=4):
+        for b in pieces(batches, "text", rows=4096, mb=1):
             refs = b.column(0)
             raw = [t.encode() for t in b.column(1).to_pylist()]
             for texts, names, shift in _parts(raw, length):
@@ -188,9 +171,9 @@ def _runs(rows: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(run, "gram long, context long, ref long, at int, size int")
 
 
-def _parts(raw: list[bytes], length: int, most: int = 8 << 20):
-    """The texts in one go, or a very long text alone, in parts that overlap by length - 1 bytes."""
-    short = [i for i, t in enumerate(raw) if len(t) <= most]
+def _parts(raw: list[bytes], length: int, most: int = 4 << 20):
+    """The texts in one go, or a very long text alone, in parts that overlap by length - 1 bytes: texts, their rows, shift."""
+    short = [i for i, t in enumerate(raw) if length <= len(t) <= most]
     if short:
         yield [raw[i] for i in short], np.array(short), 0
     for i, t in enumerate(raw):
@@ -233,7 +216,7 @@ def _only(rows: DataFrame, bits: bytes, held: bool) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
-def spans(docs: DataFrame, length: int = 200, group_bytes: int = 2 << 20) -> DataFrame:
+def spans(docs: DataFrame, length: int = 200, group_bytes: int = 1 << 20) -> DataFrame:
     """ref (see `_ref`) and spans (start, end in bytes, unmerged) of the rows of docs that have repeated strings.
 
     docs: doc_id, text. Occurrences in all rows count, in the same text too; matches never cross texts.

@@ -39,7 +39,7 @@ def _mix(x: int) -> int:
 class Codec:
     """A vocabulary with its merges, a dropout rate, and a bounded cache of chunks by stream."""
 
-    def __init__(self, model_path: str, dropout: float = 0.1, seed: int = 0, streams: int = 8, cache_chunks: int = 400_000):
+    def __init__(self, model_path: str, dropout: float = 0.1, seed: int = 0, streams: int = 4, cache_chunks: int = 400_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
@@ -68,6 +68,7 @@ class Codec:
         self.key = [_mix(_mix(seed & _M) ^ s) for s in range(self.streams)]
         self.room, self.held = cache_chunks, 0
         self.cache: list[dict[str, bytes]] = [{} for _ in range(self.streams)]
+        self.older: list[dict[str, bytes]] = [{} for _ in range(self.streams)]
 
     def _hashed(self, merges: np.ndarray) -> None:
         """An open-addressing table of the merges, for look-ups by arrays."""
@@ -124,9 +125,9 @@ class Codec:
         final = sym.copy()
         if wide < 2:
             return final
-        place = np.broadcast_to(np.arange(wide, dtype=np.int32), sym.shape).copy()
-        made, rank = np.full(sym.shape, -1, np.int32), np.full(sym.shape, NONE, np.int32)
-        made[:, :-1], rank[:, :-1] = self._pairs(sym[:, :-1], sym[:, 1:])
+        place = np.broadcast_to(np.arange(wide, dtype=np.int16), sym.shape).copy()
+        rank = np.full(sym.shape, NONE, np.int32)
+        rank[:, :-1] = self._pairs(sym[:, :-1], sym[:, 1:])[1]
         row, key = np.arange(len(sym)), np.array(self.key, U64)[streams]
         steps = np.arange(wide)
         while len(row):
@@ -135,22 +136,22 @@ class Codec:
             live = rank[mine, at] != NONE
             if not live.all():
                 final[row[~live]] = sym[~live]
-                row, key, sym, place, made, rank, at = row[live], key[live], sym[live], place[live], made[live], rank[live], at[live]
+                row, key, sym, place, rank, at = row[live], key[live], sym[live], place[live], rank[live], at[live]
                 mine = np.arange(len(row))
             if self.limit:
                 skip = self._skips(key, place[mine, at], sym[mine, at], sym[mine, at + 1])
                 rank[mine[skip], at[skip]] = NONE
                 mine, at = mine[~skip], at[~skip]
-            sym[mine, at] = made[mine, at]
+            sym[mine, at] = self._pairs(sym[mine, at], sym[mine, at + 1])[0]
             turn = np.minimum(steps + (steps > at[:, None]), wide - 1)
-            for x, empty in ((sym, -1), (place, 0), (made, -1), (rank, NONE)):
+            for x, empty in ((sym, -1), (place, 0), (rank, NONE)):
                 moved = x[mine[:, None], turn]
                 moved[:, -1] = empty
                 x[mine] = moved
             for d in (-1, 0):
                 ok = (at + d >= 0) & (at + d + 1 < wide)
                 m, a = mine[ok], at[ok] + d
-                made[m, a], rank[m, a] = self._pairs(sym[m, a], sym[m, a + 1])
+                rank[m, a] = self._pairs(sym[m, a], sym[m, a + 1])[1]
         return final
 
     def _by_heap(self, sym: list[int], stream: int) -> list[int]:
@@ -186,13 +187,14 @@ class Codec:
         return np.array(found, self.wide).tobytes()
 
     def _learn(self, wanted: set[tuple[int, str]]) -> None:
-        """Put chunks into the cache; it is emptied first if they don't fit."""
-        if self.held + len(wanted) > self.room:
-            self.cache, self.held = [{} for _ in range(self.streams)], 0
+        """Put chunks into the cache. It has two generations of half its room: what isn't used for one goes."""
         self.held += len(wanted)
         by: dict[int, tuple[list[int], list[str]]] = {}
         for stream, chunk in wanted:
-            if len(chunk) > 64:
+            known = self.older[stream].get(chunk)
+            if known is not None:
+                self.cache[stream][chunk] = known
+            elif len(chunk) > 64:
                 self.cache[stream][chunk] = self._spell(self._by_heap(self._signs(chunk), stream))
             else:
                 streams, chunks = by.setdefault(len(chunk), ([], []))
@@ -231,16 +233,14 @@ class Codec:
                     x = mix64(np.arange(len(c), dtype=U64) * U64(0xD1342543DE82EF95) + U64(xxhash.xxh3_64_intdigest(t.encode(), self.seed & _M)))
                 streams.append((x % U64(self.streams)).tolist())
         out = []
-        for s in range(0, len(texts), 256):  # the cache may be emptied between groups, not within one
+        for s in range(0, len(texts), 256):  # a generation ends between groups, not within one
             group = list(zip(streams[s : s + 256], cut[s : s + 256], strict=True))
+            if self.held > self.room // 2:
+                self.older, self.cache, self.held = self.cache, [{} for _ in range(self.streams)], 0
             cache = self.cache
             missing = {(v, c) for vs, cs in group for v, c in zip(vs, cs, strict=True) if c not in cache[v]}
-            if missing and self.held + len(missing) > self.room:
-                missing = {(v, c) for vs, cs in group for v, c in zip(vs, cs, strict=True)}
-                self.held = self.room
             if missing:
                 self._learn(missing)
-            cache = self.cache
             for vs, cs in group:
                 out.append(np.frombuffer(b"".join([cache[v][c] for v, c in zip(vs, cs, strict=True)]), self.wide))
         return out
@@ -265,7 +265,7 @@ def codec(*key) -> Codec:
     return _made[key]
 
 
-def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 0, streams: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 0, streams: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_pieces, ids, ids_crc32 (unsigned, of the ids as little-endian 32-bit integers) and lossless (whether
     they decode to the text) of every whole text. model_path is read by every worker. Null and empty texts have no
     pieces and are lossless; equal texts get equal pieces."""

@@ -195,7 +195,7 @@ def _members(refs: DataFrame) -> bytes:
         yield pa.record_batch([pa.array([np.packbits(field).tobytes()], pa.binary())], ["bits"])
 
     out = np.zeros(_MEMBERS_BITS // 8, np.uint8)
-    for r in refs.mapInArrow(run, "bits binary").toLocalIterator():
+    for r in refs.coalesce(32).mapInArrow(run, "bits binary").toLocalIterator():  # one field at a time
         out |= np.frombuffer(r.bits, np.uint8)
     return out.tobytes()
 

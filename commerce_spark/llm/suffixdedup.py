@@ -225,7 +225,7 @@ def spans(docs: DataFrame, length: int = 200, group_bytes: int = 1 << 20) -> Dat
         raise ValueError(f"length must be {GRAM + 8} or more")
     texts = docs.where(F.octet_length("text") >= length).select(_ref().alias("ref"), F.col("text").cast("string").alias("text"))
     found = _runs(texts, length)
-    again = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    again = cut(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"))  # so that the join can be split
     placed = cut(found.join(again, "gram"))
     contexts = placed.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ref", "at", "size")).alias("one"))
     per = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.col("one.size").cast("long")).alias("bytes"))

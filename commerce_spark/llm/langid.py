@@ -95,13 +95,13 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and score of each text; und and 0 for a text that is null or has no letter."""
+        if not texts or not self.families:
+            return ["und"] * len(texts), np.zeros(len(texts))
         whole = [t or "" for t in texts]
         codes, counts, begins = _trigrams(whole)
         weights = np.where(counts[:, None], self.weights[codes], 0) if len(self.pairs) else np.zeros((len(codes), 0), np.float32)
-        ends = np.append(begins[1:], len(codes))
-        n = np.add.reduceat(counts, begins, dtype=np.int64) if len(begins) else np.zeros(0, np.int64)
-        n = np.where(ends > begins, n, 0)
-        margins = np.add.reduceat(weights, begins, axis=0, dtype=np.float64) / np.maximum(n, 1)[:, None] + self.bias if len(begins) else np.zeros((0, len(self.pairs)))
+        n = np.add.reduceat(counts, begins, dtype=np.int64)
+        margins = np.add.reduceat(weights, begins, axis=0, dtype=np.float64) / np.maximum(n, 1)[:, None] + self.bias
         names = sorted(self.families)
         family, sure = self._vote(names, margins)
         picked, score = np.empty(len(texts), object), _squash(sure)
@@ -110,8 +110,6 @@ class Model:
             lang, margin = self._vote(self.families[f], margins[own])
             picked[own] = np.array(self.families[f], object)[lang]
             score[own] = score[own] * _squash(margin)
-        if not names:
-            picked[:] = "und"
         for i in np.flatnonzero(n < 64):
             if not any(c.isalpha() for c in whole[i]):
                 picked[i], score[i] = "und", 0.0

@@ -35,7 +35,7 @@ def ring(shards: int, vnodes: int, seed: int = 0) -> list[tuple[int, int]]:
 def capacities(rows: int, shards: int, slack: float = 0.0) -> list[int]:
     """Rows that each shard may take: with slack 0 they add up to `rows` and differ by one at most."""
     if slack:
-        return [-(-int(rows * (1 + slack) * 1_000_000) // (shards * 1_000_000)) + 1] * shards
+        return [-(-rows * round((1 + slack) * 1_000_000) // (shards * 1_000_000))] * shards
     return [rows // shards + (s < rows % shards) for s in range(shards)]
 
 

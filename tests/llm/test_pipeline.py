@@ -35,7 +35,7 @@ def test_stages(spark, data, tmp_path):
 def test_run_and_odd_rows(spark, odd, tmp_path):
     odd.select(COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
-    assert {7, 9, 10, None} <= got and not got & {1, 2, 3, 8}
+    assert {9, 10, None} <= got and not got & {1, 2, 3, 7, 8}  # 7 says one passage over and over: every string of it starts twice
     odd.select(COLUMNS).where("false").write.parquet(str(tmp_path / "none/documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
 

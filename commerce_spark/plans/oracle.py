@@ -139,6 +139,6 @@ SQL = {
     "k44_contacts": _with(f"SELECT beh.id_cliente, ver.nome, s_name AS vendedor, sinal_atencao, CAST(meses_sem_compra AS INTEGER) AS meses_sem_compra, {d('receita_mes')}, media AS receita_media_3m_anteriores, {d('receita_acumulada')} FROM beh JOIN ver USING (chave_cliente) JOIN supplier ON s_suppkey=beh.id_vendedor WHERE competencia=DATE '2001-07-01' AND beh.ativo AND sinal_atencao IN ('queda_receita','ausencia_prolongada')", "beh ver"),
     "k45_signal_summary": _with("SELECT competencia, sinal_atencao, COUNT(*) AS clientes, COUNT(*) FILTER (pedidos_mes>0) AS clientes_com_compra, CAST(SUM(receita_mes) AS DOUBLE) AS receita_mes FROM beh WHERE competencia=DATE '2001-07-01' GROUP BY 1,2", "beh"),
     "k46_retention": _with(f"SELECT competencia, nome, clientes_carteira, clientes_novos, clientes_recorrentes, clientes_reativados, clientes_sem_compra, retencao_pct, {d('receita')} FROM sel", "sel"),
-    "k47_moved_portfolio": _with(f"SELECT id_pedido, emitido_em, fact.id_vendedor AS vendedor_na_venda, ver.id_vendedor AS vendedor_atual, {d('receita')} FROM fact JOIN ver ON fact.id_cliente=ver.id_cliente AND ver.valid_to IS NULL WHERE fact.id_cliente%10=0", "fact ver"),
+    "k47_moved_portfolio": _with(f"SELECT id_pedido, emitido_em, fact.id_vendedor AS vendedor_na_venda, ver.id_vendedor AS vendedor_atual, {d('receita')} FROM fact JOIN ver ON fact.id_cliente=ver.id_cliente AND ver.valid_to IS NULL WHERE fact.id_cliente IN (SELECT id_cliente FROM ver GROUP BY 1 HAVING COUNT(DISTINCT id_vendedor)>1)", "fact ver"),
     "k48_portfolio_inspection": _with("SELECT competencia, COUNT(*) AS linhas, COUNT(DISTINCT id_cliente) AS clientes, CAST(SUM(receita_mes) AS DOUBLE) AS receita FROM port GROUP BY 1", "port"),
 }

@@ -257,8 +257,9 @@ def retention(t: Tables) -> DataFrame:
 
 def moved_portfolio(t: Tables) -> DataFrame:
     """Orders of customers that changed seller: the seller then and now."""
-    now = views.customer_history(t).where("valid_to is null").select("id_cliente", F.col("id_vendedor").alias("vendedor_atual"))
-    return _money(_fact(t).where("id_cliente % 10 = 0").join(now, "id_cliente").select("id_pedido", F.col("emitido_em").cast("timestamp_ntz").alias("emitido_em"), F.col("id_vendedor").alias("vendedor_na_venda"), "vendedor_atual", "receita"))
+    h = views.customer_history(t)
+    now = h.groupBy("id_cliente").agg(F.min("id_vendedor").alias("_a"), F.max("id_vendedor").alias("_b"), F.max(F.when(F.col("valid_to").isNull(), F.col("id_vendedor"))).alias("vendedor_atual")).where("_a <> _b").drop("_a", "_b")
+    return _money(_fact(t).join(now, "id_cliente").select("id_pedido", F.col("emitido_em").cast("timestamp_ntz").alias("emitido_em"), F.col("id_vendedor").alias("vendedor_na_venda"), "vendedor_atual", "receita"))
 
 
 def portfolio_inspection(t: Tables) -> DataFrame:

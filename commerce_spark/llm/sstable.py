@@ -41,21 +41,21 @@ PROBES = 7
 
 
 class Encoder:
-    """A tokenizers file with a bounded cache of words.
+    """A tokenizers file with a bounded cache of words, in two generations: words not used for one generation go.
 
     Byte-level pre-tokenisation never joins signs across a single blank, so a text without runs of blanks is
     encoded word by word (a word with the blank before it), new words in one call of the library for many. Other
     texts go to the library whole.
     """
 
-    def __init__(self, path: str, room: int = 300_000):
+    def __init__(self, path: str, room: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)
         size = self.tool.get_vocab_size(with_added_tokens=True)
         self.wide = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.length = np.array([len(self.tool.id_to_token(i) or "") for i in range(size)], np.int64)  # one sign a byte
-        self.room, self.words = room, {}
+        self.room, self.words, self.older = room, {}, {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.wide).tobytes() for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
@@ -64,7 +64,7 @@ class Encoder:
         apart = [w for w in new if w[:1] != " " or w[1:2] in ("", " ") or "<|" in w]
         for w, ids in zip(apart, self._whole(apart), strict=True):
             self.words[w] = ids
-        run = sorted(set(new) - set(apart))
+        run = list(set(new) - set(apart)) if apart else new
         for s in range(0, len(run), 4096):
             part = run[s : s + 4096]
             ids = np.array(self.tool.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.int64)
@@ -81,13 +81,16 @@ class Encoder:
         out: list[bytes] = [b""] * len(texts)
         for i, ids in zip(plain, self._whole([texts[i] for i in plain]), strict=True):
             out[i] = ids
-        new = {w for c in cut_up if c for w in c if w not in self.words}
-        if len(self.words) + len(new) > self.room:
-            self.words = {}
-            new = {w for c in cut_up if c for w in c}
+        if len(self.words) > self.room // 2:
+            self.older, self.words = self.words, {}
+        words, older = self.words, self.older
+        new = {w for c in cut_up if c for w in c if w not in words}
+        known = new & older.keys()
+        words.update((w, older[w]) for w in known)
+        new -= known
         if new:
-            self._learn(sorted(new))
-        get = self.words.__getitem__
+            self._learn(list(new))
+        get = words.__getitem__
         for i, c in enumerate(cut_up):
             if c:
                 out[i] = b"".join(map(get, c))

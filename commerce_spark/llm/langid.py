@@ -110,8 +110,8 @@ class Model:
             lang, margin = self._vote(self.families[f], margins[own])
             picked[own] = np.array(self.families[f], object)[lang]
             score[own] = score[own] * _squash(margin)
-        for i in np.flatnonzero(n < 64):
-            if not any(c.isalpha() for c in whole[i]):
+        for i, t in enumerate(whole):
+            if not any(map(str.isalpha, t)):
                 picked[i], score[i] = "und", 0.0
         return picked.tolist(), np.where(picked == "und", 0.0, score)
 

@@ -39,3 +39,12 @@ def test_labels_of_test_rows_have_no_say(spark, data):
     a, b = langid.fit(docs, per_language=20), langid.fit(docs, per_language=20)
     assert (a.weights == b.weights).all() and a.pairs == b.pairs
     assert a.families == {"germanic": ["de", "en"], "romance": ["es", "fr"]}
+
+
+def test_long_texts_without_a_letter_have_no_language(spark, data):
+    model = langid.fit(spark.read.parquet(f"{data}/documents.parquet"), per_language=20)
+    signs = ["\u2014" * 22, "\u2026 " * 40, "\U0001f600" * 16, "\u0664\u0662 " * 32, "\u2500\u2502\u253c" * 50, "12 34 " * 100]
+    assert model.predict(signs)[0] == ["und"] * len(signs) and not model.predict(signs)[1].any()
+    assert model.predict([s + " und dann" for s in signs])[0] != ["und"] * len(signs)
+    docs = spark.createDataFrame([(i, s, None, "a", len(s)) for i, s in enumerate([*signs, "some plain words"])], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.doc_id for r in langid.keep_known(docs, model).collect()] == [len(signs)]

@@ -2,8 +2,10 @@
 
 A text gets a blank in front, blanks become U+2581, and pieces never cross from a sign to a blank, so a text is
 encoded in chunks of blanks and the signs after them. In a chunk the agenda takes the best-scored neighbouring
-pair again and again (the leftmost on ties); each candidate it takes is skipped, for good, if a keyed hash of
-(seed, stream, place, left, right) falls below `dropout`. Signs without a piece become byte pieces, and so does a
+pair again and again (the leftmost on ties); each candidate it takes is skipped, for good, with chance `dropout`.
+Which ones are, is drawn for every occurrence of a chunk: a keyed hash of (seed, text, the chunk's place in it) gives
+the numbers of the takes to skip, by geometric gaps. What an agenda makes depends on the chunk and on those numbers
+that come before its end alone, so the cache holds it by both. Signs without a piece become byte pieces, and so does a
 U+2581 of the text itself; so whatever is skipped, the pieces spell the text.
 
 Short chunks go through the agenda in step, as rows of arrays; long ones one by one with a heap. Both give the same.
@@ -14,7 +16,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +38,20 @@ def _mix(x: int) -> int:
     return x ^ (x >> 31)
 
 
+def _gaps(x: np.ndarray, k: int, dropout: float) -> np.ndarray:
+    """Takes between the skip before and skip `k` of the occurrences with hashes x: geometric, so that each take is
+    skipped with chance `dropout` whatever came before."""
+    with np.errstate(over="ignore"):
+        u = ((mix64(x + U64(k) * U64(0x9FB21C651E98DF25)) >> U64(11)).astype(np.float64) + 0.5) / (1 << 53)
+    return np.minimum(np.log(u) / np.log1p(-dropout), 1 << 20).astype(np.int64) if dropout < 1 else np.zeros(len(x), np.int64)
+
+
 class Codec:
-    """A vocabulary with its merges, a dropout rate, and a bounded cache of chunks by stream."""
+    """A vocabulary with its merges, a dropout rate, and a bounded cache of chunks by the takes that are skipped.
+
+    `streams` numbers the fixed patterns of skips that `_in_step` and `_by_heap` draw when they are given none;
+    texts are encoded with a pattern of their own for each chunk, whatever it is.
+    """
 
     def __init__(self, model_path: str, dropout: float = 0.1, seed: int = 0, streams: int = 4, cache_chunks: int = 400_000):
         import sentencepiece
@@ -64,11 +78,11 @@ class Codec:
         self.spelled = [bytes([int(names[i][3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else names[i].replace(BLANK, " ").encode() for i in range(n)]
         self.merges = {(a, b): (c, r) for a, b, c, r in merges}
         self._hashed(np.array(merges, np.int64).reshape(-1, 4))
-        self.limit, self.seed, self.streams = int(dropout * (1 << 32)), seed, streams if dropout else 1
-        self.key = [_mix(_mix(seed & _M) ^ s) for s in range(self.streams)]
+        self.dropout, self.seed, self.streams = dropout, seed, streams if dropout else 1
         self.room, self.held = cache_chunks, 0
-        self.cache: list[dict[str, bytes]] = [{} for _ in range(self.streams)]
-        self.older: list[dict[str, bytes]] = [{} for _ in range(self.streams)]
+        # chunk, or (chunk, skipped takes ...) -> pieces and the number of takes
+        self.cache: dict[str | tuple, tuple[bytes, int]] = {}
+        self.older: dict[str | tuple, tuple[bytes, int]] = {}
 
     def _hashed(self, merges: np.ndarray) -> None:
         """An open-addressing table of the merges, for look-ups by arrays."""
@@ -114,37 +128,53 @@ class Codec:
         """Pieces of single signs; a sign without one is the vocabulary's size plus its code point. Blanks come as ' '."""
         return self.sign[np.frombuffer(chunk.encode("utf-32-le"), np.uint32)].tolist()
 
-    def _skips(self, stream: np.ndarray, place: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        x = mix64(stream ^ (place.astype(U64) << U64(40)) ^ (left.astype(U64) << U64(20)) ^ right.astype(U64))
-        return (x >> U64(32)) < U64(self.limit)
+    def _pattern(self, stream: int, takes: int) -> list[int]:
+        """The takes below `takes` that a fixed stream skips."""
+        if not self.dropout:
+            return []
+        x = np.array([_mix(_mix(self.seed & _M) ^ stream)], U64)
+        out, at, k = [], -1, 0
+        while (at := at + 1 + int(_gaps(x, k, self.dropout)[0])) < takes:
+            out.append(at)
+            k += 1
+        return out
 
     def _in_step(self, sym: np.ndarray, streams: np.ndarray) -> np.ndarray:
-        """The agenda for many chunks of one length at once (a row each): a step takes the best candidate of every
-        chunk that has one. The rows of the result end in -1 where they are shorter."""
+        """The agenda for chunks of one length under fixed streams."""
+        patterns = [self._pattern(int(v), 3 * sym.shape[1]) for v in streams]
+        skips = np.full((len(sym), max(map(len, patterns), default=0)), -1, np.int64)
+        for i, p in enumerate(patterns):
+            skips[i, : len(p)] = p
+        return self._stepped(sym, skips)[0]
+
+    def _stepped(self, sym: np.ndarray, skips: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The agenda for many chunks of one length at once (a row each): take t is the best candidate of every
+        chunk that has one, and is skipped where the row of skips has t. The rows of the result end in -1 where they
+        are shorter; with them come the numbers of takes."""
         wide = sym.shape[1]
-        final = sym.copy()
+        final, takes = sym.copy(), np.zeros(len(sym), np.int64)
         if wide < 2:
-            return final
-        place = np.broadcast_to(np.arange(wide, dtype=np.int16), sym.shape).copy()
+            return final, takes
         rank = np.full(sym.shape, NONE, np.int32)
         rank[:, :-1] = self._pairs(sym[:, :-1], sym[:, 1:])[1]
-        row, key = np.arange(len(sym)), np.array(self.key, U64)[streams]
+        row, t = np.arange(len(sym)), 0
         steps = np.arange(wide)
         while len(row):
             at = rank.argmin(axis=1)
             mine = np.arange(len(row))
             live = rank[mine, at] != NONE
             if not live.all():
-                final[row[~live]] = sym[~live]
-                row, key, sym, place, rank, at = row[live], key[live], sym[live], place[live], rank[live], at[live]
+                final[row[~live]], takes[row[~live]] = sym[~live], t
+                row, skips, sym, rank, at = row[live], skips[live], sym[live], rank[live], at[live]
                 mine = np.arange(len(row))
-            if self.limit:
-                skip = self._skips(key, place[mine, at], sym[mine, at], sym[mine, at + 1])
+            if skips.shape[1]:
+                skip = (skips == t).any(axis=1)
                 rank[mine[skip], at[skip]] = NONE
                 mine, at = mine[~skip], at[~skip]
+            t += 1
             sym[mine, at] = self._pairs(sym[mine, at], sym[mine, at + 1])[0]
             turn = np.minimum(steps + (steps > at[:, None]), wide - 1)
-            for x, empty in ((sym, -1), (place, 0), (rank, NONE)):
+            for x, empty in ((sym, -1), (rank, NONE)):
                 moved = x[mine[:, None], turn]
                 moved[:, -1] = empty
                 x[mine] = moved
@@ -152,10 +182,14 @@ class Codec:
                 ok = (at + d >= 0) & (at + d + 1 < wide)
                 m, a = mine[ok], at[ok] + d
                 rank[m, a] = self._pairs(sym[m, a], sym[m, a + 1])[1]
-        return final
+        return final, takes
 
     def _by_heap(self, sym: list[int], stream: int) -> list[int]:
-        n, get, key = len(sym), self.merges.get, self.key[stream]
+        """The agenda for one chunk under a fixed stream."""
+        return self._heaped(sym, self._pattern(stream, 3 * len(sym)))[0]
+
+    def _heaped(self, sym: list[int], skips: Iterable[int]) -> tuple[list[int], int]:
+        n, get, skips, takes = len(sym), self.merges.get, set(skips), 0
         after, before, heap = list(range(1, n + 1)), list(range(-1, n - 1)), []
 
         def offer(i: int) -> None:
@@ -172,46 +206,48 @@ class Codec:
             j = after[i] if sym[i] >= 0 else n
             if sym[i] != a or j >= n or sym[j] != b:
                 continue
-            if self.limit and _mix(key ^ ((i << 40) & _M) ^ (a << 20) ^ b) >> 32 < self.limit:
+            takes += 1
+            if takes - 1 in skips:
                 continue
             sym[i], sym[j], after[i] = c, -1, after[j]
             if after[j] < n:
                 before[after[j]] = i
             offer(before[i])
             offer(i)
-        return [s for s in sym if s >= 0]
+        return [s for s in sym if s >= 0], takes
 
     def _spell(self, found: list[int]) -> bytes:
         if found and max(found) >= self.size:
             found = [x for s in found for x in ([s] if s < self.size else [self.bytes_[b] for b in chr(s - self.size).encode()])]
         return np.array(found, self.wide).tobytes()
 
-    def _learn(self, wanted: set[tuple[int, str]]) -> None:
+    def _learn(self, wanted: set[str | tuple]) -> None:
         """Put chunks into the cache. It has two generations of half its room: what isn't used for one goes."""
         self.held += len(wanted)
-        by: dict[int, tuple[list[int], list[str]]] = {}
-        for stream, chunk in wanted:
-            known = self.older[stream].get(chunk)
+        by: dict[tuple[int, int], list[str | tuple]] = {}
+        for key in wanted:
+            chunk, skips = (key, ()) if isinstance(key, str) else (key[0], key[1:])
+            known = self.older.get(key)
             if known is not None:
-                self.cache[stream][chunk] = known
+                self.cache[key] = known
             elif len(chunk) > 64:
-                self.cache[stream][chunk] = self._spell(self._by_heap(self._signs(chunk), stream))
+                found, takes = self._heaped(self._signs(chunk), skips)
+                self.cache[key] = self._spell(found), takes
             else:
-                streams, chunks = by.setdefault(len(chunk), ([], []))
-                streams.append(stream)
-                chunks.append(chunk)
-        for n, (streams, chunks) in by.items():
-            for k in range(0, len(chunks), 20_000):
-                part = chunks[k : k + 20_000]
-                points = np.frombuffer("".join(part).encode("utf-32-le"), np.uint32).reshape(len(part), n)
-                found = self._in_step(self.sign[points], np.array(streams[k : k + 20_000]))
+                by.setdefault((len(chunk), len(skips)), []).append(key)
+        for (n, drawn), keys in by.items():
+            for k in range(0, len(keys), 20_000):
+                part = keys[k : k + 20_000]
+                chunks = [x[0] for x in part] if drawn else part
+                points = np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32).reshape(len(part), n)
+                found, takes = self._stepped(self.sign[points], np.array([x[1:] for x in part] if drawn else np.empty((len(part), 0)), np.int64))
                 flat = found[found >= 0]
                 ends = np.cumsum((found >= 0).sum(axis=1)) * self.wide.itemsize
                 raw = flat.astype(self.wide).tobytes()
                 odd = set(np.flatnonzero((found >= self.size).any(axis=1)).tolist())
                 start = 0
-                for i, (stream, chunk, end) in enumerate(zip(streams[k : k + 20_000], part, ends.tolist(), strict=True)):
-                    self.cache[stream][chunk] = self._spell([x for x in found[i].tolist() if x >= 0]) if i in odd else raw[start:end]
+                for i, (key, end, many) in enumerate(zip(part, ends.tolist(), takes.tolist(), strict=True)):
+                    self.cache[key] = (self._spell([x for x in found[i].tolist() if x >= 0]) if i in odd else raw[start:end]), many
                     start = end
 
     @staticmethod
@@ -223,26 +259,50 @@ class Codec:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Piece ids of each text; a null or empty text has none."""
-        cut = [self.chunks(t) if t else [] for t in texts]
-        streams = []
-        for t, c in zip(texts, cut, strict=True):
-            if self.streams == 1 or not c:
-                streams.append([0] * len(c))
-            else:
-                with np.errstate(over="ignore"):
-                    x = mix64(np.arange(len(c), dtype=U64) * U64(0xD1342543DE82EF95) + U64(xxhash.xxh3_64_intdigest(t.encode(), self.seed & _M)))
-                streams.append((x % U64(self.streams)).tolist())
         out = []
-        for s in range(0, len(texts), 256):  # a generation ends between groups, not within one
-            group = list(zip(streams[s : s + 256], cut[s : s + 256], strict=True))
+        for s in range(0, len(texts), 64):  # a generation ends between groups, not within one
+            group = texts[s : s + 64]
+            cut = [self.chunks(t) if t else [] for t in group]
             if self.held > self.room // 2:
-                self.older, self.cache, self.held = self.cache, [{} for _ in range(self.streams)], 0
-            cache = self.cache
-            missing = {(v, c) for vs, cs in group for v, c in zip(vs, cs, strict=True) if c not in cache[v]}
-            if missing:
-                self._learn(missing)
-            for vs, cs in group:
-                out.append(np.frombuffer(b"".join([cache[v][c] for v, c in zip(vs, cs, strict=True)]), self.wide))
+                self.older, self.cache, self.held = self.cache, {}, 0
+            flat = [c for chunks in cut for c in chunks]
+            found = self._drawn(flat, self._hashes(group, cut)) if self.dropout else [x[0] for x in self._looked_up(flat)]
+            at = 0
+            for chunks in cut:
+                out.append(np.frombuffer(b"".join(found[at : at + len(chunks)]), self.wide))
+                at += len(chunks)
+        return out
+
+    def _hashes(self, texts: list[str | None], cut: list[list[str]]) -> np.ndarray:
+        """A hash of seed, text and place for each chunk."""
+        with np.errstate(over="ignore"):
+            return np.concatenate([mix64(np.arange(len(c), dtype=U64) * U64(0xD1342543DE82EF95) + U64(xxhash.xxh3_64_intdigest((t or "").encode(), self.seed & _M))) for t, c in zip(texts, cut, strict=True)])
+
+    def _looked_up(self, keys: list) -> list[tuple[bytes, int]]:
+        """Pieces and takes of chunks or (chunk, skipped takes ...), by way of the cache."""
+        cache = self.cache
+        if missing := set(keys).difference(cache):
+            self._learn(missing)
+        return [cache[k] for k in keys]
+
+    def _drawn(self, flat: list[str], x: np.ndarray) -> list[bytes]:
+        """Pieces of the chunks whose occurrences have the hashes x. Round k finds the agenda with the first k skips;
+        where the next skip comes after its last take, that is the result."""
+        looked = self._looked_up(flat)
+        out = [p for p, _ in looked]
+        takes = np.fromiter((n for _, n in looked), np.int64, len(looked))
+        skip, k = _gaps(x, 0, self.dropout), 0
+        left = np.flatnonzero(skip < takes)
+        skip, keys = skip[left], [(flat[i],) for i in left.tolist()]
+        while len(left):
+            k += 1
+            keys = [(*key, v) for key, v in zip(keys, skip.tolist(), strict=True)]
+            looked = self._looked_up(keys)
+            for i, (p, _) in zip(left.tolist(), looked, strict=True):
+                out[i] = p
+            skip = skip + 1 + _gaps(x[left], k, self.dropout)
+            more = np.flatnonzero(skip < np.fromiter((n for _, n in looked), np.int64, len(looked)))
+            left, skip, keys = left[more], skip[more], [keys[i] for i in more.tolist()]
         return out
 
     def decode(self, ids: np.ndarray) -> str:

@@ -65,6 +65,22 @@ def test_heap_equals_steps(codecs, texts):
         assert steps == c._by_heap(list(signs), s)
 
 
+def test_skips_are_drawn_for_each_occurrence():
+    c = sentencepiece_bpe.Codec(MODEL, 0.1, 17)
+    rng = np.random.default_rng(3)
+    for word in (" information", " of", " unbelievably"):
+        want = Counter(tuple(c._heaped(c._signs(word), np.flatnonzero(rng.random(64) < 0.1).tolist())[0]) for _ in range(4000))
+        apart = Counter(tuple(np.frombuffer(p, c.wide).tolist()) for p in c._drawn([word] * 4000, c._hashes([f"w{i}" for i in range(4000)], [[word]] * 4000)))
+        within = Counter(tuple(np.frombuffer(p, c.wide).tolist()) for p in c._drawn([word] * 4000, c._hashes(["w" + word * 4000], [[word] * 4000])))
+        for got in (apart, within):  # as independent draws have it
+            assert all(abs(got[k] - want[k]) < 120 for k in got | want)
+    assert len({tuple(c.encode([f"w{i} information"])[0].tolist()[-6:]) for i in range(1000)}) > 12
+    word = " information"
+    for skips in [(0,), (1, 2), (0, 3, 5), (2, 3, 4, 5, 6)]:
+        found, many = c._stepped(np.array([c._signs(word)], np.int32), np.array([skips]))
+        assert ([x for x in found[0].tolist() if x >= 0], int(many[0])) == c._heaped(c._signs(word), skips)
+
+
 def test_sentencepiece_query(spark, data, texts, odd, none):
     rows = queries.op1_sentencepiece(spark, data).collect()
     assert {r.doc_id for r in rows} == set(texts) and all(r.lossless and r.n_pieces == len(r.ids) for r in rows)

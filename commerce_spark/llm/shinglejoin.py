@@ -1,0 +1,162 @@
+"""Near copies by the exact Jaccard similarity of word shingles, found by prefixes.
+
+Shingles are in one order, those in the fewest documents first. Two sets of similarity s or more share one of the
+first n - ceil(s * n) + 1 of either. A document of which less than a share s of its shingles occurs elsewhere is left
+out, and no shingle of one document counts. All candidates are checked by their whole sets.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import components, cut, pieces
+from .simhash import SEED
+
+
+def shingles(text: str | None, words: int = 5) -> np.ndarray:
+    """XXH64 hashes of the text's distinct shingles, sorted; words are those of simhash.fingerprint."""
+    split = (text or "").encode().lower().split()
+    if not split:
+        return np.empty(0, np.int64)
+    n = max(1, len(split) - words + 1)
+    joined = b" ".join(split)
+    ends = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    h = xxhash.xxh64_digest
+    found = b"".join([h(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[len(split) - n :].tolist(), strict=True)])
+    return np.unique(np.frombuffer(found, ">u8").astype(np.uint64).view(np.int64))
+
+
+def _node(found: np.ndarray) -> int:
+    """One long for a set of shingles."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes(), SEED)).astype(np.int64))
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Rows of long columns, sorted by the first; a group of one value of it is never cut."""
+    held: list[np.ndarray] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = np.stack([np.asarray(c).astype(np.int64) for c in batch.columns], axis=1)
+        if held and held[-1][-1, 0] != rows[0, 0]:
+            yield np.concatenate(held)
+            held = []
+        last = np.flatnonzero(rows[1:, 0] != rows[:-1, 0])
+        if len(last):
+            yield np.concatenate([*held, rows[: last[-1] + 1]])
+            held = []
+            rows = rows[last[-1] + 1 :]
+        held.append(rows)
+    if held:
+        yield np.concatenate(held)
+
+
+def _sets(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """node, n, tokens (its shingles that other nodes have too) and prefix of the nodes that can have a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, "text", mb=4):
+            found = [shingles(t, words) for t in b.column(0).to_pylist()]
+            n = np.array([len(x) for x in found])
+            yield pa.record_batch([pa.array(np.concatenate(found)), pa.array(np.repeat([_node(x) for x in found], n)), pa.array(np.repeat(n, n))], ["token", "node", "n"])
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches):
+            rows = rows[np.concatenate(([True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)))]
+            first = np.flatnonzero(np.concatenate(([True], rows[1:, 0] != rows[:-1, 0])))
+            size = np.diff(np.append(first, len(rows)))
+            df = np.repeat(size, size)
+            rows, df = rows[df > 1], df[df > 1]
+            for k in range(0, len(rows), 100_000):
+                part = rows[k : k + 100_000]
+                yield pa.record_batch([pa.array(part[:, 1]), pa.array(part[:, 2]), pa.array(df[k : k + 100_000]), pa.array(part[:, 0])], ["node", "n", "df", "token"])
+
+    tokens = docs.select("text").mapInArrow(run, "token long, node long, n long")
+    dealt = tokens.repartition("token").sortWithinPartitions("token", "node").mapInArrow(shared, "node long, n long, df long, token long")
+    need = F.ceil(F.lit(str(similarity)).cast("decimal(9,6)") * F.col("n")).cast("int")
+    lists = dealt.groupBy("node").agg(F.first("n").alias("n"), F.collect_list(F.struct("df", "token")).alias("all")).where(F.size("all") >= need)
+    ordered = lists.select("node", "n", F.expr("transform(array_sort(all), x -> x.token)").alias("tokens"))
+    return ordered.withColumn("prefix", F.slice("tokens", F.lit(1), F.size("tokens") - need + 1))
+
+
+def _checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those pairs (a, b) of nodes whose sets are similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = b.column(4), b.column(5)
+            n = np.asarray(b.column(2)) + np.asarray(b.column(3))
+            both = np.array([len(np.intersect1d(x[i].values.to_numpy(), y[i].values.to_numpy(), assume_unique=True)) for i in range(b.num_rows)], np.int64)
+            yield b.select(["a", "b"]).filter(pa.array(both >= (similarity - 1e-12) * (n - both)))
+
+    one = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
+    two = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ta", "tb").mapInArrow(run, "a long, b long")
+
+
+def links(sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that connect exactly those nodes which all similar pairs connect.
+
+    First every node of a prefix shingle is checked against the least and the greatest one there, which settles most of
+    a large group of near copies; then all pairs of a shingle that aren't connected yet. At the first shingle that two
+    sets share, no more than what comes from there on can be in both, so pairs go where that is too little.
+    """
+    share = similarity / (1 + similarity)
+    rows = sets.select("node", "n", F.size("tokens").alias("k"), F.posexplode("prefix").alias("at", "token")).select("token", "node", "n", (F.col("k") - F.col("at")).cast("long").alias("rest"))
+    near = F.least("rest", "p.rest") >= share * (F.col("n") + F.col("p.n")) - 1e-9
+    ends = rows.groupBy("token").agg(F.min(F.struct("node", "n", "rest")).alias("low"), F.max(F.struct("node", "n", "rest")).alias("high")).where("low.node < high.node")
+    ends = ends.select("token", F.explode(F.array("low", "high")).alias("p"))
+    first = cut(_checked(rows.join(ends, "token").where("node <> p.node").where(near).select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct(), sets, similarity))
+    joined = components(first)
+    named = rows.join(joined, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("component"), "rest")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _groups(batches):
+            out: list[np.ndarray] = []
+            for g in np.split(held, np.flatnonzero(held[1:, 0] != held[:-1, 0]) + 1):
+                for i in range(1, len(g) - 1):  # the first of a group was checked with all
+                    other = g[i + 1 :]
+                    ok = (other[:, 3] != g[i, 3]) & (np.minimum(other[:, 4], g[i, 4]) >= share * (other[:, 2] + g[i, 2]) - 1e-9)
+                    if ok.any():
+                        out.append(np.stack([np.full(ok.sum(), g[i, 1]), other[ok, 1]], axis=1))
+                if sum(map(len, out)) > 1 << 20:
+                    seen, out = np.unique(np.concatenate(out), axis=0), []
+                    yield pa.record_batch([pa.array(seen[:, 0]), pa.array(seen[:, 1])], ["a", "b"])
+            if out:
+                seen = np.unique(np.concatenate(out), axis=0)
+                yield pa.record_batch([pa.array(seen[:, 0]), pa.array(seen[:, 1])], ["a", "b"])
+
+    rest = named.repartition("token").sortWithinPartitions("token", "node").select("token", "node", "n", "component", "rest").mapInArrow(run, "a long, b long").distinct()
+    return first.unionByName(_checked(rest, sets, similarity))
+
+
+def classes(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id and component_id (the smallest doc_id reachable through links) of every document. Texts with the same
+    shingles are one node from the start, those without a word too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, "text", mb=4):
+            yield pa.record_batch([b.column(0), pa.array([_node(shingles(t, words)) for t in b.column(1).to_pylist()], pa.int64())], ["doc_id", "node"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = cut(rows.mapInArrow(run, "doc_id long, node long"))
+    nodes = found.groupBy("node").agg(F.min("doc_id").alias("low"))
+    joined = components(links(cut(_sets(rows, words, similarity)), similarity))
+    named = nodes.join(joined, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))
+    least = named.groupBy("component").agg(F.min("low").alias("component_id"))
+    return found.join(named.join(least, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
+def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The documents whose doc_id is the smallest of their class, columns as they were; of rows that repeat such
+    a doc_id one stays, and documents without doc_id stay."""
+    kept = classes(docs.select("doc_id", "text").where("doc_id is not null"), words, similarity).where("doc_id = component_id").select("doc_id").distinct()
+    one = docs.where("doc_id is not null").join(kept, "doc_id").select(docs.columns).dropDuplicates(["doc_id"])
+    return one.unionByName(docs.where("doc_id is null"))

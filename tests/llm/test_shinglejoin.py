@@ -1,0 +1,58 @@
+from __future__ import annotations
+
+import re
+
+import numpy as np
+
+import corpus_pipeline
+from commerce_spark.llm import shinglejoin
+
+
+def plain_set(text, k=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return frozenset(" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))) if words else frozenset()
+
+
+def brute_classes(texts):
+    sets = {i: plain_set(t) for i, t in texts.items()}
+    ids, root = sorted(sets), {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for x, i in enumerate(ids):
+        for j in ids[x + 1 :]:
+            a, b = sets[i], sets[j]
+            if a == b or 10 * len(a & b) >= 8 * len(a | b) > 0:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {i: find(i) for i in ids}
+
+
+def test_stage_keeps_what_brute_force_keeps(spark, texts):
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == sorted(set(brute_classes(texts).values()))
+
+
+def test_classes_of_edited_texts(spark):
+    rng = np.random.default_rng(8)
+    texts = {}
+    for s in range(6):  # copies with edits around the bound, all with one common passage
+        words = [f"w{x}" for x in rng.integers(0, 5000, int(rng.integers(20, 150)))]
+        for _ in range(20):
+            copy = list(words)
+            for at in rng.integers(0, len(copy), int(rng.integers(0, 1 + len(copy) // 20))):
+                copy[at] = f"e{rng.integers(0, 1 << 30)}"
+            texts[len(texts)] = " ".join(copy) + " these words are said in every one of the texts"
+    texts |= {500: None, 501: "", 502: " \n", 503: "one", 504: "One"}
+    got = {r.doc_id: r.component_id for r in shinglejoin.classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == brute_classes(texts)
+
+
+def test_odd_rows(odd, none):
+    kept = shinglejoin.keep_first(odd)
+    ids = sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect())
+    assert kept.columns == odd.columns and [i for _, i in ids].count(9) == 1 and (False, 5) not in ids and (True, 0) in ids
+    assert shinglejoin.keep_first(none).count() == 0

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A calendar of months up to this size is broadcast; a longer one is joined by month.
@@ -49,14 +49,11 @@ def state_at_close(history: DataFrame, calendar: DataFrame) -> DataFrame:
 
 
 def overlaps(history: DataFrame, key: str, version: str) -> DataFrame:
-    """Pairs of versions of one key whose intervals meet, by neighbours in time.
-
-    Sorted by start, a version can only overlap an earlier one if the latest end so far lies after its start.
-    """
+    """All pairs of versions of one key whose intervals meet; the smaller version comes first."""
     end = F.coalesce("valid_to", F.lit("9999-12-31").cast("timestamp"))
-    w = Window.partitionBy(key).orderBy("valid_from", version).rowsBetween(Window.unboundedPreceding, -1)
-    open_ = history.select(key, version, "valid_from", end.alias("_end")).withColumn("_widest", F.max(F.struct("_end", version)).over(w))
-    return open_.where(F.col("valid_from") < F.col("_widest._end")).select(key, F.least(version, f"_widest.{version}").alias(version), F.greatest(version, f"_widest.{version}").alias("other"))
+    a = history.select(key, version, F.col("valid_from").alias("_from"), end.alias("_end"))
+    b = history.select(key, F.col(version).alias("other"), F.col("valid_from").alias("_other_from"), end.alias("_other_end"))
+    return a.join(b, key).where((F.col(version) < F.col("other")) & (F.col("_from") < F.col("_other_end")) & (F.col("_other_from") < F.col("_end"))).select(key, version, "other")
 
 
 def half_open(df: DataFrame, column: str, low, high) -> DataFrame:

@@ -122,3 +122,8 @@ def test_portfolio_is_dense(spark, data):
 def test_scan_is_pruned(spark, data):
     plan = Tables(spark, data).events.where("event_id > 5").select("event_id")._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(event_id), GreaterThan(event_id,5)]" in plan and "ReadSchema: struct<event_id:bigint>" in plan
+
+
+def test_every_overlapping_pair_of_versions(spark):
+    h = spark.sql("select k, id, timestamp(a) valid_from, timestamp(b) valid_to from values (1, 'a', '2020-01-01', '2020-12-01'), (1, 'b', '2020-02-01', '2020-11-01'), (1, 'c', '2020-03-01', null), (1, 'd', '2019-01-01', '2020-01-01'), (2, 'e', '2020-01-01', null) as t(k, id, a, b)")
+    assert {tuple(r) for r in temporal.overlaps(h, "k", "id").collect()} == {(1, "a", "b"), (1, "a", "c"), (1, "b", "c")}

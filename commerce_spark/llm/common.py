@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel  # noqa: F401  (re-exported for callers that persist)
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +58,45 @@ def _bytes(column: pa.Array) -> int:
     return int(offsets[-1] - offsets[0])
 
 
+def ranges(start: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of `many` each, one after another."""
+    ends = np.cumsum(many, dtype=np.int64)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - many), many)
+
+
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of a string column in a row, and where each text starts (with the end); null counts as empty."""
+    column = pc.fill_null(column, "")
+    if pa.types.is_large_string(column.type):
+        column = column.cast(pa.string())
+    at = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4).astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    if at[-1] == at[0]:
+        return np.empty(0, np.uint8), at - at[0]
+    return np.frombuffer(column.buffers()[2], np.uint8, int(at[-1] - at[0]), int(at[0])), at - at[0]
+
+
+def chunks_of(data: np.ndarray, offsets: np.ndarray, cut: np.ndarray | None = None, keep: bool = False) -> tuple[pa.Array, np.ndarray]:
+    """Texts cut into chunks: an array of all chunks in a row, and the number of each text's.
+
+    cut: the bytes that start a chunk, besides each text's first; None: blanks after anything but a blank. The
+    byte of a cut is kept in its chunk or, as by default, left out.
+    """
+    if cut is None:
+        cut = data == 32
+        cut[1:] &= data[:-1] != 32
+    starts = offsets[:-1][offsets[1:] > offsets[:-1]]
+    cut[starts] = False
+    begin = cut.copy()
+    begin[starts] = True
+    at = np.flatnonzero(begin)
+    sizes = np.diff(np.append(at, len(data)))
+    if not keep:
+        sizes -= cut[at]
+        data = data[~cut]
+    ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    return pa.StringArray.from_buffers(len(at), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))), np.diff(np.searchsorted(at, offsets))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser of unsigned 64-bit integers."""
     with np.errstate(over="ignore"):

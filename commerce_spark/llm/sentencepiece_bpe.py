@@ -4,19 +4,23 @@ A text gets a blank in front, blanks become U+2581, and pieces never cross from
 encoded in chunks of blanks and the signs after them. In a chunk the agenda takes the best-scored neighbouring
 pair again and again (the leftmost on ties); each candidate it takes is skipped, for good, with chance `dropout`.
 Which ones are, is drawn for every occurrence of a chunk: a keyed hash of (seed, text, the chunk's place in it) gives
-the numbers of the takes to skip, by geometric gaps. What an agenda makes depends on the chunk and on those numbers
-that come before its end alone, so the cache holds it by both. Signs without a piece become byte pieces, and so does a
+the numbers of the takes to skip, by geometric gaps. Signs without a piece become byte pieces, and so does a
 U+2581 of the text itself; so whatever is skipped, the pieces spell the text.
 
-Short chunks go through the agenda in step, as rows of arrays; long ones one by one with a heap. Both give the same.
+What an agenda makes depends on the chunk and on the takes it skips alone. So each worker grows a forest: a
+root is a chunk without skips, and a node's child by take t is the agenda that skips t too. A node holds its pieces and how
+many takes it has; an occurrence walks from the root by its own draws until the next one comes after the last take. All
+occurrences of a batch walk at once, as arrays, and nodes that don't exist yet are made by the agenda for many chunks in
+step. The forest is bounded and starts anew when it is full. Chunks of over LONG signs are no nodes: each goes through
+the agenda by heap. Both give the same.
 """
 
 from __future__ import annotations
 
 import heapq
-import re
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,36 +28,46 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix64, pieces
+from .common import U64, chunks_of, mix64, pieces, ranges, text_bytes
 
 BLANK = "▁"
 NONE = np.iinfo(np.int32).max
+EVERY = 1 << 22  # more than all pieces and all code points together
+LONG = 64
 _M = (1 << 64) - 1
+_SPREAD = U64(0x9E3779B97F4A7C15)
 
 
-def _mix(x: int) -> int:
-    x = (x + 0x9E3779B97F4A7C15) & _M
-    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & _M
-    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & _M
-    return x ^ (x >> 31)
-
-
-def _gaps(x: np.ndarray, k: int, dropout: float) -> np.ndarray:
+def gaps(x: np.ndarray, k: int | np.ndarray, dropout: float) -> np.ndarray:
     """Takes between the skip before and skip `k` of the occurrences with hashes x: geometric, so that each take is
     skipped with chance `dropout` whatever came before."""
+    if dropout >= 1:
+        return np.zeros(np.broadcast(x, k).shape, np.int64)
     with np.errstate(over="ignore"):
-        u = ((mix64(x + U64(k) * U64(0x9FB21C651E98DF25)) >> U64(11)).astype(np.float64) + 0.5) / (1 << 53)
-    return np.minimum(np.log(u) / np.log1p(-dropout), 1 << 20).astype(np.int64) if dropout < 1 else np.zeros(len(x), np.int64)
+        u = ((mix64(x + np.asarray(k, U64) * U64(0x9FB21C651E98DF25)) >> U64(11)).astype(np.float64) + 0.5) * (1 / (1 << 53))
+    return np.minimum(np.log(u) * (1 / np.log1p(-dropout)), 1 << 30).astype(np.int64)
 
 
-class Codec:
-    """A vocabulary with its merges, a dropout rate, and a bounded cache of chunks by the takes that are skipped.
+class _Grown:
+    """An array that grows at its end."""
+
+    def __init__(self, kind, room: int = 1 << 12):
+        self.a, self.n = np.empty(room, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.a):
+            bigger = np.empty(max(self.n + len(values), 2 * len(self.a)), self.a.dtype)
+            bigger[: self.n] = self.a[: self.n]
+            self.a = bigger
+        self.a[self.n : self.n + len(values)] = values
+        self.n += len(values)
 
-    `streams` numbers the fixed patterns of skips that `_in_step` and `_by_heap` draw when they are given none;
-    texts are encoded with a pattern of their own for each chunk, whatever it is.
-    """
 
-    def __init__(self, model_path: str, dropout: float = 0.1, seed: int = 0, streams: int = 4, cache_chunks: int = 400_000):
+class Codec:
+    """A vocabulary with its merges, a dropout rate, a seed, and the forest of agendas. `room` bounds the forest's
+    nodes and `room` times 16 its pieces, takes and signs, beyond what one batch adds."""
+
+    def __init__(self, model_path: str, dropout: float = 0.1, seed: int = 0, room: int = 1_200_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
@@ -76,119 +90,125 @@ class Codec:
         self.sign[ord(" ")] = self.chars.get(BLANK, n + ord(" "))
         self.wide = np.dtype("<u2") if n <= 1 << 16 else np.dtype("<u4")
         self.spelled = [bytes([int(names[i][3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else names[i].replace(BLANK, " ").encode() for i in range(n)]
+        self.spelled_len = np.array(list(map(len, self.spelled)), np.int64)
+        self.spelled_at = np.cumsum(self.spelled_len) - self.spelled_len
+        self.spelled_all = np.frombuffer(b"".join(self.spelled), np.uint8)
         self.merges = {(a, b): (c, r) for a, b, c, r in merges}
         self._hashed(np.array(merges, np.int64).reshape(-1, 4))
-        self.dropout, self.seed, self.streams = dropout, seed, streams if dropout else 1
-        self.room, self.held = cache_chunks, 0
-        # chunk, or (chunk, skipped takes ...) -> pieces and the number of takes
-        self.cache: dict[str | tuple, tuple[bytes, int]] = {}
-        self.older: dict[str | tuple, tuple[bytes, int]] = {}
+        self.dropout, self.seed, self.room = dropout, seed, room
+        self._clear()
 
-    def _hashed(self, merges: np.ndarray) -> None:
-        """An open-addressing table of the merges, for look-ups by arrays."""
-        bits = max(8, int(len(merges) * 4).bit_length())
-        self.shift = U64(64 - bits)
-        size = 1 << bits
-        self.keys, self.made, self.rank = np.full(size, -1, np.int64), np.full(size, -1, np.int32), np.full(size, NONE, np.int32)
-        key = merges[:, 0] * self.size + merges[:, 1]
-        at = self._slot(key)
-        todo, self.probes = np.arange(len(merges)), 0
-        while len(todo):
-            self.probes += 1
-            free = todo[self.keys[at[todo]] < 0]
-            self.keys[at[free]] = key[free]
-            won = todo[self.keys[at[todo]] == key[todo]]
-            self.made[at[won]], self.rank[at[won]] = merges[won, 2], merges[won, 3]
-            todo = np.setdiff1d(todo, won)
-            at[todo] = (at[todo] + 1) % size
-
-    def _slot(self, key: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return ((key.astype(U64) * U64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
-
-    def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The piece that left and right make, and its rank (NONE: they make none)."""
-        shape = left.shape
-        left, right = left.ravel(), right.ravel()
-        made, rank = np.full(len(left), -1, np.int32), np.full(len(left), NONE, np.int32)
-        todo = np.flatnonzero((left >= 0) & (right >= 0) & (left < self.size) & (right < self.size))
-        key = left[todo].astype(np.int64) * self.size + right[todo]
-        at = self._slot(key)
-        for _ in range(self.probes):
-            seen = self.keys[at]
-            hit = seen == key
-            made[todo[hit]], rank[todo[hit]] = self.made[at[hit]], self.rank[at[hit]]
-            more = ~hit & (seen >= 0)
-            if not more.any():
-                break
-            todo, key, at = todo[more], key[more], (at[more] + 1) % len(self.keys)
-        return made.reshape(shape), rank.reshape(shape)
-
-    def _signs(self, chunk: str) -> list[int]:
-        """Pieces of single signs; a sign without one is the vocabulary's size plus its code point. Blanks come as ' '."""
-        return self.sign[np.frombuffer(chunk.encode("utf-32-le"), np.uint32)].tolist()
+    # ---- merges by arrays
 
-    def _pattern(self, stream: int, takes: int) -> list[int]:
-        """The takes below `takes` that a fixed stream skips."""
-        if not self.dropout:
-            return []
-        x = np.array([_mix(_mix(self.seed & _M) ^ stream)], U64)
-        out, at, k = [], -1, 0
-        while (at := at + 1 + int(_gaps(x, k, self.dropout)[0])) < takes:
-            out.append(at)
-            k += 1
-        return out
-
-    def _in_step(self, sym: np.ndarray, streams: np.ndarray) -> np.ndarray:
-        """The agenda for chunks of one length under fixed streams."""
-        patterns = [self._pattern(int(v), 3 * sym.shape[1]) for v in streams]
-        skips = np.full((len(sym), max(map(len, patterns), default=0)), -1, np.int64)
-        for i, p in enumerate(patterns):
-            skips[i, : len(p)] = p
-        return self._stepped(sym, skips)[0]
-
-    def _stepped(self, sym: np.ndarray, skips: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The agenda for many chunks of one length at once (a row each): take t is the best candidate of every
-        chunk that has one, and is skipped where the row of skips has t. The rows of the result end in -1 where they
-        are shorter; with them come the numbers of takes."""
-        wide = sym.shape[1]
-        final, takes = sym.copy(), np.zeros(len(sym), np.int64)
+    def _hashed(self, merges: np.ndarray) -> None:
+        """A perfect hash table of the merges, for look-ups by arrays: the keys of a bucket are moved by the bucket's
+        offset to free slots, largest buckets first. A slot holds the pair and the rank of its merge in one number."""
+        by_rank, kinds = np.unique(np.unique(merges[:, 3:1:-1], axis=0)[:, 0], return_counts=True)
+        self.made = np.full(int(merges[:, 3].max(initial=0)) + 1, -1, np.int32)  # by rank; -1 where pieces share one
+        self.made[merges[:, 3]] = merges[:, 2]
+        self.made[by_rank[kinds > 1]] = -1
+        size = 1 << max(8, int(4 * len(merges)).bit_length())
+        buckets = size >> 3
+        self.bucket_shift, self.mask = U64(64 - (buckets.bit_length() - 1)), U64(size - 1)
+        key = merges[:, 0] * EVERY + merges[:, 1]
+        h = key.view(U64) * _SPREAD
+        bucket = (h >> self.bucket_shift).astype(np.int64)
+        places = ((h >> U64(20)) & self.mask).astype(np.int64)
+        self.moved, self.slots = np.zeros(buckets, U64), np.full(size, -1, np.int64)
+        free = np.ones(size, bool)
+        order = np.argsort(bucket, kind="stable")
+        groups = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []
+        for g in sorted(groups, key=len, reverse=True):
+            mine, by = places[g], 0
+            if len(set(mine.tolist())) < len(mine):
+                raise ValueError("two merges have the same place")
+            while not free[at := (mine + by) & (size - 1)].all():
+                by += 1
+                if by > size:
+                    raise ValueError("no room for a bucket of merges")
+            free[at] = False
+            self.moved[bucket[g[0]]] = by
+            self.slots[at] = (key[g] << 20) | merges[g, 3]
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The ranks of the merges of left and right; NONE where they make none. Symbols that are no pieces never do."""
+        key = left * np.int64(EVERY)
+        key += right
+        h = key.view(U64) * _SPREAD
+        at = self.moved.take((h >> self.bucket_shift).view(np.int64))
+        h >>= U64(20)
+        at += h
+        at &= self.mask
+        found = self.slots.take(at.view(np.int64))
+        key ^= found >> 20
+        found &= (1 << 20) - 1
+        found[key != 0] = NONE
+        return found
+
+    # ---- agendas
+
+    def stepped(self, sym: np.ndarray, skips: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The agenda for many chunks at once (a row each, under 120 signs, filled up with -1): take t is the best
+        candidate of every chunk that has one, and is skipped where the row of skips has t. Of the result's rows the
+        values from 0 on count; with them come the numbers of takes.
+
+        Inside, a chunk is a column with a border at both ends, and a candidate is its rank and place in one number.
+        """
+        n, wide = sym.shape
+        takes, final = np.zeros(n, np.int64), sym.copy()
         if wide < 2:
             return final, takes
-        rank = np.full(sym.shape, NONE, np.int32)
-        rank[:, :-1] = self._pairs(sym[:, :-1], sym[:, 1:])[1]
-        row, t = np.arange(len(sym)), 0
-        steps = np.arange(wide)
-        while len(row):
-            at = rank.argmin(axis=1)
-            mine = np.arange(len(row))
-            live = rank[mine, at] != NONE
-            if not live.all():
-                final[row[~live]], takes[row[~live]] = sym[~live], t
-                row, skips, sym, rank, at = row[live], skips[live], sym[live], rank[live], at[live]
-                mine = np.arange(len(row))
-            if skips.shape[1]:
-                skip = (skips == t).any(axis=1)
-                rank[mine[skip], at[skip]] = NONE
-                mine, at = mine[~skip], at[~skip]
+        signs = np.full((wide + 2, n), -1, np.int32)
+        signs[1:-1] = sym.T
+        place = np.arange(wide + 2, dtype=np.int32)[:, None]
+        best = np.full(signs.shape, NONE, np.int32)
+        best[1:-2] = self._candidates(self._ranks(signs[1:-2].ravel(), signs[2:-1].ravel()), np.repeat(place[1:-2, 0], n)).reshape(wide - 1, n)
+        after, before = np.repeat(place + 1, n, axis=1).ravel(), np.repeat(place - 1, n, axis=1).ravel()
+        signs, best = signs.ravel(), best.ravel()
+        mine, t, skips = np.arange(n), 0, skips.T
+        while True:
+            top = best.reshape(wide + 2, n).min(axis=0)
+            live = np.flatnonzero(top != NONE)
+            if len(live) < 0.75 * n:  # leave out the columns that are done
+                done = top == NONE
+                final[mine[done]] = signs.reshape(wide + 2, n)[1:-1, done].T
+                takes[mine[~done]] = t
+                signs, best, after, before = (x.reshape(wide + 2, n)[:, live].ravel() for x in (signs, best, after, before))
+                mine, skips, top, n = mine[live], skips[:, live], top[live], len(live)
+                live = np.arange(n)
+                if not n:
+                    break
+            takes[mine[live]] = t + 1
+            column, chosen = live, top[live]
+            place = chosen & 127
+            at = place.astype(np.int64) * n + column
+            best[at] = NONE
+            for row in skips:
+                if (skip := row.take(column) == t).any():
+                    go = ~skip
+                    column, at, chosen, place = column[go], at[go], chosen[go], place[go]
             t += 1
-            sym[mine, at] = self._pairs(sym[mine, at], sym[mine, at + 1])[0]
-            turn = np.minimum(steps + (steps > at[:, None]), wide - 1)
-            for x, empty in ((sym, -1), (rank, NONE)):
-                moved = x[mine[:, None], turn]
-                moved[:, -1] = empty
-                x[mine] = moved
-            for d in (-1, 0):
-                ok = (at + d >= 0) & (at + d + 1 < wide)
-                m, a = mine[ok], at[ok] + d
-                rank[m, a] = self._pairs(sym[m, a], sym[m, a + 1])[1]
+            next_ = after.take(at).astype(np.int64) * n + column
+            made = self.made.take(chosen >> 7)
+            if len(tied := np.flatnonzero(made < 0)):
+                made[tied] = [self.merges[pair][0] for pair in zip(signs[at[tied]].tolist(), signs[next_[tied]].tolist(), strict=True)]
+            beyond = after.take(next_)
+            right = beyond.astype(np.int64) * n + column
+            back = before.take(at)
+            left = back.astype(np.int64) * n + column
+            signs[at], signs[next_], best[next_], after[at], before[right] = made, -1, NONE, beyond, place
+            best[at] = self._candidates(self._ranks(made, signs.take(right)), place)
+            best[left] = self._candidates(self._ranks(signs.take(left), made), back)
         return final, takes
 
-    def _by_heap(self, sym: list[int], stream: int) -> list[int]:
-        """The agenda for one chunk under a fixed stream."""
-        return self._heaped(sym, self._pattern(stream, 3 * len(sym)))[0]
+    @staticmethod
+    def _candidates(rank: np.ndarray, place: np.ndarray) -> np.ndarray:
+        found = (rank << 7) + place
+        found[rank == NONE] = NONE
+        return found
 
-    def _heaped(self, sym: list[int], skips: Iterable[int]) -> tuple[list[int], int]:
+    def heaped(self, sym: list[int], skips: Iterable[int]) -> tuple[list[int], int]:
+        """The agenda for one chunk, by heap."""
         n, get, skips, takes = len(sym), self.merges.get, set(skips), 0
         after, before, heap = list(range(1, n + 1)), list(range(-1, n - 1)), []
 
@@ -216,102 +236,200 @@ class Codec:
             offer(i)
         return [s for s in sym if s >= 0], takes
 
-    def _spell(self, found: list[int]) -> bytes:
-        if found and max(found) >= self.size:
-            found = [x for s in found for x in ([s] if s < self.size else [self.bytes_[b] for b in chr(s - self.size).encode()])]
-        return np.array(found, self.wide).tobytes()
-
-    def _learn(self, wanted: set[str | tuple]) -> None:
-        """Put chunks into the cache. It has two generations of half its room: what isn't used for one goes."""
-        self.held += len(wanted)
-        by: dict[tuple[int, int], list[str | tuple]] = {}
-        for key in wanted:
-            chunk, skips = (key, ()) if isinstance(key, str) else (key[0], key[1:])
-            known = self.older.get(key)
-            if known is not None:
-                self.cache[key] = known
-            elif len(chunk) > 64:
-                found, takes = self._heaped(self._signs(chunk), skips)
-                self.cache[key] = self._spell(found), takes
-            else:
-                by.setdefault((len(chunk), len(skips)), []).append(key)
-        for (n, drawn), keys in by.items():
-            for k in range(0, len(keys), 20_000):
-                part = keys[k : k + 20_000]
-                chunks = [x[0] for x in part] if drawn else part
-                points = np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32).reshape(len(part), n)
-                found, takes = self._stepped(self.sign[points], np.array([x[1:] for x in part] if drawn else np.empty((len(part), 0)), np.int64))
-                flat = found[found >= 0]
-                ends = np.cumsum((found >= 0).sum(axis=1)) * self.wide.itemsize
-                raw = flat.astype(self.wide).tobytes()
-                odd = set(np.flatnonzero((found >= self.size).any(axis=1)).tolist())
-                start = 0
-                for i, (key, end, many) in enumerate(zip(part, ends.tolist(), takes.tolist(), strict=True)):
-                    self.cache[key] = (self._spell([x for x in found[i].tolist() if x >= 0]) if i in odd else raw[start:end]), many
-                    start = end
+    def signs(self, chunk: str) -> list[int]:
+        """Pieces of single signs; a sign without one is the vocabulary's size plus its code point. Blanks come as ' '."""
+        return self.sign[np.frombuffer(chunk.encode("utf-32-le"), np.uint32)].tolist()
 
-    @staticmethod
-    def chunks(text: str) -> list[str]:
-        """The text with its blank in front, cut before each run of blanks."""
-        if "  " in text or text[:1] == " " or text[-1:] == " ":
-            return re.findall(" *[^ ]+| +", " " + text)
-        return [" " + w for w in text.split(" ")]
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Piece ids of each text; a null or empty text has none."""
-        out = []
-        for s in range(0, len(texts), 64):  # a generation ends between groups, not within one
-            group = texts[s : s + 64]
-            cut = [self.chunks(t) if t else [] for t in group]
-            if self.held > self.room // 2:
-                self.older, self.cache, self.held = self.cache, {}, 0
-            flat = [c for chunks in cut for c in chunks]
-            found = self._drawn(flat, self._hashes(group, cut)) if self.dropout else [x[0] for x in self._looked_up(flat)]
-            at = 0
-            for chunks in cut:
-                out.append(np.frombuffer(b"".join(found[at : at + len(chunks)]), self.wide))
-                at += len(chunks)
-        return out
-
-    def _hashes(self, texts: list[str | None], cut: list[list[str]]) -> np.ndarray:
-        """A hash of seed, text and place for each chunk."""
-        with np.errstate(over="ignore"):
-            return np.concatenate([mix64(np.arange(len(c), dtype=U64) * U64(0xD1342543DE82EF95) + U64(xxhash.xxh3_64_intdigest((t or "").encode(), self.seed & _M))) for t, c in zip(texts, cut, strict=True)])
-
-    def _looked_up(self, keys: list) -> list[tuple[bytes, int]]:
-        """Pieces and takes of chunks or (chunk, skipped takes ...), by way of the cache."""
-        cache = self.cache
-        if missing := set(keys).difference(cache):
-            self._learn(missing)
-        return [cache[k] for k in keys]
-
-    def _drawn(self, flat: list[str], x: np.ndarray) -> list[bytes]:
-        """Pieces of the chunks whose occurrences have the hashes x. Round k finds the agenda with the first k skips;
-        where the next skip comes after its last take, that is the result."""
-        looked = self._looked_up(flat)
-        out = [p for p, _ in looked]
-        takes = np.fromiter((n for _, n in looked), np.int64, len(looked))
-        skip, k = _gaps(x, 0, self.dropout), 0
-        left = np.flatnonzero(skip < takes)
-        skip, keys = skip[left], [(flat[i],) for i in left.tolist()]
+    # ---- the forest
+
+    def _clear(self) -> None:
+        self.roots: dict[str, int] = {}  # by chunk without its first blank
+        # of chunks: start and number of their signs, start and number of their bytes
+        self.sign_at, self.sign_n, self.byte_at, self.byte_n = (_Grown(np.int32) for _ in range(4))
+        self.all_signs, self.all_bytes = _Grown(np.int32), _Grown(np.uint8)
+        # of nodes: chunk, parent, the take it skips more than its parent, takes, first slot of its children less its first
+        # free take, start and number of pieces, whether they spell the chunk
+        self.word, self.parent, self.skipped, self.takes, self.base, self.start, self.many = (_Grown(np.int32) for _ in range(7))
+        self.good, self.child, self.pool = _Grown(bool), _Grown(np.int32), _Grown(self.wide)
+
+    def _skips(self, parent: np.ndarray, skipped: np.ndarray) -> np.ndarray:
+        """A row for each new node: the takes skipped on the way up to its root, filled up with -1."""
+        columns, at = [], np.flatnonzero(parent >= 0)
+        skips, up = skipped[at], parent[at]
+        while len(at):
+            columns.append((at, skips))
+            skips, up = self.skipped.a[up], self.parent.a[up]
+            live = skips >= 0
+            at, skips, up = at[live], skips[live], up[live]
+        table = np.full((len(parent), len(columns)), -1, np.int64)
+        for k, (rows, s) in enumerate(columns):
+            table[rows, k] = s
+        return table
+
+    def _with_bytes(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces with byte pieces for signs that have none, and how many each made."""
+        many = np.ones(len(flat), np.int64)
+        odd = np.flatnonzero(flat >= self.size)
+        if not len(odd):
+            return flat, many
+        points, which = np.unique(flat[odd], return_inverse=True)
+        spelt = [[self.bytes_[x] for x in chr(p - self.size).encode()] for p in points.tolist()]
+        sizes = np.array(list(map(len, spelt)))
+        many[odd] = sizes[which]
+        out = np.repeat(flat, many)
+        out[ranges((np.cumsum(many) - many)[odd], many[odd])] = np.concatenate(spelt)[ranges((np.cumsum(sizes) - sizes)[which], many[odd])]
+        return out, many
+
+    def _grow(self, word: np.ndarray, parent: np.ndarray, skipped: np.ndarray) -> np.ndarray:
+        """New nodes, by chunk, parent (-1: none) and the take to skip."""
+        new = self.word.n + np.arange(len(word))
+        table = self._skips(parent, skipped)
+        sizes, begins = self.sign_n.a[word], self.sign_at.a[word]
+        many, takes, start = np.zeros(len(word), np.int64), np.zeros(len(word), np.int64), np.zeros(len(word), np.int64)
+        for low, high in ((0, 4), (4, 6), (6, 8), (8, 11), (11, 16), (16, 24), (24, 40), (40, LONG)):
+            mine = np.flatnonzero((sizes > low) & (sizes <= high))
+            for s in range(0, len(mine), 1 << 14):
+                rows = mine[s : s + (1 << 14)]
+                sym = np.full((len(rows), int(sizes[rows].max())), -1, np.int32)
+                sym[np.arange(sym.shape[1]) < sizes[rows][:, None]] = self.all_signs.a[ranges(begins[rows], sizes[rows])]
+                found, takes[rows] = self.stepped(sym, table[rows])
+                real = found >= 0
+                flat, made = self._with_bytes(found[real])
+                here = real.sum(axis=1)
+                many[rows] = np.add.reduceat(made, np.cumsum(here) - here)
+                start[rows] = self.pool.n + np.cumsum(many[rows]) - many[rows]
+                self.pool.add(flat)
+        free = np.where(parent >= 0, skipped + 1, 0)
+        slots = np.maximum(takes - free, 0)
+        self.word.add(word)
+        self.parent.add(parent)
+        self.skipped.add(np.where(parent >= 0, skipped, -1))
+        self.takes.add(takes)
+        self.base.add(self.child.n + np.cumsum(slots) - slots - free)
+        self.start.add(start)
+        self.many.add(many)
+        self.good.add(self._spells(word, start, many))
+        self.child.add(np.full(int(slots.sum()), -1, np.int32))
+        return new
+
+    def _spells(self, word: np.ndarray, start: np.ndarray, many: np.ndarray) -> np.ndarray:
+        """Whether the pieces from `start` on spell the chunk."""
+        ids = self.pool.a[ranges(start, many)]
+        lengths = self.spelled_len[ids]
+        total, want = np.add.reduceat(lengths, np.cumsum(many) - many), self.byte_n.a[word]
+        good = total == want
+        if not good.all():  # compare those alone that have the right length
+            some = np.flatnonzero(good)
+            if len(some):
+                good[some] = self._spells(word[some], start[some], many[some])
+            return good
+        same = self.spelled_all[ranges(self.spelled_at[ids], lengths)] == self.all_bytes.a[ranges(self.byte_at.a[word], want)]
+        return np.logical_and.reduceat(same, np.cumsum(total) - total)
+
+    def _rooted(self, keys: list[str]) -> np.ndarray:
+        """The roots of chunks (given without their first blank); -1 for long ones."""
+        node = np.fromiter(map(self.roots.get, keys, repeat(-1)), np.int64, len(keys))
+        missing = [i for i in np.flatnonzero(node < 0).tolist() if len(keys[i]) < LONG]
+        if missing:
+            names = [keys[i] for i in missing]
+            text = " " + " ".join(names)
+            sizes = np.fromiter(map(len, names), np.int64, len(names)) + 1
+            points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+            begin = np.cumsum(sizes) - sizes
+            octets = np.add.reduceat(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF), begin)
+            word = self.sign_at.n + np.arange(len(names))
+            self.sign_at.add(self.all_signs.n + begin)
+            self.sign_n.add(sizes)
+            self.byte_at.add(self.all_bytes.n + np.cumsum(octets) - octets)
+            self.byte_n.add(octets)
+            self.all_signs.add(self.sign[points])
+            self.all_bytes.add(np.frombuffer(text.encode(), np.uint8))
+            none = np.full(len(names), -1, np.int64)
+            node[missing] = new = self._grow(word, none, none)
+            self.roots.update(zip(names, new.tolist(), strict=True))
+        return node
+
+    def walk(self, node: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """From the roots to the nodes that occurrences with hashes x end at."""
+        node = node.copy()
+        if not self.dropout or not len(node):
+            return node
+        skip, k = gaps(x, 0, self.dropout), 0
+        left = np.flatnonzero(skip < self.takes.a[node])
+        skip = skip[left]
         while len(left):
             k += 1
-            keys = [(*key, v) for key, v in zip(keys, skip.tolist(), strict=True)]
-            looked = self._looked_up(keys)
-            for i, (p, _) in zip(left.tolist(), looked, strict=True):
-                out[i] = p
-            skip = skip + 1 + _gaps(x[left], k, self.dropout)
-            more = np.flatnonzero(skip < np.fromiter((n for _, n in looked), np.int64, len(looked)))
-            left, skip, keys = left[more], skip[more], [keys[i] for i in more.tolist()]
-        return out
+            slot = self.base.a[node[left]] + skip
+            child = self.child.a[slot]
+            if (missing := np.flatnonzero(child < 0)).size:
+                slots, one = np.unique(slot[missing], return_index=True)
+                one = missing[one]
+                up = node[left[one]]
+                self.child.a[slots] = self._grow(self.word.a[up], up, skip[one])
+                child = self.child.a[slot]
+            node[left] = child
+            skip = skip + 1 + gaps(x[left], k, self.dropout)
+            more = skip < self.takes.a[child]
+            left, skip = left[more], skip[more]
+        return node
+
+    def drawn(self, x: int, takes: int) -> list[int]:
+        """The takes below `takes` that the occurrence with hash x skips."""
+        out: list[int] = []
+        at, k = -1, 0
+        while self.dropout and at < takes:
+            some = at + np.cumsum(1 + gaps(np.full(256, x, U64), k + np.arange(256), self.dropout))
+            out += some.tolist()
+            at, k = out[-1], k + 256
+        return [s for s in out if s < takes]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Piece ids of all texts in a row, the number of each text's, and whether they spell it. A null or empty text
+        has none."""
+        if max(self.word.n, (self.child.n + self.pool.n + self.all_signs.n) // 16) > self.room:
+            self._clear()
+        data, offsets = text_bytes(texts)
+        keys, counts = chunks_of(data, offsets)
+        coded = keys.dictionary_encode()
+        index = coded.indices.to_numpy()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        node = self._rooted(names)[index]
+        whole = np.array([xxhash.xxh3_64_intdigest(data[a:b], self.seed & _M) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], U64)
+        first = np.cumsum(counts) - counts
+        with np.errstate(over="ignore"):
+            place = np.arange(len(node)) - np.repeat(first, counts)
+            x = mix64(place.astype(U64) * U64(0xD1342543DE82EF95) + np.repeat(whole, counts))
+        long = np.flatnonzero(node < 0)
+        short = np.flatnonzero(node >= 0) if len(long) else slice(None)
+        node[short] = self.walk(node[short], x[short])
+        many, good = self.many.a[node], self.good.a[node]
+        own = {}
+        for i in long.tolist():
+            chunk = " " + names[index[i]]
+            ids = self.heaped(self.signs(chunk), self.drawn(int(x[i]), 3 * len(chunk)))[0]
+            own[i] = self._with_bytes(np.array(ids, np.int64))[0].astype(self.wide)
+            many[i], good[i] = len(ids), self.spell(own[i]) == chunk.encode()
+        ends = np.cumsum(many, dtype=np.int64)
+        if own:
+            pool, start = np.concatenate([self.pool.a[: self.pool.n], *own.values()]), self.start.a[node].astype(np.int64)
+            start[list(own)] = self.pool.n + np.cumsum([0, *map(len, own.values())])[:-1]
+        else:
+            pool, start = self.pool.a, self.start.a[node]
+        ids = pool[ranges(start, many)]
+        sums = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))]
+        bad = np.concatenate(([0], np.cumsum(~good)))[np.concatenate(([0], np.cumsum(counts)))]
+        return ids, np.diff(sums), np.diff(bad) == 0
+
+    def pieces(self, text: str) -> list[int]:
+        return self.encode(pa.array([text], pa.string()))[0].tolist()
+
+    def spell(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.spelled.__getitem__, ids.tolist()))
 
     def decode(self, ids: np.ndarray) -> str:
         """The text that the pieces spell: what `encode` was given, whatever the dropout."""
-        return self.decode_bytes(ids).decode("utf-8", "replace")
-
-    def decode_bytes(self, ids: np.ndarray) -> bytes:
-        whole = b"".join(map(self.spelled.__getitem__, ids.tolist()))
-        return whole[1:] if whole[:1] == b" " else whole
+        whole = self.spell(ids)
+        return (whole[1:] if whole[:1] == b" " else whole).decode("utf-8", "replace")
 
 
 _made: dict[tuple, Codec] = {}
@@ -325,21 +443,20 @@ def codec(*key) -> Codec:
     return _made[key]
 
 
-def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 0, streams: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_pieces, ids, ids_crc32 (unsigned, of the ids as little-endian 32-bit integers) and lossless (whether
-    they decode to the text) of every whole text. model_path is read by every worker. Null and empty texts have no
-    pieces and are lossless; equal texts get equal pieces."""
+    the pieces of every chunk spell it, and so the text) of every whole text. model_path is read by every worker. Null
+    and empty texts have no pieces and are lossless; equal texts get equal pieces; an empty table gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = codec(model_path, dropout, seed, streams)
-        for b in pieces(batches, "text", mb=4):
-            texts = b.column(1).to_pylist()
-            ids = [x.astype("<i4") for x in tool.encode(texts)]
-            same = [tool.decode_bytes(x) == (t or "").encode() for x, t in zip(ids, texts, strict=True)]
-            ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
-            crc = [zlib.crc32(x.tobytes()) for x in ids]
-            yield pa.record_batch([b.column(0), pa.array(np.diff(ends).astype(np.int64)), lists, pa.array(crc, pa.int64()), pa.array(same)], ["doc_id", "n_pieces", "ids", "ids_crc32", "lossless"])
+        tool = codec(model_path, dropout, seed)
+        for b in pieces(batches, "text", rows=4096, mb=4):
+            ids, many, good = tool.encode(b.column(1))
+            ids = ids.astype("<i4")
+            ends = np.concatenate(([0], np.cumsum(many))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))
+            crc = [zlib.crc32(ids[s:e]) for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            yield pa.record_batch([b.column(0), pa.array(many.astype(np.int64)), lists, pa.array(crc, pa.int64()), pa.array(good)], ["doc_id", "n_pieces", "ids", "ids_crc32", "lossless"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_pieces long, ids array<int>, ids_crc32 long, lossless boolean")

@@ -1,13 +1,18 @@
 from __future__ import annotations
 
+import functools
 import hashlib
 import io
+import math
+import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from public_tokenizers import path
@@ -23,31 +28,96 @@ def codecs():
     return sentencepiece_bpe.Codec(MODEL, 0.0), sentencepiece_bpe.Codec(MODEL, 0.3, 5)
 
 
+def each(codec, texts):
+    """Pieces of every text."""
+    ids, many, good = codec.encode(pa.array(texts, pa.string()))
+    assert good.all() and len(many) == len(texts)
+    return [x.tolist() for x in np.split(ids, np.cumsum(many)[:-1])]
+
+
+@functools.cache
+def scored(sp):
+    """Ids and scores of all pieces that aren't bytes or signals."""
+    return {sp.id_to_piece(i): (i, sp.get_score(i)) for i in range(sp.vocab_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
+
+
+def plain_agenda(sp, chunk, skips):
+    """The agenda with skips, by looking at all neighbouring pairs before every take; written from its definition."""
+    symbols, banned, t = list(chunk.replace(" ", "\u2581")), set(), 0
+    tags = list(range(len(symbols)))  # a skipped candidate stays out as long as both its symbols stand
+    names = scored(sp)
+    known = [c == " " or c != "\u2581" and c in names for c in chunk]
+    fresh = len(symbols)
+    while True:
+        found = [(-names[symbols[i] + symbols[i + 1]][1], i) for i in range(len(symbols) - 1) if known[i] and known[i + 1] and symbols[i] + symbols[i + 1] in names and (tags[i], tags[i + 1]) not in banned]
+        if not found:
+            break
+        _, i = min(found)
+        if t in skips:
+            banned.add((tags[i], tags[i + 1]))
+        else:
+            symbols[i : i + 2], tags[i : i + 2], known[i : i + 2] = [symbols[i] + symbols[i + 1]], [fresh], [True]
+            fresh += 1
+        t += 1
+    return [x for s, k in zip(symbols, known, strict=True) for x in ([names[s][0]] if k else [sp.piece_to_id(f"<0x{b:02X}>") for b in s.encode()])], t
+
+
+def plain_skips(x, dropout, takes):
+    """Geometric gaps from splitmix64 draws, in integers and floats of the language."""
+    m, out, at, k = (1 << 64) - 1, set(), -1, 0
+    while at < takes:
+        z = (x + k * 0x9FB21C651E98DF25 + 0x9E3779B97F4A7C15) & m
+        z = ((z ^ (z >> 30)) * 0xBF58476D1CE4E5B9) & m
+        z = ((z ^ (z >> 27)) * 0x94D049BB133111EB) & m
+        z ^= z >> 31
+        at += 1 + (int(math.log(((z >> 11) + 0.5) / (1 << 53)) / math.log1p(-dropout)) if dropout < 1 else 0)
+        out.add(at)
+        k += 1
+    return out
+
+
+def plain_encode(sp, text, dropout, seed):
+    m, out = (1 << 64) - 1, []
+    whole = xxhash.xxh3_64_intdigest(text.encode(), seed)
+    for place, chunk in enumerate(re.findall(" *[^ ]+| +", " " + text) if text else []):
+        z = (place * 0xD1342543DE82EF95 + whole + 0x9E3779B97F4A7C15) & m
+        z = ((z ^ (z >> 30)) * 0xBF58476D1CE4E5B9) & m
+        z = ((z ^ (z >> 27)) * 0x94D049BB133111EB) & m
+        out += plain_agenda(sp, chunk, plain_skips(z ^ (z >> 31), dropout, 3 * len(chunk)))[0]
+    return out
+
+
 def test_without_dropout_it_is_the_librarys_encoding(codecs, texts):
     sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     some = [t for t in texts.values() if t]
-    assert [x.tolist() for x in codecs[0].encode(some)] == sp.encode(some)
+    assert each(codecs[0], some) == sp.encode(some)
+
+
+@pytest.mark.parametrize(("dropout", "seed"), [(0.1, 17), (0.5, 3), (1.0, 0)])
+def test_dropout_equals_a_plain_agenda(texts, dropout, seed):
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    codec = sentencepiece_bpe.Codec(MODEL, dropout, seed)
+    some = [t[:1000] for t in texts.values() if t][:25] + ["", " ", "a  b ", "\u2581x  y", "日本語 " * 3, "z" * 130 + " ab", "word " + "internationalisation" * 9]
+    for _ in range(2):  # with an empty forest, and with one
+        assert each(codec, some) == [plain_encode(sp, t, dropout, seed) for t in some]
 
 
 def test_dropout_varies_and_loses_nothing(codecs, texts):
     plain, dropped = codecs
     some = [t for t in texts.values() if t]
-    got = dropped.encode(some)
-    assert all(dropped.decode(x) == t for x, t in zip(got, some, strict=True))
-    assert sum(x.tolist() != y.tolist() for x, y in zip(got, plain.encode(some), strict=True)) > 0.9 * len(some)
-    again = sentencepiece_bpe.Codec(MODEL, 0.3, 5).encode(some[::-1])[::-1]
-    assert all((a == b).all() for a, b in zip(got, again, strict=True))
-    other = sentencepiece_bpe.Codec(MODEL, 0.3, 6).encode(some)
-    assert any(a.tolist() != b.tolist() for a, b in zip(got, other, strict=True))
-    forms = {tuple(dropped.encode([f"w{i} information"])[0].tolist()[-8:]) for i in range(64)}
-    assert len(forms) > 2  # one word, several segmentations
+    got = each(dropped, some)
+    assert all(dropped.decode(np.array(x)) == t for x, t in zip(got, some, strict=True))
+    assert sum(x != y for x, y in zip(got, each(plain, some), strict=True)) > 0.9 * len(some)
+    small = sentencepiece_bpe.Codec(MODEL, 0.3, 5, room=10)  # a forest that starts anew with every batch
+    assert [x for t in some[::-1] for x in each(small, [t])][::-1] == got
+    assert each(sentencepiece_bpe.Codec(MODEL, 0.3, 6), some) != got
 
 
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=60))
 def test_any_text_survives(text):
     c = _codec()
-    assert c.decode(c.encode([text])[0]) == text
+    assert c.decode(np.array(c.pieces(text), np.int64)) == text
 
 
 def _codec(made=[]):  # noqa: B006
@@ -56,29 +126,28 @@ def _codec(made=[]):  # noqa: B006
     return made[0]
 
 
-def test_heap_equals_steps(codecs, texts):
-    c = codecs[1]
-    words = list({" " + w for t in texts.values() if t for w in t.split()})[:1500]
-    for i, w in enumerate(words):
-        signs, s = c._signs(w), i % c.streams
-        steps = [x for x in c._in_step(np.array([signs], np.int32), np.array([s]))[0].tolist() if x >= 0]
-        assert steps == c._by_heap(list(signs), s)
-
-
 def test_skips_are_drawn_for_each_occurrence():
+    """One word has as many segmentations as independent draws give it, within a text and over texts."""
     c = sentencepiece_bpe.Codec(MODEL, 0.1, 17)
     rng = np.random.default_rng(3)
-    for word in (" information", " of", " unbelievably"):
-        want = Counter(tuple(c._heaped(c._signs(word), np.flatnonzero(rng.random(64) < 0.1).tolist())[0]) for _ in range(4000))
-        apart = Counter(tuple(np.frombuffer(p, c.wide).tolist()) for p in c._drawn([word] * 4000, c._hashes([f"w{i}" for i in range(4000)], [[word]] * 4000)))
-        within = Counter(tuple(np.frombuffer(p, c.wide).tolist()) for p in c._drawn([word] * 4000, c._hashes(["w" + word * 4000], [[word] * 4000])))
-        for got in (apart, within):  # as independent draws have it
-            assert all(abs(got[k] - want[k]) < 120 for k in got | want)
-    assert len({tuple(c.encode([f"w{i} information"])[0].tolist()[-6:]) for i in range(1000)}) > 12
-    word = " information"
-    for skips in [(0,), (1, 2), (0, 3, 5), (2, 3, 4, 5, 6)]:
-        found, many = c._stepped(np.array([c._signs(word)], np.int32), np.array([skips]))
-        assert ([x for x in found[0].tolist() if x >= 0], int(many[0])) == c._heaped(c._signs(word), skips)
+    for word in ("information", "of", "unbelievably"):
+        want = Counter(tuple(c.heaped(c.signs(" " + word), np.flatnonzero(rng.random(64) < 0.1).tolist())[0]) for _ in range(4000))
+        within, got, at = c.pieces(" ".join([word] * 4000)), Counter(), 0
+        for e in [*(i for i, p in enumerate(within) if c.spelled[p][:1] == b" " and i), len(within)]:
+            got[tuple(within[at:e])] += 1
+            at = e
+        assert sum(got.values()) == 4000 and all(abs(got[k] - want[k]) < 120 for k in got | want)
+        assert len(got) > 4 or word == "of"
+    assert len({tuple(x[-6:]) for x in each(c, [f"w{i} information" for i in range(1000)])}) > 12
+
+
+def test_texts_without_blanks():
+    """Megabytes without a blank are one chunk: none of it is kept in the forest."""
+    c = sentencepiece_bpe.Codec(MODEL, 0.1, 17)
+    text = "".join(f"palavra{i % 977}ção" for i in range(200_000))
+    assert len(text) > 2 << 20 and c.decode(np.array(c.pieces(text))) == text
+    assert c.word.n == 0
+    assert sentencepiece_bpe.Codec(MODEL, 0.0).pieces(text[:50_000]) == sentencepiece.SentencePieceProcessor(model_file=MODEL).encode(text[:50_000])
 
 
 def test_sentencepiece_query(spark, data, texts, odd, none):

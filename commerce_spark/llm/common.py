@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,6 +98,89 @@ def chunks_of(data: np.ndarray, offsets: np.ndarray, cut: np.ndarray | None = No
     return pa.StringArray.from_buffers(len(at), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))), np.diff(np.searchsorted(at, offsets))
 
 
+class Grown:
+    """An array that grows at its end."""
+
+    def __init__(self, kind, room: int = 1 << 12):
+        self.a, self.n = np.empty(room, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.a):
+            bigger = np.empty(max(self.n + len(values), 2 * len(self.a)), self.a.dtype)
+            bigger[: self.n] = self.a[: self.n]
+            self.a = bigger
+        self.a[self.n : self.n + len(values)] = values
+        self.n += len(values)
+
+
+class Names:
+    """Numbers strings from 0 on, exactly: an open-addressing table by 64-bit hash over their bytes, all in arrays."""
+
+    def __init__(self):
+        self.hash, self.at, self.size, self.bytes = Grown(np.uint64), Grown(np.int64), Grown(np.int32), Grown(np.uint8)
+        self.table = np.full(1 << 16, -1, np.int32)
+
+    def __len__(self) -> int:
+        return self.hash.n
+
+    def _same(self, found: np.ndarray, data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether the strings `found` have the bytes given."""
+        ok = self.size.a[found] == size
+        some = np.flatnonzero(ok & (size > 0))
+        if len(some):
+            n = size[some]
+            same = self.bytes.a[ranges(self.at.a[found[some]], n)] == data[ranges(at[some], n)]
+            ok[some] = np.logical_and.reduceat(same, np.cumsum(n) - n)
+        return ok
+
+    def _first(self, h: np.ndarray) -> np.ndarray:
+        return (h >> U64(64 - (len(self.table).bit_length() - 1))).astype(np.int64)
+
+    def find(self, data: np.ndarray, at: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """The numbers of strings (bytes, starts with the end, hashes); -1 for those not held."""
+        size, out = np.diff(at), np.full(len(h), -1, np.int64)
+        slot, todo = self._first(h), np.arange(len(h))
+        while len(todo):
+            here = self.table[slot[todo]].astype(np.int64)
+            full = here >= 0
+            todo, here = todo[full], here[full]
+            like = np.flatnonzero(self.hash.a[here] == h[todo])
+            hit = np.zeros(len(todo), bool)
+            hit[like] = self._same(here[like], data, at[todo[like]], size[todo[like]])
+            out[todo[hit]] = here[hit]
+            todo = todo[~hit]
+            slot[todo] = (slot[todo] + 1) & (len(self.table) - 1)
+        return out
+
+    def add(self, data: np.ndarray, at: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Numbers for strings not held yet, all different."""
+        new = self.hash.n + np.arange(len(h))
+        self.at.add(self.bytes.n + at[:-1])
+        self.size.add(np.diff(at))
+        self.bytes.add(data)
+        self.hash.add(h)
+        if 2 * self.hash.n > len(self.table):
+            self.table = np.full(1 << (4 * self.hash.n).bit_length(), -1, np.int32)
+            self._place(np.arange(self.hash.n))
+        else:
+            self._place(new)
+        return new
+
+    def _place(self, number: np.ndarray) -> None:
+        slot = self._first(self.hash.a[number])
+        while len(number):
+            free = self.table[slot] < 0
+            self.table[slot[free]] = number[free]  # of several, the last one stays
+            left = self.table[slot] != number
+            number, slot = number[left], (slot[left] + 1) & (len(self.table) - 1)
+
+
+def hashes(strings: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each string."""
+    h = xxhash.xxh3_64_intdigest
+    return np.fromiter(map(h, strings.to_numpy(zero_copy_only=False).tolist()), np.uint64, len(strings))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser of unsigned 64-bit integers."""
     with np.errstate(over="ignore"):

@@ -20,15 +20,15 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, chunks_of, mix64, pieces, ranges, text_bytes
+from .common import U64, Grown, Names, chunks_of, hashes, mix64, pieces, ranges, text_bytes
 
 BLANK = "▁"
 NONE = np.iinfo(np.int32).max
@@ -48,21 +48,6 @@ def gaps(x: np.ndarray, k: int | np.ndarray, dropout: float) -> np.ndarray:
     return np.minimum(np.log(u) * (1 / np.log1p(-dropout)), 1 << 30).astype(np.int64)
 
 
-class _Grown:
-    """An array that grows at its end."""
-
-    def __init__(self, kind, room: int = 1 << 12):
-        self.a, self.n = np.empty(room, kind), 0
-
-    def add(self, values: np.ndarray) -> None:
-        if self.n + len(values) > len(self.a):
-            bigger = np.empty(max(self.n + len(values), 2 * len(self.a)), self.a.dtype)
-            bigger[: self.n] = self.a[: self.n]
-            self.a = bigger
-        self.a[self.n : self.n + len(values)] = values
-        self.n += len(values)
-
-
 class Codec:
     """A vocabulary with its merges, a dropout rate, a seed, and the forest of agendas. `room` bounds the forest's
     nodes and `room` times 16 its pieces, takes and signs, beyond what one batch adds."""
@@ -243,14 +228,14 @@ class Codec:
     # ---- the forest
 
     def _clear(self) -> None:
-        self.roots: dict[str, int] = {}  # by chunk without its first blank
-        # of chunks: start and number of their signs, start and number of their bytes
-        self.sign_at, self.sign_n, self.byte_at, self.byte_n = (_Grown(np.int32) for _ in range(4))
-        self.all_signs, self.all_bytes = _Grown(np.int32), _Grown(np.uint8)
+        self.words = Names()  # chunks without their first blank
+        # of chunks: root, start and number of their signs, start and number of their bytes
+        self.root, self.sign_at, self.sign_n, self.byte_at, self.byte_n = (Grown(np.int32) for _ in range(5))
+        self.all_signs, self.all_bytes = Grown(np.int32), Grown(np.uint8)
         # of nodes: chunk, parent, the take it skips more than its parent, takes, first slot of its children less its first
         # free take, start and number of pieces, whether they spell the chunk
-        self.word, self.parent, self.skipped, self.takes, self.base, self.start, self.many = (_Grown(np.int32) for _ in range(7))
-        self.good, self.child, self.pool = _Grown(bool), _Grown(np.int32), _Grown(self.wide)
+        self.word, self.parent, self.skipped, self.takes, self.base, self.start, self.many = (Grown(np.int32) for _ in range(7))
+        self.good, self.child, self.pool = Grown(bool), Grown(np.int32), Grown(self.wide)
 
     def _skips(self, parent: np.ndarray, skipped: np.ndarray) -> np.ndarray:
         """A row for each new node: the takes skipped on the way up to its root, filled up with -1."""
@@ -326,27 +311,32 @@ class Codec:
         same = self.spelled_all[ranges(self.spelled_at[ids], lengths)] == self.all_bytes.a[ranges(self.byte_at.a[word], want)]
         return np.logical_and.reduceat(same, np.cumsum(total) - total)
 
-    def _rooted(self, keys: list[str]) -> np.ndarray:
+    def _rooted(self, names: pa.Array) -> np.ndarray:
         """The roots of chunks (given without their first blank); -1 for long ones."""
-        node = np.fromiter(map(self.roots.get, keys, repeat(-1)), np.int64, len(keys))
-        missing = [i for i in np.flatnonzero(node < 0).tolist() if len(keys[i]) < LONG]
-        if missing:
-            names = [keys[i] for i in missing]
-            text = " " + " ".join(names)
-            sizes = np.fromiter(map(len, names), np.int64, len(names)) + 1
-            points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-            begin = np.cumsum(sizes) - sizes
-            octets = np.add.reduceat(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF), begin)
-            word = self.sign_at.n + np.arange(len(names))
-            self.sign_at.add(self.all_signs.n + begin)
-            self.sign_n.add(sizes)
-            self.byte_at.add(self.all_bytes.n + np.cumsum(octets) - octets)
-            self.byte_n.add(octets)
+        data, at = text_bytes(names)
+        h = hashes(names)
+        word = self.words.find(data, at, h)
+        node = np.where(word >= 0, self.root.a[word], -1).astype(np.int64)
+        missing = np.flatnonzero((word < 0) & (pc.utf8_length(names).to_numpy(zero_copy_only=False) < LONG))
+        if len(missing):
+            data, at = text_bytes(names.take(pa.array(missing)))
+            new = self.words.add(data, at, h[missing])
+            spaced, at = np.full(len(data) + len(new), 32, np.uint8), at + np.arange(len(at))  # each with its blank
+            body = np.ones(len(spaced), bool)
+            body[at[:-1]] = False
+            spaced[body] = data
+            points = np.frombuffer(spaced.tobytes().decode().encode("utf-32-le"), np.uint32)
+            lead = np.cumsum((spaced & 0xC0) != 0x80)  # code points up to each byte
+            begin = np.append(lead[at[:-1]] - 1, len(points))
+            self.sign_at.add(self.all_signs.n + begin[:-1])
+            self.sign_n.add(np.diff(begin))
+            self.byte_at.add(self.all_bytes.n + at[:-1])
+            self.byte_n.add(np.diff(at))
             self.all_signs.add(self.sign[points])
-            self.all_bytes.add(np.frombuffer(text.encode(), np.uint8))
-            none = np.full(len(names), -1, np.int64)
-            node[missing] = new = self._grow(word, none, none)
-            self.roots.update(zip(names, new.tolist(), strict=True))
+            self.all_bytes.add(spaced)
+            none = np.full(len(new), -1, np.int64)
+            node[missing] = self._grow(new, none, none)
+            self.root.add(node[missing])
         return node
 
     def walk(self, node: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -391,8 +381,7 @@ class Codec:
         data, offsets = text_bytes(texts)
         keys, counts = chunks_of(data, offsets)
         coded = keys.dictionary_encode()
-        index = coded.indices.to_numpy()
-        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        index, names = coded.indices.to_numpy(), coded.dictionary
         node = self._rooted(names)[index]
         whole = np.array([xxhash.xxh3_64_intdigest(data[a:b], self.seed & _M) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], U64)
         first = np.cumsum(counts) - counts
@@ -405,7 +394,7 @@ class Codec:
         many, good = self.many.a[node], self.good.a[node]
         own = {}
         for i in long.tolist():
-            chunk = " " + names[index[i]]
+            chunk = " " + names[int(index[i])].as_py()
             ids = self.heaped(self.signs(chunk), self.drawn(int(x[i]), 3 * len(chunk)))[0]
             own[i] = self._with_bytes(np.array(ids, np.int64))[0].astype(self.wide)
             many[i], good[i] = len(ids), self.spell(own[i]) == chunk.encode()

@@ -24,13 +24,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, pieces, shared_dir
+from .common import Grown, Names, chunks_of, cut, hashes, pieces, ranges, shared_dir, text_bytes
 from .vectors import batch_rows
 
 MAGIC = b"SSTOKEN1"
@@ -40,61 +41,148 @@ RESTART = 16
 PROBES = 7
 
 
+# The UTF-8 forms of white space beyond ASCII, of two and of three bytes, as numbers.
+_SPACES_2 = np.array([0xC285, 0xC2A0])
+_SPACES_3 = np.array([0xE19A80, *range(0xE28080, 0xE2808B), 0xE280A8, 0xE280A9, 0xE280AF, 0xE2819F, 0xE38080])
+
+
+def spaces(data: np.ndarray) -> np.ndarray:
+    """Whether each byte of UTF-8 text is part of white space (or an ASCII control sign)."""
+    out = data <= 32
+    two = np.flatnonzero(data == 0xC2)
+    two = two[np.isin(0xC200 + data[two + 1].astype(np.int64), _SPACES_2)]
+    three = np.flatnonzero((data == 0xE1) | (data == 0xE2) | (data == 0xE3))
+    three = three[np.isin((data[three].astype(np.int64) << 16) + (data[three + 1].astype(np.int64) << 8) + data[three + 2], _SPACES_3)]
+    for at, size in ((two, 2), (three, 3)):
+        for k in range(size):
+            out[at + k] = True
+    return out
+
+
+# ASCII signs by class: letters 1, digits 2, others 3 but for white space, control signs and the apostrophe.
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[33:127] = 3
+_CLASS[[*range(65, 91), *range(97, 123)]] = 1
+_CLASS[48:58] = 2
+_CLASS[39] = 0
+
+
+def cuts(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of UTF-8 text before which byte-level pre-tokenisation always cuts: blanks that have other signs than white
+    space on both sides; and, besides, line feeds of that kind, what follows them, and changes between letters (ASCII and
+    U+00C0 to U+00FF), digits and other ASCII signs. Apostrophes, which start contractions, are never next to the latter."""
+    space = spaces(data)
+    alone = np.zeros(len(data), bool)
+    alone[1:-1] = ~space[:-2] & ~space[2:]
+    blank = (data == 32) & alone
+    kind = _CLASS[data]
+    second = np.flatnonzero(data == 0xC3) + 1
+    second = second[(data[second] != 0x97) & (data[second] != 0xB7)]
+    kind[second] = kind[second - 1] = 1
+    fine = np.zeros(len(data), bool)
+    fine[1:] = (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
+    feed = (data == 10) & alone
+    fine |= feed
+    fine[1:] |= feed[:-1]
+    return blank, fine
+
+
 class Encoder:
-    """A tokenizers file with a bounded cache of words, in two generations: words not used for one generation go.
+    """A tokenizers file with a bounded cache of chunks.
 
-    Byte-level pre-tokenisation never joins signs across a single blank, so a text without runs of blanks is
-    encoded word by word (a word with the blank before it), new words in one call of the library for many. Other
-    texts go to the library whole.
+    Texts are cut where the library's pre-tokenisation always cuts (see `cuts`; texts that may hold the name of a special
+    token only at blanks), and the library encodes each new chunk once: many in one call, with line feeds between them, as
+    what it makes of them then falls apart at their ends again. A chunk's ids are a range of one array, so a batch of texts
+    is put together as arrays. Chunks of over LONG bytes aren't kept; `room` bounds the others, beyond what one batch adds.
     """
 
-    def __init__(self, path: str, room: int = 300_000):
+    LONG = 200
+
+    def __init__(self, path: str, room: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)
         size = self.tool.get_vocab_size(with_added_tokens=True)
         self.wide = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.length = np.array([len(self.tool.id_to_token(i) or "") for i in range(size)], np.int64)  # one sign a byte
-        self.room, self.words, self.older = room, {}, {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.wide).tobytes() for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, new: list[str]) -> None:
-        apart = [w for w in new if w[:1] != " " or w[1:2] in ("", " ") or "<|" in w]
-        for w, ids in zip(apart, self._whole(apart), strict=True):
-            self.words[w] = ids
-        run = list(set(new) - set(apart)) if apart else new
-        for s in range(0, len(run), 4096):
-            part = run[s : s + 4096]
-            ids = np.array(self.tool.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.int64)
-            ends = np.cumsum([len(w.encode()) for w in part])
-            at = np.searchsorted(np.cumsum(self.length[ids]), ends, side="left") + 1
-            raw, start = ids.astype(self.wide).tobytes(), 0
-            for w, end in zip(part, (at * self.wide.itemsize).tolist(), strict=True):
-                self.words[w], start = raw[start:end], end
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian bytes; of a null text none."""
-        cut_up = [None if not t or "  " in t or t[0] == " " else t.replace(" ", "\0 ").split("\0") if "\0" not in t else None for t in texts]
-        plain = [i for i, (t, c) in enumerate(zip(texts, cut_up, strict=True)) if t and c is None]
-        out: list[bytes] = [b""] * len(texts)
-        for i, ids in zip(plain, self._whole([texts[i] for i in plain]), strict=True):
-            out[i] = ids
-        if len(self.words) > self.room // 2:
-            self.older, self.words = self.words, {}
-        words, older = self.words, self.older
-        new = {w for c in cut_up if c for w in c if w not in words}
-        known = new & older.keys()
-        words.update((w, older[w]) for w in known)
-        new -= known
-        if new:
-            self._learn(list(new))
-        get = words.__getitem__
-        for i, c in enumerate(cut_up):
-            if c:
-                out[i] = b"".join(map(get, c))
-        return out
+        self.room = room
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known, self.start, self.many, self.pool = Names(), Grown(np.int64), Grown(np.int32), Grown(self.wide)
+
+    def _library(self, text: str) -> np.ndarray:
+        return np.array(self.tool.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+
+    def _learn(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids that hold those of each chunk, where each one's start, and how many they are."""
+        data, at = text_bytes(new)
+        space = spaces(data)
+        first, last, full = data[np.minimum(at[:-1], len(data) - 1)], at[1:] - 1, np.diff(at) > 0
+        inner = at[:-1] + (first == 32)  # a chunk may start with one blank, but not with other white space, nor end with any
+        apart = ~full | (inner > last) | space[np.minimum(inner, len(data) - 1)] | space[last] | pc.match_substring(new, "<|").to_numpy(zero_copy_only=False)
+        many, start, parts, held = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64), [], 0
+        alone = np.flatnonzero(apart)
+        for i, text in zip(alone.tolist(), new.take(pa.array(alone)).to_pylist(), strict=True):
+            parts.append(self._library(text))
+            start[i], many[i] = held, len(parts[-1])
+            held += len(parts[-1])
+        run = np.flatnonzero(~apart)
+        data, at = text_bytes(new.take(pa.array(run)))
+        joined, at = np.full(len(data) + len(run), 10, np.uint8), at + np.arange(len(at))  # each with a line feed behind it
+        body = np.ones(len(joined), bool)
+        body[at[1:] - 1] = False
+        joined[body] = data
+        begin = 0
+        while begin < len(run):
+            end = max(begin + 1, int(np.searchsorted(at, at[begin] + (1 << 14))) - 1)
+            ids = self._library(joined[at[begin] : at[end]].tobytes().decode())
+            ends = np.searchsorted(np.cumsum(self.length[ids]), at[begin + 1 : end + 1] - at[begin], side="left") + 1
+            start[run[begin:end]] = held + np.concatenate(([0], ends[:-1]))
+            many[run[begin:end]] = np.diff(ends, prepend=0) - 1
+            parts.append(ids)
+            held += len(ids)
+            begin = end
+        return np.concatenate(parts).astype(self.wide), start, many
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and the number of each text's; a null text has none."""
+        if len(self.known) > self.room:
+            self._clear()
+        data, offsets = text_bytes(texts)
+        cut, fine = cuts(data)
+        for i in np.flatnonzero(pc.match_substring(pc.fill_null(texts, ""), "<|").to_numpy(zero_copy_only=False)).tolist():
+            fine[offsets[i] : offsets[i + 1]] = False
+        cut |= fine
+        keys, counts = chunks_of(data, offsets, cut, keep=True)
+        coded = keys.dictionary_encode()
+        index, names = coded.indices.to_numpy(), coded.dictionary
+        octets, at = text_bytes(names)
+        h = hashes(names)
+        place = self.known.find(octets, at, h)
+        long = np.diff(at) > self.LONG
+        kept = None
+        for kind in (False, True):  # long ones come behind all others, and are forgotten at the end
+            missing = np.flatnonzero((place < 0) & (long == kind))
+            if not len(missing):
+                continue
+            new = names.take(pa.array(missing))
+            ids, start, many = self._learn(new)
+            if kind:
+                kept = self.start.n, self.many.n, self.pool.n
+                place[missing] = self.start.n + np.arange(len(missing))
+            else:
+                place[missing] = self.known.add(*text_bytes(new), h[missing])
+            self.start.add(self.pool.n + start)
+            self.many.add(many)
+            self.pool.add(ids)
+        chosen = place[index]
+        many = self.many.a[chosen].astype(np.int64)
+        out = self.pool.a[ranges(self.start.a[chosen], many)]
+        if kept:
+            self.start.n, self.many.n, self.pool.n = kept
+        ends = np.concatenate(([0], np.cumsum(many)))[np.concatenate(([0], np.cumsum(counts)))]
+        return out, np.diff(ends)
 
 
 def key_bytes(doc_id: int | None) -> bytes:
@@ -239,10 +327,13 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shard_byt
         tool = Encoder(tokenizer)
         end = np.array([end_id], tool.wide).tobytes()
         out = Writer(TaskContext.get().partitionId(), tool.wide.itemsize)
-        for b in pieces(batches, "text", mb=4):
-            done = []
-            for i, ids in zip(b.column(0).to_pylist(), tool.encode(b.column(1).to_pylist()), strict=True):
-                done += out.add(key_bytes(i), ids + end)
+        for b in pieces(batches, "text", rows=4096, mb=4):
+            done, at = [], 0
+            ids, many = tool.encode(b.column(1))
+            raw = ids.tobytes()
+            for i, n in zip(b.column(0).to_pylist(), (many * tool.wide.itemsize).tolist(), strict=True):
+                done += out.add(key_bytes(i), raw[at : at + n] + end)
+                at += n
             if done:
                 yield pa.record_batch([pa.array(done, pa.binary())], ["section"])
         if out.entries:

@@ -190,11 +190,26 @@ def test_shards_on_disk(spark, data, texts, tmp_path):
     assert [k for t in sorted(tables, key=lambda t: t.shard) for k, _ in t] == sorted(texts)
 
 
-@pytest.mark.parametrize("text", ["", " a", "a ", "a  b", "a \nb", "a\n b", "don't  we've", "x<|endoftext|> y", "日本 語 é", "\0a b", "a  b　 c", "\n \n", "1 22  333"])
+@pytest.mark.parametrize("text", ["", " a", "a ", "a  b", "a \nb", "a\n b", "don't  we've", "x<|endoftext|> y", "日本 語 é", "\0a b", "a  b　 c", "\n \n", "1 22  333", "a\n \nb", "a\u00a0 b \u3000c", "a \u2003 b", "été le soir", "x\u0085 y", "w" * 300 + " a " + "v" * 300, "a b\n", " \n a"])
 def test_words_encode_as_the_library_does(text):
     tool = sstable.Encoder(path("byte_bpe_50k.json"))
     for _ in range(2):
-        assert np.frombuffer(tool.encode([text])[0], tool.wide).tolist() == tool.tool.encode(text, add_special_tokens=False).ids
+        ids, many = tool.encode(pa.array(["b", text, None, text]))
+        own = tool.tool.encode(text, add_special_tokens=False).ids
+        assert np.split(ids, np.cumsum(many)[:-1])[1].tolist() == own == ids[len(ids) - len(own) :].tolist() and many.tolist() == [1, len(own), 0, len(own)]
+
+
+_ENCODER = []
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from("ab é'1.\n\t\u00a0\u2003\u3000<|日  "), max_size=30), max_size=6))
+def test_any_texts_encode_as_the_library_does(some):
+    if not _ENCODER:
+        _ENCODER.append(sstable.Encoder(path("byte_bpe_50k.json"), room=20))
+    ids, many = _ENCODER[0].encode(pa.array(some, pa.string()))
+    want = [_ENCODER[0].tool.encode(t, add_special_tokens=False).ids for t in some]
+    assert many.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
 
 
 @settings(max_examples=200, deadline=None)

@@ -16,11 +16,14 @@ U64 = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one in local
+    mode, as in tests; on a cluster an error."""
     sc = spark.sparkContext
     told = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     at = sc._jsc.sc().getCheckpointDir()
     if at.isEmpty():
+        if not told and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(told or tempfile.mkdtemp(prefix="llm-checkpoints-"))
         at = sc._jsc.sc().getCheckpointDir()
     return told or at.get()
@@ -37,14 +40,14 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, rows: int = 512, mb: int = 16) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str, rows: int = 512, mb: float = 16) -> Iterator[pa.RecordBatch]:
     """The batches cut so that no piece has more than `rows` rows or about `mb` MB of `column` (one row at least)."""
     for batch in batches:
         k = batch.schema.get_field_index(column)
         at = 0
         while at < batch.num_rows:
             n = min(rows, batch.num_rows - at)
-            while n > 1 and batch.column(k).slice(at, n).get_total_buffer_size() >= 0 and _bytes(batch.column(k).slice(at, n)) > mb << 20:
+            while n > 1 and _bytes(batch.column(k).slice(at, n)) > mb * (1 << 20):
                 n //= 2
             yield batch.slice(at, n)
             at += n

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, cut, mix64, pieces
+from .common import U64, cut, mix64, pieces, text_bytes
 
 GRAM = 64
 _BYTE = mix64(np.arange(256, dtype=U64) * U64(0x632BE59BD9B4E019) + U64(7))
@@ -155,33 +155,23 @@ def _ref() -> F.Column:
 
 
 def _runs(rows: DataFrame, length: int) -> DataFrame:
+    most = 1 << 20  # a longer text goes in parts that overlap by length - 1 bytes
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text", rows=4096, mb=1):
+        for b in pieces(batches, "text", rows=1024, mb=0.25):
             refs = b.column(0)
-            raw = [t.encode() for t in b.column(1).to_pylist()]
-            for texts, names, shift in _parts(raw, length):
-                data = np.frombuffer(b"".join(texts), np.uint8)
-                sizes = np.array([len(t) for t in texts], np.int64)
-                ends = np.cumsum(sizes)
-                begins = ends - sizes
-                text, first, last, gram, context = runs(data, begins, ends, length)
+            data, at = text_bytes(b.column(1))
+            for shift in range(0, len(data) - length + 1, most) if b.num_rows == 1 else (0,):
+                part, ends = (data[shift : shift + most + length - 1], None) if b.num_rows == 1 else (data, at[1:])
+                ends = np.array([len(part)]) if ends is None else ends
+                begins = np.concatenate(([0], ends[:-1]))
+                text, first, last, gram, context = runs(part, begins, ends, length)
                 if len(text):
-                    yield pa.record_batch([pa.array(gram), pa.array(context), refs.take(pa.array(names[text])), pa.array((first - begins[text] + shift).astype(np.int32)), pa.array((last - first + length).astype(np.int32))], ["gram", "context", "ref", "at", "size"])
+                    yield pa.record_batch([pa.array(gram), pa.array(context), refs.take(pa.array(text)), pa.array((first - begins[text] + shift).astype(np.int32)), pa.array((last - first + length).astype(np.int32))], ["gram", "context", "ref", "at", "size"])
 
     return rows.mapInArrow(run, "gram long, context long, ref long, at int, size int")
 
 
-def _parts(raw: list[bytes], length: int, most: int = 4 << 20):
-    """The texts in one go, or a very long text alone, in parts that overlap by length - 1 bytes: texts, their rows, shift."""
-    short = [i for i, t in enumerate(raw) if length <= len(t) <= most]
-    if short:
-        yield [raw[i] for i in short], np.array(short), 0
-    for i, t in enumerate(raw):
-        if len(t) > most:
-            for s in range(0, len(t) - length + 1, most):
-                yield [t[s : s + most + length - 1]], np.array([i]), s
-
-
 _MEMBERS_BITS = 1 << 23
 
 
@@ -245,7 +235,7 @@ def spans(docs: DataFrame, length: int = 200, group_bytes: int = 1 << 20) -> Dat
 
         for b in batches:
             for row in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                if size >= group_bytes // 2 and row[0] != held[-1][0]:
+                if size >= min(group_bytes, 1 << 18) // 2 and row[0] != held[-1][0]:
                     yield done()
                     held, size = [], 0
                 held.append(row)
@@ -294,7 +284,7 @@ def _applied(docs: DataFrame, length: int, change, schema: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = None
-        for b in pieces(batches, "text", mb=4):
+        for b in pieces(batches, "text", mb=1):
             lists = b.column(3).to_pylist() if b.num_columns > 3 else [None] * b.num_rows
             out = [change((t or "").encode(), merge([(s["start"], s["end"]) for s in x or []])) for t, x in zip(b.column(2).to_pylist(), lists, strict=True)]
             kinds = kinds or [pa.int64() if isinstance(v, int) else pa.string() for v in out[0]]
@@ -350,7 +340,7 @@ def strip(docs: DataFrame, length: int = 200) -> DataFrame:
     at = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text", mb=4):
+        for b in pieces(batches, "text", mb=1):
             lists = b.column(b.num_columns - 1).to_pylist()
             new = [t if not x else change(t.encode(), merge([(s["start"], s["end"]) for s in x]))[0] for t, x in zip(b.column(at).to_pylist(), lists, strict=True)]
             keep = pa.array([not x or bool(t.strip()) for t, x in zip(new, lists, strict=True)])

@@ -256,3 +256,37 @@ def offsets(df: DataFrame, group: list[str], lane: str, amounts: dict[str, str])
     per = df.groupBy(*group, lane).agg(*[F.expr(v).alias(k) for k, v in amounts.items()])
     w = Window.partitionBy(*group).orderBy(lane).rowsBetween(Window.unboundedPreceding, -1)
     return per.select(*group, lane, *[F.coalesce(F.sum(k).over(w), F.lit(0)).cast("long").alias(f"{k}_before") for k in amounts])
+
+
+_MEMBERS_BITS = 1 << 23
+
+
+def members(refs: DataFrame) -> bytes:
+    """A filter of fixed size (1 MB) that holds every ref (and may hold others): it spares work, never changes results."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        field = np.zeros(_MEMBERS_BITS, np.uint8)
+        for b in batches:
+            field[_member_bits(np.asarray(b.column(0)))] = 1
+        yield pa.record_batch([pa.array([np.packbits(field).tobytes()], pa.binary())], ["bits"])
+
+    out = np.zeros(_MEMBERS_BITS // 8, np.uint8)
+    for r in refs.coalesce(32).mapInArrow(run, "bits binary").toLocalIterator():  # one field at a time
+        out |= np.frombuffer(r.bits, np.uint8)
+    return out.tobytes()
+
+
+def _member_bits(refs: np.ndarray) -> np.ndarray:
+    return (mix64(refs.astype(np.int64).view(U64)) % U64(_MEMBERS_BITS)).astype(np.int64)
+
+
+def only_members(rows: DataFrame, bits: bytes, held: bool) -> DataFrame:
+    """Rows whose ref the filter holds, or doesn't; columns ref first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        field = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
+        for b in batches:
+            keep = field[_member_bits(np.asarray(b.column(0)))]
+            yield b.filter(pa.array(keep if held else ~keep))
+
+    return rows.mapInArrow(run, rows.schema)

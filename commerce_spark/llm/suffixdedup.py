@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, cut, mix64, pieces, text_bytes
+from .common import U64, cut, members, mix64, only_members, pieces, text_bytes
 
 GRAM = 64
 _BYTE = mix64(np.arange(256, dtype=U64) * U64(0x632BE59BD9B4E019) + U64(7))
@@ -172,40 +172,6 @@ def _runs(rows: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(run, "gram long, context long, ref long, at int, size int")
 
 
-_MEMBERS_BITS = 1 << 23
-
-
-def _members(refs: DataFrame) -> bytes:
-    """A filter of fixed size (1 MB) that holds every ref (and may hold others): it spares work, never changes results."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field = np.zeros(_MEMBERS_BITS, np.uint8)
-        for b in batches:
-            field[_member_bits(np.asarray(b.column(0)))] = 1
-        yield pa.record_batch([pa.array([np.packbits(field).tobytes()], pa.binary())], ["bits"])
-
-    out = np.zeros(_MEMBERS_BITS // 8, np.uint8)
-    for r in refs.coalesce(32).mapInArrow(run, "bits binary").toLocalIterator():  # one field at a time
-        out |= np.frombuffer(r.bits, np.uint8)
-    return out.tobytes()
-
-
-def _member_bits(refs: np.ndarray) -> np.ndarray:
-    return (mix64(refs.astype(np.int64).view(U64)) % U64(_MEMBERS_BITS)).astype(np.int64)
-
-
-def _only(rows: DataFrame, bits: bytes, held: bool) -> DataFrame:
-    """Rows whose ref the filter holds, or doesn't; columns ref first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
-        for b in batches:
-            keep = field[_member_bits(np.asarray(b.column(0)))]
-            yield b.filter(pa.array(keep if held else ~keep))
-
-    return rows.mapInArrow(run, rows.schema)
-
-
 def spans(docs: DataFrame, length: int = 200, group_bytes: int = 1 << 20) -> DataFrame:
     """ref (see `_ref`) and spans (start, end in bytes, unmerged) of the rows of docs that have repeated strings.
 
@@ -221,7 +187,7 @@ def spans(docs: DataFrame, length: int = 200, group_bytes: int = 1 << 20) -> Dat
     per = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.col("one.size").cast("long")).alias("bytes"))
     known = cut(contexts.join(per, "gram"))
     mixed = known.where("kinds > 1").select("gram", "context", "n", "bytes", "one.ref", "one.at", "one.size")
-    holders = _only(texts, _members(mixed.select("ref").distinct()), True)
+    holders = only_members(texts, members(mixed.select("ref").distinct()), True)
     cutouts = cut(mixed.join(holders, "ref").select("gram", "context", (F.col("n") > 1).alias("twice"), "bytes", F.substring(F.col("text").cast("binary"), F.col("at") + 1, F.col("size")).alias("data")))
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,7 +245,7 @@ def merge(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _applied(docs: DataFrame, length: int, change, schema: str) -> DataFrame:
     """change(text bytes, merged spans) -> values after doc_id, for every row of docs (ref, text and what it carries)."""
     found = cut(spans(docs, length).groupBy("ref").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
-    bits = _members(found.select("ref"))
+    bits = members(found.select("ref"))
     rows = docs.select(_ref().alias("ref"), "doc_id", F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,8 +257,8 @@ def _applied(docs: DataFrame, length: int, change, schema: str) -> DataFrame:
             yield pa.record_batch([b.column(1), *[pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)]], ["doc_id", *[c.split()[0] for c in schema.split(", ")]])
 
     shape = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {schema}"
-    hit = _only(rows, bits, True).join(found, "ref", "left").select("ref", "doc_id", "text", "spans")
-    return hit.mapInArrow(run, shape).unionByName(_only(rows, bits, False).mapInArrow(run, shape))
+    hit = only_members(rows, bits, True).join(found, "ref", "left").select("ref", "doc_id", "text", "spans")
+    return hit.mapInArrow(run, shape).unionByName(only_members(rows, bits, False).mapInArrow(run, shape))
 
 
 def digest(docs: DataFrame, length: int = 200) -> DataFrame:

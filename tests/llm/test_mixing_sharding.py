@@ -3,48 +3,87 @@ from __future__ import annotations
 import random
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
+from math import ceil, floor
 
 import pytest
 
 from commerce_spark.llm import mixing, queries, sharding
 
 
-@pytest.mark.parametrize("seed", range(6))
-def test_timetable_deviates_by_less_than_a_block(seed):
-    rng = random.Random(seed)
-    weights = {f"s{i}": rng.random() ** 3 + 0.001 for i in range(rng.randint(1, 40))}
-    counts = mixing.shares(weights, 256)
-    period = sum(counts.values())
-    assert min(counts.values()) >= 1 and period == max(256, 8 * len(weights))
-    slots = mixing.timetable(counts)
-    owner = {t: k for k, ts in slots.items() for t in ts}
-    assert sorted(owner) == list(range(period))
+def plain_edf(weights, need, slots):
+    """Earliest deadline first by looking at every source in every slot, in fractions."""
+    total = sum(map(Fraction, weights.values()))
+    w = {k: Fraction(v) / total for k, v in weights.items()}
+    got, t = {k: [] for k in w}, 0
+    while any(len(got[k]) < need[k] for k in w) and t < slots:
+        ready = [(ceil((len(got[k]) + 1) / w[k]), k) for k in sorted(w) if floor(len(got[k]) / w[k]) <= t]
+        got[min(ready)[1]].append(t)
+        t += 1
+    late = sorted((ceil((n + 1) / w[k]), k) for k in w for n in range(len(got[k]), need[k]))
+    for n, (_, k) in enumerate(late):
+        got[k].append(t + n)
+    return got, t
+
+
+CASES = [({"a": 0.9999, "b": 0.0001}, {"a": 5000, "b": 1}), ({"a": 1 / 3, "b": 1 / 7, "c": 11 / 21}, {"a": 90, "b": 90, "c": 9}), ({"x": 5.0}, {"x": 7}), ({"a": 1e-12, "b": 1.0}, {"a": 3, "b": 4})]
+for _seed in range(4):
+    _rng = random.Random(_seed)
+    _w = {f"s{i:02}": _rng.random() ** 3 + 0.001 for i in range(_rng.randint(2, 25))}
+    CASES.append((_w, {k: _rng.randint(0, 40) for k in _w}))
+
+
+@pytest.mark.parametrize("case", range(len(CASES)))
+def test_timetable_is_plain_edf_and_less_than_a_block_from_the_targets(case):
+    weights, need = CASES[case]
+    when, slots = mixing.timetable(weights, need, 20_000)
+    assert (when, slots) == plain_edf(weights, need, 20_000)
+    total = sum(map(Fraction, weights.values()))
+    owner = {t: k for k, ts in when.items() for t in ts}
+    assert sorted(owner) == list(range(len(owner))) and all(len(when[k]) >= need[k] for k in need)
     served = Counter()
-    for t in range(period):
+    for t in range(slots):
         served[owner[t]] += 1
-        assert all(abs(served[k] * period - counts[k] * (t + 1)) < period for k in counts)
+        assert all(abs(served[k] - Fraction(v) / total * (t + 1)) < 1 for k, v in weights.items())
 
 
 def test_schedule(spark, data, texts):
+    """The query's rows, made anew: streams in hashed order, the plain schedule over them, and every epoch."""
+    import duckdb
+
     rows = queries.op4_mixing(spark, data).collect()
-    assert {r.doc_id for r in rows} == set(texts)
+    source = dict(duckdb.sql(f"select doc_id, source from '{data}/documents.parquet'").fetchall())
+    turn = {r.doc_id: r.t for r in spark.createDataFrame([(i,) for i in texts], "doc_id long").selectExpr("doc_id", "xxhash64(doc_id, 0) as t").collect()}
     size = {i: len((t or "").encode()) + 1 for i, t in texts.items()}
-    assert all(r["size"] == size[r.doc_id] for r in rows)
-    by: dict = defaultdict(list)
-    for r in rows:
-        if r.epoch == 0:
-            by[r.source].append((r.block * (1 << 16) + r.place, r["size"]))
-    for spans in by.values():  # a source's documents follow each other without gaps
-        at = 0
-        for start, n in sorted(spans):
-            assert start == at
-            at += n
-    blocks = {(r.source, r.epoch, r.block): r.slot for r in rows}
-    assert len({(s, e, b): 0 for s, e, b in blocks}) == len(blocks)
-    per_slot = defaultdict(set)
-    for r in rows:
-        per_slot[r.slot].add((r.source, r.epoch, r.block))
-    assert all(len(x) == 1 for x in per_slot.values())
+    total = Counter()
+    for i, n in size.items():
+        total[source[i]] += n
+    when, _ = plain_edf(mixing.tempered(total), {k: -(-n // (1 << 16)) for k, n in total.items()}, 1 << 18)
+    want, at = [], Counter()
+    for i in sorted(texts, key=lambda i: (turn[i], i)):
+        s = source[i]
+        start, epoch = at[s], 0
+        at[s] += size[i]
+        while (p := start + epoch * total[s]) < len(when[s]) << 16:
+            want.append((i, s, size[i], epoch, p >> 16, when[s][p >> 16], p & 65535))
+            epoch += 1
+    assert sorted(tuple(r) for r in rows) == sorted(want) and {r.doc_id for r in rows} == set(texts)
+
+
+def test_blocks_grow_where_slots_are_few(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    few = mixing.schedule(docs, slots=256).collect()
+    assert {r.doc_id for r in few} == {r.doc_id for r in docs.collect()} and max(r.slot for r in few) < 400
+    with pytest.raises(ValueError):
+        mixing.schedule(docs, slots=20)
+
+
+def test_mixed_is_in_slot_order(spark, data, tmp_path):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    mixing.mixed(docs).write.parquet(str(tmp_path / "m"))
+    rows = [r.doc_id for f in sorted((tmp_path / "m").glob("part-*")) for r in spark.read.parquet(str(f)).collect()]
+    want = sorted(mixing.schedule(docs).collect(), key=lambda r: (r.slot, r.place))
+    assert rows == [r.doc_id for r in want]
 
 
 def test_lanes_give_whole_sources(spark, data, monkeypatch):

@@ -109,7 +109,7 @@ class Grown:
 
     def add(self, values: np.ndarray) -> None:
         if self.n + len(values) > len(self.a):
-            bigger = np.empty(max(self.n + len(values), 2 * len(self.a)), self.a.dtype)
+            bigger = np.empty(max(self.n + len(values), len(self.a) * 3 // 2), self.a.dtype)
             bigger[: self.n] = self.a[: self.n]
             self.a = bigger
         self.a[self.n : self.n + len(values)] = values

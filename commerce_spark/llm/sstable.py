@@ -98,7 +98,7 @@ class Encoder:
 
     LONG = 200
 
-    def __init__(self, path: str, room: int = 1_000_000):
+    def __init__(self, path: str, room: int = 2_000_000):
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)

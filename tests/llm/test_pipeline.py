@@ -4,7 +4,7 @@ import duckdb
 
 import corpus_pipeline
 from commerce_spark.llm import simhash
-from tests.llm.test_simhash import brute_components, plain_fingerprint
+from tests.llm.test_simhash import brute_similar
 from tests.llm.test_text import brute_digest
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -20,7 +20,7 @@ def test_stages(spark, data, tmp_path):
     assert all(df.columns == COLUMNS for df in seen[:-1])
     texts = {r.doc_id: r.text for r in raw.collect()}
     assert {r.doc_id for r in known.collect()} == {i for i, t in texts.items() if t and any(c.isalpha() for c in t)}
-    parts = brute_components({r.doc_id: plain_fingerprint(r.text, 5) for r in known.collect()}, 6)
+    parts = brute_similar({r.doc_id: r.text for r in known.collect()})[0]
     assert sorted(r.doc_id for r in near.collect()) == sorted(set(parts.values()))
     left = {r.doc_id: r.text for r in near.collect()}
     lost = brute_digest(left, 200)

@@ -1,10 +1,17 @@
 """Main text of web pages: parser events, text-to-tag ratios by line, Gaussian smoothing, threshold clustering.
 
-The standard library's parser streams events. Block elements cut the page into lines; each line has its text, the tags in
-it and the share of its text inside links. The ratio of text to tags is smoothed with a Gaussian along the
-page and split in two clusters; lines of the upper cluster are content. Containers that say what they are (menus,
-footers, adverts, comments and so on) never count; where the page marks its article, the marked region with the most
-content is taken with its short lines, else the runs of content lines with the short lines between them.
+The standard library's parser streams events. Block elements cut the page into lines; a line's value is the logarithm of the
+ratio of its text outside links to the tags in it. Values are smoothed with a Gaussian along the page and split in two
+clusters; the lines of the upper one are content, and content decides on regions:
+
+- Elements that say what they are (menus, footers, adverts, comments and so on) count zero and never come out. A name
+  alone doesn't count against an element that holds over half of the page's text, so that a layout's name
+  doesn't take the article with it.
+- Of the elements marked as article or main text, all with content come out, if together they hold half of the content.
+- Else the search goes down from the page to the innermost element with four fifths of the content, and that comes out; where
+  that is the page itself, the content lines and the headings before them.
+
+In a region everything comes out but runs of three or more lines of links below the border: menus without a name.
 """
 
 from __future__ import annotations
@@ -30,113 +37,134 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 SILENT = set("head title style script noscript template iframe object svg canvas audio video math select button textarea datalist map".split())
 OUTSIDE = set("nav header footer aside form dialog menu search".split())
 ROLES = set("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar tablist status".split())
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notices?|alerts?|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommend\w*|"
-    r"sidebars?|side-?bar|menus?|nav|navbar|navigation|breadcrumbs?|footers?|topbar|masthead|site-?header|page-?header|comments?|commentlist|respond|disqus|replies|pagination|pager|popup|modal|overlay|widgets?|toolbar|skip-?link|paywall|disclaimer|copyright)(?:$|[\s_-])",
-    re.I,
-)
-CONTENT_NAMES = re.compile(r"(?:^|[\s_-])(?:article|article-?body|post-?content|entry-?content|main-?content|story)(?:$|[\s_-])", re.I)
+FLOW = HEADINGS | set("p li dt dd pre address caption figcaption legend summary hr tr td th thead tbody tfoot table ul ol dl option optgroup".split())
 CLOSES_P = BLOCK - {"body", "html", "head", "title", "option", "optgroup", "legend", "summary", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"}
+OUTER_WORDS = set(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promoted promotion banner cookie cookies consent gdpr notice notices alert alerts newsletter subscribe subscription signup login share "
+    "sharing social related recommended recommendations sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer footers topbar masthead siteheader pageheader pagination pager popup modal overlay widget "
+    "widgets toolbar skiplink paywall disclaimer copyright".split()
+)
+COMMENT_WORDS = set("comment comments commentlist respond disqus replies".split())
+ADVERT_WORDS = set("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo".split())
+CONTENT_WORDS = set("article articlebody postcontent entrycontent maincontent articlecontent story storybody".split())
+NOT_NAMES = {"has", "no", "not", "with", "without", "is", "hide", "show"}
+
+
+def names(value: str) -> tuple[set[str], set[str]]:
+    """The words of a class or id, and its tokens as one word each; tokens such as has-sidebar name nothing."""
+    words, whole = set(), set()
+    for token in value.split():
+        parts = [w.lower() for w in re.split(r"[-_:]+|(?<=[a-z])(?=[A-Z])", token) if w]
+        if parts and parts[0] not in NOT_NAMES:
+            words.update(parts)
+            whole.add("".join(parts))
+    return words, whole
+
+
+class Element:
+    """A block element, or an inline one that never counts."""
+
+    __slots__ = ("flow", "hidden", "marked", "named", "outer", "parent", "strict", "tag")
 
+    def __init__(self, tag: str, attrs: list, parent: int):
+        given = {k: v or "" for k, v in attrs}
+        words, whole = names(f"{given.get('class', '')} {given.get('id', '')}")
+        role = given.get("role", "").lower()
+        page = tag in ("html", "body")
+        self.tag, self.parent, self.flow = tag, parent, tag in FLOW
+        self.hidden = "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "").lower()
+        self.outer = tag in OUTSIDE or role in ROLES
+        self.strict = not page and tag not in ("main", "article") and bool(words & COMMENT_WORDS) or tag == "article" and bool({"comment", "comments"} & words)
+        self.named = not page and bool((words | whole) & OUTER_WORDS)
+        self.marked = tag in ("article", "main") or role in ("main", "article") or not page and not self.flow and bool(whole & CONTENT_WORDS)
 
-class _Page(HTMLParser):
-    """Collects lines: [text, tags, characters in links, region, heading]; region 0 is none, -1 never counts."""
+
+class Page(HTMLParser):
+    """Collects elements, and lines as (text, tags, characters in links, element, heading)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[list] = []
-        self.open: list[tuple[str, int]] = []  # (tag, region inside it)
-        self.regions = 0
-        self._new()
+        self.lines: list[tuple] = []
+        self.elements = [Element("html", [], -1)]
+        self.open: list[tuple[str, int, bool]] = []  # (tag, element, whether its text is left out)
+        self.parts: list[str] = []
+        self.tags = self.links = self.anchors = 0
 
     def updatepos(self, i: int, j: int) -> int:
         return j  # line numbers aren't needed
 
-    def _new(self):
-        self.parts: list[str] = []
-        self.tags = self.links = 0
-
-    def _cut(self):
-        if self.parts and (text := " ".join("".join(self.parts).split())):
-            heading = any(t in HEADINGS for t, _ in self.open[-3:])
-            self.lines.append([text, self.tags, self.links, self.open[-1][1] if self.open else 0, heading])
-            self._new()
-        elif not self.parts:
-            return
-        else:
-            self.parts = []
-
-    def _region(self, tag: str, attrs: list) -> int:
-        now = self.open[-1][1] if self.open else 0
-        if now < 0 or tag in SILENT:
-            return -1
-        given = {k: v or "" for k, v in attrs}
-        role = given.get("role", "").lower()
-        named = f"{given.get('class', '')} {given.get('id', '')}".strip()
-        if tag == "header" and now > 0:
-            pass  # an article's own header holds its heading; its other lines go when lines are picked
-        elif tag in OUTSIDE or role in ROLES:
-            return -1
-        if "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "").lower():
-            return -1
-        if tag not in ("html", "body") and named and NAMES.search(named):
-            return -1
-        if now == 0 and (tag in ("article", "main") or role in ("main", "article") or tag not in ("html", "body") and named and CONTENT_NAMES.search(named)):
-            self.regions += 1
-            return self.regions
-        if tag == "article" and now > 0 and not any(t == "article" for t, _ in self.open):
-            self.regions += 1
-            return self.regions
-        return now
-
-    def handle_starttag(self, tag: str, attrs: list):
-        if tag in BLOCK or tag in SILENT:
+    def _at(self) -> int:
+        return self.open[-1][1] if self.open else 0
+
+    def cut(self) -> None:
+        """End a line."""
+        text = " ".join("".join(self.parts).split()) if self.parts else ""
+        if text:
+            heading = any(t in HEADINGS for t, _, _ in self.open[-3:])
+            self.lines.append((text, self.tags, self.links, self._at(), heading))
+            self.tags = self.links = 0
+        self.parts = []
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        block = tag in BLOCK
+        if block:
             if tag in CLOSES_P:
-                self._close("p", stop=BLOCK - {"p"})
+                self._close("p", BLOCK - {"p"})
             if tag == "li":
-                self._close("li", stop={"ul", "ol", "menu", "dir"})
-            self._cut()
+                self._close("li", {"ul", "ol", "menu", "dir"})
+            self.cut()
         elif tag == "br":
             self.parts.append(" ")
         self.tags += 1
-        if tag not in VOID:
-            self.open.append((tag, self._region(tag, attrs)))
-
-    def handle_startendtag(self, tag: str, attrs: list):
+        if tag in VOID:
+            return
+        at, silent = self._at(), bool(self.open) and self.open[-1][2] or tag in SILENT
+        if block:
+            self.elements.append(Element(tag, attrs, at))
+            at = len(self.elements) - 1
+        elif attrs and tag != "a":
+            inline = Element(tag, attrs, at)
+            given = names(" ".join(v or "" for k, v in attrs if k in ("class", "id")))[0]
+            silent = silent or inline.hidden or bool(given & ADVERT_WORDS)
+        self.anchors += tag == "a"
+        self.open.append((tag, at, silent))
+
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
             self.handle_endtag(tag)
 
-    def _close(self, tag: str, stop: set[str] = frozenset()):
+    def _drop(self, i: int) -> None:
+        self.anchors -= sum(t == "a" for t, _, _ in self.open[i:])
+        del self.open[i:]
+
+    def _close(self, tag: str, stop: set[str]) -> None:
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
-                self._cut()
-                del self.open[i:]
+                self.cut()
+                self._drop(i)
                 return
             if self.open[i][0] in stop:
                 return
 
-    def handle_endtag(self, tag: str):
+    def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         if tag in VOID:
             return
-        if tag in BLOCK or tag in SILENT:
-            self._cut()
-        self._close_any(tag)
-
-    def _close_any(self, tag: str):
+        if tag in BLOCK:
+            self.cut()
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
-                del self.open[i:]
+                self._drop(i)
                 return
             if tag not in BLOCK and self.open[i][0] in BLOCK:
                 return  # an inline end tag doesn't close blocks
 
-    def handle_data(self, data: str):
-        if self.open and self.open[-1][0] in SILENT:
+    def handle_data(self, data: str) -> None:
+        if self.open and self.open[-1][2]:
             return
         self.parts.append(data)
-        if any(t == "a" for t, _ in self.open[-4:]):
+        if self.anchors:
             self.links += len(data.strip())
 
 
@@ -166,24 +194,83 @@ def threshold(values: list[float]) -> float:
     return t
 
 
-def _pick(lines: list[list]) -> list[str]:
-    usable = [x for x in lines if x[3] >= 0]
-    ratios = smooth([0.0 if x[3] < 0 else len(x[0]) * (1 - min(1.0, x[2] / len(x[0]))) / max(1, x[1]) for x in lines])
-    border = threshold([r for r, x in zip(ratios, lines, strict=True) if x[3] >= 0])
-    weight: dict[int, float] = {}
-    for r, x in zip(ratios, lines, strict=True):
-        if x[3] > 0:
-            weight[x[3]] = weight.get(x[3], 0) + r * len(x[0])
-    if weight:
-        best = max(weight, key=lambda k: (weight[k], -k))
-        return [x[0] for r, x in zip(ratios, lines, strict=True) if x[3] == best and (x[2] * 2 <= len(x[0]) or r >= border)]
-    content = [i for i, (r, x) in enumerate(zip(ratios, lines, strict=True)) if x[3] >= 0 and r >= border and x[2] * 2 <= len(x[0])]
-    if not content:
-        return [x[0] for x in usable if x[2] * 2 <= len(x[0])]
-    first = content[0]
-    while first and lines[first - 1][3] >= 0 and lines[first - 1][4]:
-        first -= 1
-    return [x[0] for x in lines[first : content[-1] + 1] if x[3] >= 0 and x[2] * 2 <= len(x[0])]
+def _left_out(page: Page, own: list[int]) -> list[bool]:
+    """For each element whether its text never counts. own: characters outside links, with those of inner elements."""
+    marks = [False] * len(page.elements)
+    for i in range(len(page.elements) - 1, 0, -1):
+        e = page.elements[i]
+        marks[e.parent] |= marks[i] or e.tag in ("article", "main")
+    out, most = [False] * len(page.elements), own[0] / 2
+    for i, e in enumerate(page.elements):
+        inside = i > 0 and out[e.parent]
+        header = e.tag == "header" and any(x.marked for x in _up(page, e.parent))  # an article's own header holds its heading
+        kept = own[i] > most and (marks[i] or not e.outer)  # what holds most of the text isn't at the side of it
+        out[i] = inside or e.hidden or e.strict or (e.outer and not header or e.named) and not kept
+    return out
+
+
+def _up(page: Page, i: int) -> Iterator[Element]:
+    while i >= 0:
+        yield page.elements[i]
+        i = page.elements[i].parent
+
+
+def _pick(page: Page, sigma: float = 1.0) -> list[str]:
+    lines, n = page.lines, len(page.elements)
+    plain = [max(0, len(x[0]) - x[2]) for x in lines]
+    own = _sums(page, plain)
+    gone = _left_out(page, own)
+    usable = [not gone[x[3]] for x in lines]
+    values = smooth([math.log1p(p / max(1, x[1])) if u else 0.0 for x, p, u in zip(lines, plain, usable, strict=True)], sigma)
+    border = threshold([v if u else 0.0 for v, u in zip(values, usable, strict=True)] + [0.0])  # what is left out has no text
+    content = [u and v >= border and p > 0 for v, u, p in zip(values, usable, plain, strict=True)]
+    weight = _sums(page, [len(x[0]) if c else 0 for x, c in zip(lines, content, strict=True)])
+    # the outermost marked element of every line that has content
+    region = [-1] * n
+    for i, e in enumerate(page.elements):
+        region[i] = region[e.parent] if i and region[e.parent] >= 0 else i if e.marked and not gone[i] else -1
+    marked = [r for r in dict.fromkeys(region) if r >= 0 and weight[r]]
+    if marked and 2 * sum(weight[r] for r in marked) >= weight[0]:
+        chosen = [u and region[x[3]] in marked for x, u in zip(lines, usable, strict=True)]
+        inner = [any(e.tag == "article" for e in _up(page, x[3])) for x in lines]
+        for r in marked:  # of main text around articles, the lines of the content and headings
+            mine = [i for i, x in enumerate(lines) if region[x[3]] == r]
+            if page.elements[r].tag != "article" and any(inner[i] for i in mine):
+                for i in mine:
+                    chosen[i] = chosen[i] and (inner[i] or content[i] or lines[i][4])
+    else:
+        root = 0
+        while heavy := [i for i, e in enumerate(page.elements) if e.parent == root and not e.flow and weight[i] * 5 >= weight[root] * 4 > 0]:
+            root = heavy[0]
+        if page.elements[root].tag in ("html", "body"):
+            chosen = list(content)
+            for i in range(len(lines) - 2, -1, -1):
+                chosen[i] = chosen[i] or usable[i] and lines[i][4] and chosen[i + 1]
+        else:
+            inside = [False] * n
+            for i, e in enumerate(page.elements):
+                inside[i] = i == root or i > 0 and inside[e.parent]
+            chosen = [u and inside[x[3]] for x, u in zip(lines, usable, strict=True)]
+    links = [x[2] * 2 > len(x[0]) and v < border for x, v in zip(lines, values, strict=True)]
+    at = 0
+    while at < len(lines):
+        end = at
+        while end < len(lines) and links[end]:
+            end += 1
+        if end - at >= 3:
+            chosen[at:end] = [False] * (end - at)
+        at = max(end, at + 1)
+    return [x[0] for x, c in zip(lines, chosen, strict=True) if c]
+
+
+def _sums(page: Page, values: list[int]) -> list[int]:
+    """What the lines in each element have together."""
+    out = [0] * len(page.elements)
+    for x, v in zip(page.lines, values, strict=True):
+        out[x[3]] += v
+    for i in range(len(out) - 1, 0, -1):
+        out[page.elements[i].parent] += out[i]
+    return out
 
 
 def main_text(html: str | None) -> str:
@@ -194,18 +281,19 @@ def main_text(html: str | None) -> str:
     """
     if not html:
         return ""
-    page = _Page()
+    page = Page()
     try:
         page.feed(html)
         page.close()
     except AssertionError:  # the parser's answer to some broken declarations: keep what came before
         pass
-    page._cut()
-    return "\n\n".join(_pick(page.lines))
+    page.cut()
+    return "\n\n".join(_pick(page))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, text and n_chars (code points) of every page."""
+    """page_id, url, text and n_chars (code points) of every page. A page is read whole, whatever its size; a null html, url
+    or page_id stays a row; repeated rows give repeated rows, and an empty table none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "html"):

@@ -7,6 +7,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from html import unescape
 
 import numpy as np
 import pyarrow as pa
@@ -274,22 +275,73 @@ PAGES = {
 }
 
 
+LONG = ("long text of the story " * 12).strip()
+PAGES |= {
+    f"<div class='layout has-sidebar'><article><p>{LONG}</article></div>": LONG, f"<div class='post no-sidebar'><p>{LONG}<p>{LONG}</div>": f"{LONG}\n\n{LONG}",
+    "<article><p>One <svg><text>icon</text></svg><button>Buy</button>two<script>x()</script> three</article>": "One two three",
+    "<article><p>Kept <span class='advert'>buy now</span><span hidden>secret</span><i class='sharp'>too</i></article>": "Kept too",
+    f"<article><p>{LONG}<p><a href=x>one link alone</a><p>end</article>": f"{LONG}\n\none link alone\n\nend",
+    f"<article><p>{LONG}</article><article><p>{LONG} 2</article><aside><article><p>{LONG} 3</article></aside>": f"{LONG}\n\n{LONG} 2",
+    f"<main><h1>Head</h1><p>{LONG}<article><p>{LONG}</article><div><a href=a>a</a></div></main>": f"Head\n\n{LONG}\n\n{LONG}",
+    f"<div class='main-sidebar-layout'><h1>Head</h1><p>{LONG}</div><div class='sidebar'>side text</div>": f"Head\n\n{LONG}",
+    f"<article><h1>Head</h1><p>{LONG}</article><section class='comments'>{'<p>a reader says this and that and more' * 40}</section>": f"Head\n\n{LONG}",
+    f"<form id=all><nav><a href=x>x</a></nav><main><p>{LONG}</main></form><form><input><p>Your name</form>": LONG,
+}
+
+
 @pytest.mark.parametrize("html", list(PAGES))
 def test_main_text(html):
     assert htmltext.main_text(html) == PAGES[html]
 
 
+def built_page(rng, tag):
+    """A page and its article, made of known blocks."""
+    word = lambda n: " ".join("".join(rng.choice(list("abcdeiou"), int(rng.integers(2, 9)))) for _ in range(n))
+    links = lambda n: "".join(f"<li><a href=/x>{word(1)}</a>" for _ in range(n))
+    blocks = [word(5)] + [word(int(rng.integers(8, 90))) for _ in range(int(rng.integers(3, 9)))]
+    blocks.insert(int(rng.integers(2, len(blocks))), word(1))  # a short paragraph
+    body = f"<h1>{blocks[0]}</h1>" + "".join(f"<p>{b}</p>" for b in blocks[1:])
+    html = f"<body><ul>{links(9)}</ul><div><p>{word(6)}</p></div><{tag}>{body}</{tag}><div><ul>{links(7)}</ul><p>{word(4)}</p></div></body>"
+    return html, "\n\n".join(blocks)
+
+
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_regions_without_any_name(tag):
+    """Menus, an advert and a footer without names: the ratio alone finds the article, marked or not."""
+    rng = np.random.default_rng(11)
+    pages = [built_page(rng, tag) for _ in range(200)]
+    assert sum(htmltext.main_text(h) == t for h, t in pages) >= 0.9 * len(pages)
+
+
+def test_smoothing_decides():
+    """Paragraphs in the body itself: a short one between long ones is content, short ones at the end are not."""
+    html = "<body>" + f"<p>{LONG}" * 3 + "<p>Yes." + f"<p>{LONG}" * 3 + "<p>a b<p>c d<p>e f<p>g h<p>i j" + "</body>"
+    page = htmltext.Page()
+    page.feed(html)
+    page.cut()
+    assert htmltext._pick(page) == [LONG] * 3 + ["Yes."] + [LONG] * 3 + htmltext._pick(page)[7:] and len(htmltext._pick(page)) <= 8
+    assert "Yes." not in htmltext._pick(page, sigma=0.01)
+
+
 def test_html_query(spark, data):
+    """Every page's text is that of its article, and stays so where the article is an element without a meaning."""
     import duckdb
 
     pages = dict(duckdb.sql(f"select page_id, html from '{data}/pages.parquet'").fetchall())
     rows = queries.op2_htmltext(spark, data).collect()
     assert {r.page_id for r in rows} == set(pages)
+    same = 0
     for r in rows:
-        article = (pages[r.page_id] or "").partition("<article>")[2].partition("</article>")[0]
-        words = htmltext.main_text("<article>" + article).split()
-        assert r.text.split() == words and r.n_chars == len(r.text) and "track(" not in r.text
-    assert htmltext.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+        inner = (pages[r.page_id] or "").partition("<article>")[2].partition("</article>")[0]
+        blocks = re.split(r"</?(?:p|h\d|ul|ol|li|div|section|blockquote|pre|table|tr|td)\b[^>]*>", inner)
+        plain = [" ".join(unescape(re.sub(r"<br[^>]*>", " ", b) if "<" in b else b).split()) if "<" not in b.replace("<br>", "") else " ".join(unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br[^>]*>", " ", b))).split()) for b in blocks]
+        assert r.text == "\n\n".join(b for b in plain if b) and r.n_chars == len(r.text)
+        same += htmltext.main_text(re.sub(r"<(/?)article\b", r"<\1div", pages[r.page_id] or "")) == r.text
+    assert same >= 0.9 * len(rows)
+    odd = spark.createDataFrame([(1, None, "<p>x"), (1, None, "<p>x"), (None, "u", None), (2, "u", "<article><p>" + "w " * (1 << 20) + "</article>")], "page_id long, url string, html string")
+    got = sorted((r.page_id or 0, r.n_chars) for r in htmltext.extract(odd).collect())
+    assert got == [(0, 0), (1, 1), (1, 1), (2, (2 << 20) - 1)]
+    assert htmltext.extract(odd.where("false")).count() == 0
 
 
 def test_smoothing_and_clusters():

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +30,26 @@ def shared_dir(spark: SparkSession) -> str:
     return told or at.get()
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int):
+    """Arrow batches of at most `rows` rows (or fewer, where fewer are set) for what is run inside."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(old)) if int(old) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
+BATCH = 4000  # rows of an Arrow batch in eager work: with whole texts, some megabytes on both sides
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with batch_rows(df.sparkSession, BATCH):
+        return df.checkpoint(eager=True)
 
 
 def width(spark: SparkSession) -> int:
@@ -271,8 +288,9 @@ def members(refs: DataFrame) -> bytes:
         yield pa.record_batch([pa.array([np.packbits(field).tobytes()], pa.binary())], ["bits"])
 
     out = np.zeros(_MEMBERS_BITS // 8, np.uint8)
-    for r in refs.coalesce(32).mapInArrow(run, "bits binary").toLocalIterator():  # one field at a time
-        out |= np.frombuffer(r.bits, np.uint8)
+    with batch_rows(refs.sparkSession, BATCH):
+        for r in refs.coalesce(32).mapInArrow(run, "bits binary").toLocalIterator():  # one field at a time
+            out |= np.frombuffer(r.bits, np.uint8)
     return out.tobytes()
 
 
@@ -280,13 +298,19 @@ def _member_bits(refs: np.ndarray) -> np.ndarray:
     return (mix64(refs.astype(np.int64).view(U64)) % U64(_MEMBERS_BITS)).astype(np.int64)
 
 
-def only_members(rows: DataFrame, bits: bytes, held: bool) -> DataFrame:
-    """Rows whose ref the filter holds, or doesn't; columns ref first."""
+def only_members(rows: DataFrame, bits: bytes) -> DataFrame:
+    """Rows whose ref, the first column, the filter holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
         for b in batches:
-            keep = field[_member_bits(np.asarray(b.column(0)))]
-            yield b.filter(pa.array(keep if held else ~keep))
+            yield b.filter(pa.array(field[_member_bits(np.asarray(b.column(0)))]))
 
     return rows.mapInArrow(run, rows.schema)
+
+
+def not_members(bits: bytes, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of batches the rows whose ref, the first column, the filter doesn't hold."""
+    field = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
+    for b in batches:
+        yield b.filter(pa.array(~field[_member_bits(np.asarray(b.column(0)))]))

@@ -391,7 +391,7 @@ def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     pairs = cut(near(nodes.select("node", "fp"), similarity))
     touched = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = cut(touched.join(nodes.select("node", "ref"), "node").select("ref", "node"))
-    texts = only_members(rows.select("ref", "text"), members(wanted.select("ref")), True).join(wanted, "ref").select("node", "text")
+    texts = only_members(rows.select("ref", "text"), members(wanted.select("ref"))).join(wanted, "ref").select("node", "text")
     joined = components(similar(pairs, cut(_sets(texts, words)), similarity))
     named = nodes.select("node", "low").join(joined, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("low").alias("component_id"))

@@ -31,8 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Grown, Names, chunks_of, cut, hashes, pieces, ranges, shared_dir, text_bytes
-from .vectors import batch_rows
+from .common import Grown, Names, batch_rows, chunks_of, cut, hashes, pieces, ranges, shared_dir, text_bytes
 
 MAGIC = b"SSTOKEN1"
 _FOOTER = struct.Struct("<8sqqqiqqqq")

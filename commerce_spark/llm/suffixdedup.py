@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, cut, members, mix64, only_members, pieces, text_bytes
+from .common import U64, cut, members, mix64, not_members, only_members, pieces, text_bytes
 
 GRAM = 64
 _BYTE = mix64(np.arange(256, dtype=U64) * U64(0x632BE59BD9B4E019) + U64(7))
@@ -187,7 +187,7 @@ def spans(docs: DataFrame, length: int = 200, group_bytes: int = 1 << 20) -> Dat
     per = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.col("one.size").cast("long")).alias("bytes"))
     known = cut(contexts.join(per, "gram"))
     mixed = known.where("kinds > 1").select("gram", "context", "n", "bytes", "one.ref", "one.at", "one.size")
-    holders = only_members(texts, members(mixed.select("ref").distinct()), True)
+    holders = only_members(texts, members(mixed.select("ref").distinct()))
     cutouts = cut(mixed.join(holders, "ref").select("gram", "context", (F.col("n") > 1).alias("twice"), "bytes", F.substring(F.col("text").cast("binary"), F.col("at") + 1, F.col("size")).alias("data")))
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,6 +248,9 @@ def _applied(docs: DataFrame, length: int, change, schema: str) -> DataFrame:
     bits = members(found.select("ref"))
     rows = docs.select(_ref().alias("ref"), "doc_id", F.col("text").cast("string").alias("text"))
 
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run(not_members(bits, batches))  # one Python worker for both
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = None
         for b in pieces(batches, "text", mb=1):
@@ -257,8 +260,8 @@ def _applied(docs: DataFrame, length: int, change, schema: str) -> DataFrame:
             yield pa.record_batch([b.column(1), *[pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)]], ["doc_id", *[c.split()[0] for c in schema.split(", ")]])
 
     shape = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {schema}"
-    hit = only_members(rows, bits, True).join(found, "ref", "left").select("ref", "doc_id", "text", "spans")
-    return hit.mapInArrow(run, shape).unionByName(only_members(rows, bits, False).mapInArrow(run, shape))
+    hit = only_members(rows, bits).join(found, "ref", "left").select("ref", "doc_id", "text", "spans")
+    return hit.mapInArrow(run, shape).unionByName(rows.mapInArrow(others, shape))
 
 
 def digest(docs: DataFrame, length: int = 200) -> DataFrame:

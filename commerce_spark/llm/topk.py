@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
-from .vectors import batch_rows, main_width, parse, stacked
+from .common import batch_rows, cut
+from .vectors import main_width, parse, stacked
 
 SLACK = 1e-9
 

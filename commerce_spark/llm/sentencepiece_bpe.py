@@ -81,7 +81,7 @@ class Codec:
         self.merges = {(a, b): (c, r) for a, b, c, r in merges}
         self._hashed(np.array(merges, np.int64).reshape(-1, 4))
         self.dropout, self.seed, self.room = dropout, seed, room
-        self._clear()
+        self.clear()
 
     # ---- merges by arrays
 
@@ -227,7 +227,7 @@ class Codec:
 
     # ---- the forest
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
         self.words = Names()  # chunks without their first blank
         # of chunks: root, start and number of their signs, start and number of their bytes
         self.root, self.sign_at, self.sign_n, self.byte_at, self.byte_n = (Grown(np.int32) for _ in range(5))
@@ -377,7 +377,7 @@ class Codec:
         """Piece ids of all texts in a row, the number of each text's, and whether they spell it. A null or empty text
         has none."""
         if max(self.word.n, (self.child.n + self.pool.n + self.all_signs.n) // 16) > self.room:
-            self._clear()
+            self.clear()
         data, offsets = text_bytes(texts)
         keys, counts = chunks_of(data, offsets)
         coded = keys.dictionary_encode()
@@ -439,13 +439,16 @@ def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(model_path, dropout, seed)
-        for b in pieces(batches, "text", rows=4096, mb=4):
-            ids, many, good = tool.encode(b.column(1))
-            ids = ids.astype("<i4")
-            ends = np.concatenate(([0], np.cumsum(many))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))
-            crc = [zlib.crc32(ids[s:e]) for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            yield pa.record_batch([b.column(0), pa.array(many.astype(np.int64)), lists, pa.array(crc, pa.int64()), pa.array(good)], ["doc_id", "n_pieces", "ids", "ids_crc32", "lossless"])
+        try:
+            for b in pieces(batches, "text", rows=4096, mb=4):
+                ids, many, good = tool.encode(b.column(1))
+                ids = ids.astype("<i4")
+                ends = np.concatenate(([0], np.cumsum(many))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))
+                crc = [zlib.crc32(ids[s:e]) for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                yield pa.record_batch([b.column(0), pa.array(many.astype(np.int64)), lists, pa.array(crc, pa.int64()), pa.array(good)], ["doc_id", "n_pieces", "ids", "ids_crc32", "lossless"])
+        finally:
+            tool.clear()  # a worker outlives the task, and other stages need its memory
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_pieces long, ids array<int>, ids_crc32 long, lossless boolean")

@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A calendar of months up to this size is broadcast; a longer one is joined by month.
-CALENDAR_ROWS = 12_000
-
 
 def as_of(facts: DataFrame, history: DataFrame, key: str, instant: str, take: list[str]) -> DataFrame:
     """Facts with the history row valid at their instant ([valid_from, valid_to), null: open); left-preserving.

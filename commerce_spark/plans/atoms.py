@@ -6,9 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from commerce_spark.operators import changes, quality, temporal
-from commerce_spark.plans import lakehouse
 from commerce_spark.plans.views import Tables
-from commerce_spark.sources import generators
 
 _BODY = ["event_type", "value", "props"]
 
@@ -20,8 +18,8 @@ def _half(t: Tables, rest: int) -> DataFrame:
 
 
 def insert_only(t: Tables) -> DataFrame:
-    """Events of the batch (even ids) that the target (ids not divisible by 3) lacks."""
-    return changes.insert_only(t.events.where("event_id % 3 <> 0"), t.events.where("event_id % 2 = 0"), ["event_id"]).select("event_id", "user_id")
+    """All events as a batch, into a target that has the purchases."""
+    return changes.insert_only(t.events.where("event_type = 'purchase'"), t.events, ["event_id"]).select("event_id", "user_id")
 
 
 def upsert(t: Tables) -> DataFrame:
@@ -30,8 +28,8 @@ def upsert(t: Tables) -> DataFrame:
 
 
 def full_sync(t: Tables) -> DataFrame:
-    """As I2, but ties stay and users that the source lacks go."""
-    return changes.full_sync(_half(t, 0), _half(t, 1).where("user_id % 7 <> 0"), ["user_id"], "version").select("user_id", "version", "event_id")
+    """As I2, but ties stay and users that the source (odd events of value 1 or more) lacks go."""
+    return changes.full_sync(_half(t, 0), _half(t, 1).where("value >= 1"), ["user_id"], "version").select("user_id", "version", "event_id")
 
 
 def watermark(t: Tables) -> DataFrame:
@@ -75,7 +73,7 @@ def checks(t: Tables) -> DataFrame:
     """Generic checks over orders and lines: unique, not null, accepted values, relationships."""
     return quality.all_of(
         quality.unique(t.lineitem, "lineitem", ["l_orderkey", "l_linenumber"]), quality.not_null(t.orders, "orders", "o_custkey", "o_orderkey"),
-        quality.accepted(t.orders, "orders", "o_orderstatus", ["F", "O"], "o_orderkey"), quality.related(t.orders, "orders", "o_custkey", t.customer.where("c_custkey % 10 <> 0"), "c_custkey", "o_orderkey"),
+        quality.accepted(t.orders, "orders", "o_orderstatus", ["F", "O"], "o_orderkey"), quality.related(t.orders, "orders", "o_custkey", t.customer.where("c_acctbal >= 0"), "c_custkey", "o_orderkey"),
     )
 
 
@@ -89,80 +87,23 @@ def monitor_raw(t: Tables) -> DataFrame:
     return t.events.groupBy(F.col("event_type").alias("entidade")).agg(F.count(F.lit(1)).alias("linhas_raw"), F.count_distinct(F.concat_ws("|", F.col("user_id").cast("string"), F.col("event_id").cast("string"))).alias("versoes"))
 
 
-def _documents(t: Tables) -> lakehouse.Position:
-    rows = [e for batch in generators.event_batches() for e in batch]
-    events = t.spark.createDataFrame([tuple(e[c] for c in lakehouse.FIELDS) for e in rows], lakehouse.EVENTS).dropDuplicates()
-    return lakehouse.Position(events, generators.event_dimensions(t.spark))
-
-
-def _silver(t: Tables) -> list[DataFrame]:
-    return [rows for _, rows in _documents(t).silver().values()]
-
-
-def silver_orders(t: Tables) -> DataFrame:
-    """The current valid orders of the demonstration batches."""
-    return _silver(t)[0]
-
-
-def position(t: Tables) -> DataFrame:
-    """K50."""
-    return lakehouse.order_position(*_silver(t), "2026-09-30")
-
-
-def return_facts(t: Tables) -> DataFrame:
-    """K51."""
-    return lakehouse.return_facts(*_silver(t))
-
-
-def seller_summary(t: Tables) -> DataFrame:
-    """K52."""
-    return lakehouse.seller_summary(position(t))
-
-
-def open_orders(t: Tables) -> DataFrame:
-    """K53."""
-    d = generators.event_dimensions(t.spark)
-    return lakehouse.open_orders(position(t), d["clientes"], d["vendedores"])
-
-
-def returns_by_category(t: Tables) -> DataFrame:
-    """K54."""
-    return lakehouse.returns_by_category(position(t), generators.event_dimensions(t.spark)["produtos"])
-
-
-def backlog_split(t: Tables) -> DataFrame:
-    """K55."""
-    return lakehouse.backlog_split(position(t))
-
-
-def inconsistencies(t: Tables) -> DataFrame:
-    """K56."""
-    return lakehouse.inconsistencies(position(t))
-
-
-def quarantine_list(t: Tables) -> DataFrame:
-    """K57."""
-    return _documents(t).quarantine()
-
-
 PLANS = {
     "i01_insert_only": insert_only, "i02_upsert": upsert, "i03_full_sync": full_sync, "i04_watermark": watermark, "i05_window_scan": window_scan, "i10_history": history, "i11_latest_valid": latest_valid, "i12_quarantine": quarantined, "i15_ambiguous": ambiguous,
-    "j07_checks": checks, "c09_next_page": next_page, "k19_monitor_raw": monitor_raw, "k49_silver_orders": silver_orders, "k50_position": position, "k51_return_facts": return_facts, "k52_seller_summary": seller_summary, "k53_open_orders": open_orders,
-    "k54_returns_by_category": returns_by_category, "k55_backlog_split": backlog_split, "k56_inconsistencies": inconsistencies, "k57_quarantine": quarantine_list,
+    "j07_checks": checks, "c09_next_page": next_page, "k19_monitor_raw": monitor_raw,
 }
 
 _PARTS = "WITH h AS (SELECT *, event_id//2 AS version, event_id%2 AS s FROM events), n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, s ORDER BY version DESC) AS r FROM h) WHERE r=1) "
 SQL = {
-    "i01_insert_only": "SELECT event_id, user_id FROM events WHERE event_id%2=0 AND event_id%3=0",
+    "i01_insert_only": "SELECT event_id, user_id FROM events WHERE event_type<>'purchase'",
     "i02_upsert": _PARTS + "SELECT user_id, version, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY version DESC, s DESC) AS k FROM n) WHERE k=1",
-    "i03_full_sync": _PARTS + "SELECT a.user_id, CASE WHEN b.version>=a.version THEN b.version ELSE a.version END AS version, CASE WHEN b.version>=a.version THEN b.event_id ELSE a.event_id END AS event_id FROM n a LEFT JOIN n b ON b.user_id=a.user_id AND b.s=0 WHERE a.s=1 AND a.user_id%7<>0",
+    "i03_full_sync": _PARTS + "SELECT a.user_id, CASE WHEN b.version>=a.version THEN b.version ELSE a.version END AS version, CASE WHEN b.version>=a.version THEN b.event_id ELSE a.event_id END AS event_id FROM n a LEFT JOIN n b ON b.user_id=a.user_id AND b.s=0 WHERE a.s=1 AND a.value>=1",
     "i04_watermark": "SELECT event_type AS entity, MAX(ts) AS value FROM events GROUP BY 1",
     "i05_window_scan": "SELECT event_id, ts FROM events WHERE ts>=TIMESTAMP '2024-01-01 23:55:00' AND ts<TIMESTAMP '2024-01-03 00:00:00'",
     "i10_history": "SELECT user_id, event_id, ts AS valid_from, LEAD(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS valid_to FROM events",
     "i11_latest_valid": "SELECT event_type, user_id, event_id, value FROM events WHERE value>=1 QUALIFY row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id DESC)=1",
     "i12_quarantine": "SELECT event_id, 'valor_invalido' AS reason FROM events WHERE value<1 UNION ALL SELECT event_id, 'referencia_ausente' FROM (SELECT * FROM events WHERE value>=1 AND event_type='purchase' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC)=1) WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type='signup')",
     "i15_ambiguous": "SELECT user_id, event_type, CAST(ts AS DATE) AS day FROM events GROUP BY 1,2,3 HAVING COUNT(DISTINCT value)>1",
-    "j07_checks": "SELECT 'lineitem' AS entity, concat_ws('/', l_orderkey, l_linenumber) AS key, 'unique l_orderkey, l_linenumber' AS rule FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING COUNT(*)>1 UNION ALL SELECT 'orders', CAST(o_orderkey AS VARCHAR), 'not null o_custkey' FROM orders WHERE o_custkey IS NULL UNION ALL SELECT 'orders', CAST(o_orderkey AS VARCHAR), 'accepted o_orderstatus' FROM orders WHERE o_orderstatus NOT IN ('F','O') UNION ALL SELECT 'orders', CAST(o_orderkey AS VARCHAR), 'related o_custkey' FROM orders WHERE o_custkey%10=0",
+    "j07_checks": "SELECT 'lineitem' AS entity, concat_ws('/', l_orderkey, l_linenumber) AS key, 'unique l_orderkey, l_linenumber' AS rule FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING COUNT(*)>1 UNION ALL SELECT 'orders', CAST(o_orderkey AS VARCHAR), 'not null o_custkey' FROM orders WHERE o_custkey IS NULL UNION ALL SELECT 'orders', CAST(o_orderkey AS VARCHAR), 'accepted o_orderstatus' FROM orders WHERE o_orderstatus NOT IN ('F','O') UNION ALL SELECT 'orders', CAST(o_orderkey AS VARCHAR), 'related o_custkey' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal>=0)",
     "c09_next_page": "SELECT event_id, value FROM events WHERE value>50 OR (value=50 AND event_id>100)",
     "k19_monitor_raw": "SELECT event_type AS entidade, COUNT(*) AS linhas_raw, COUNT(DISTINCT concat_ws('|', user_id, event_id)) AS versoes FROM events GROUP BY 1",
 }

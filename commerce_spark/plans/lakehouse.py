@@ -61,10 +61,13 @@ def evaluate(events: DataFrame, dimensions: dict[str, DataFrame]) -> DataFrame:
 
 
 class Position:
-    """What a state of bronze says: evaluated and current events, resolved documents, quarantine, excess."""
+    """What a state of bronze says: evaluated and current events, resolved documents, quarantine, excess. With `keep` the
+    evaluated events are persisted, and the caller lets them go."""
 
-    def __init__(self, bronze: DataFrame, dimensions: dict[str, DataFrame]):
-        self.evaluated = evaluate(bronze, dimensions).persist()
+    def __init__(self, bronze: DataFrame, dimensions: dict[str, DataFrame], keep: bool = False):
+        self.evaluated = evaluate(bronze, dimensions)
+        if keep:
+            self.evaluated.persist()
         valid = self.evaluated.where("reason is null")
         self.current = changes.latest(valid, ["entidade", "chave"], [F.desc("revisao"), F.asc("id_evento")])
         of = lambda name: self.current.where(F.col("entidade") == name)
@@ -193,7 +196,7 @@ class Lakehouse:
             raise ValueError("a version of a document is ambiguous")
         new = changes.insert_only(old, events, ["id_evento"]).persist()
         dimensions = {k: self.store.read(f"dim_{k}") for k in ("clientes", "vendedores", "produtos")}
-        at = Position(old.unionByName(new), dimensions)
+        at = Position(old.unionByName(new), dimensions, keep=True)
         held = at.quarantine()
         self.store.commit(replaced={"quarentena": held}, appended={"eventos": new})
         if not at.excess().isEmpty():

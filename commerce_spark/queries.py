@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from commerce_spark.plans import atoms, kpi, oracle, portfolio
+from commerce_spark.plans import atoms, documents, kpi, oracle, portfolio
 from commerce_spark.plans.views import Tables
 
 PLANS: dict[str, Callable[[Tables], DataFrame]] = {
@@ -27,8 +27,8 @@ def _query(plan: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str],
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _query(plan) for name, plan in (PLANS | atoms.PLANS).items()}
+    return {name: _query(plan) for name, plan in (PLANS | atoms.PLANS | documents.PLANS).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.SQL | atoms.SQL
+    return oracle.SQL | atoms.SQL | documents.SQL

@@ -6,8 +6,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from commerce_spark.plans import atoms
-from commerce_spark.plans.views import Tables
+from commerce_spark.plans import lakehouse
 from commerce_spark.sources import generators
 
 
@@ -18,16 +17,20 @@ def test_demonstration_sales(spark):
     assert (s.count(), r[3], r[2], r[0], r[1]) == (848, 827, 18, Decimal("3282277.00"), Decimal("1363789.70"))
 
 
-def test_position_totals(spark, data):
-    t = Tables(spark, data)
-    r = atoms.position(t).agg(*[F.sum(c) for c in ("valor_aberto", "valor_faturado", "valor_devolvido", "receita_apos_devolucao")], F.count(F.lit(1))).first()
+def test_position_totals(spark):
+    dims, every = generators.event_dimensions(spark), generators.event_batches(spark)
+    bronze = every[0].unionByName(every[1]).unionByName(every[2]).dropDuplicates()
+    at = lakehouse.Position(bronze, dims)
+    orders, invoices, returns = (rows for _, rows in at.silver().values())
+    p = lakehouse.order_position(orders, invoices, returns, "2026-09-30").cache()
+    r = p.agg(*[F.sum(c) for c in ("valor_aberto", "valor_faturado", "valor_devolvido", "receita_apos_devolucao")], F.count(F.lit(1))).first()
     assert tuple(r) == (Decimal("17250.00"), Decimal("4170.00"), Decimal("195.00"), Decimal("3975.00"), 48)
-    assert atoms.inconsistencies(t).isEmpty()
-    assert atoms.seller_summary(t).count() == 4
-    rates = {r.categoria: (r.devolucoes, r.faturamento) for r in atoms.returns_by_category(t).collect()}
+    assert lakehouse.inconsistencies(p).isEmpty() and lakehouse.seller_summary(p).count() == 4
+    rates = {r.categoria: (r.devolucoes, r.faturamento) for r in lakehouse.returns_by_category(p, dims["produtos"]).collect()}
     assert rates == {"Limpeza": (Decimal("130.00"), Decimal("2240.00")), "Alimentos": (Decimal("65.00"), Decimal("1930.00"))}
-    top = atoms.open_orders(t).first()
+    top = lakehouse.open_orders(p, dims["clientes"], dims["vendedores"]).first()
     assert (top.id_pedido, top.valor_aberto, top.dias_atraso) == (39, Decimal("770.00"), 10)
-    assert atoms.backlog_split(t).agg(F.sum("saldo_parcial")).first()[0] == Decimal("4935.00")
-    assert atoms.quarantine_list(t).count() == 1
-    assert atoms.return_facts(t).count() == 6 and atoms.silver_orders(t).count() == 48
+    assert lakehouse.backlog_split(p).agg(F.sum("saldo_parcial")).first()[0] == Decimal("4935.00")
+    assert at.quarantine().count() == 1 and bronze.count() == 90
+    assert lakehouse.return_facts(orders, invoices, returns).count() == 6 and orders.count() == 48
+    p.unpersist()

@@ -112,7 +112,7 @@ def _compare(rep: np.ndarray, copies: np.ndarray, x: np.ndarray, trails: list[by
     return rep[found], rep[label[found]], count[found]
 
 
-def classes(df: DataFrame, cosine: float = 0.95, trees: int = 4, leaf: int = 256, spill: float = 0.75, sample_rows: int = 16384, block_rows: int = 1024, id_col: str = "vec_id", column: str = "embedding") -> DataFrame:
+def classes(df: DataFrame, cosine: float = 0.95, trees: int = 8, leaf: int = 64, spill: float = 0.25, sample_rows: int = 16384, block_rows: int = 1024, id_col: str = "vec_id", column: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id and kept for every row.
 
     Vectors that are null, empty or zero, or hold null or non-finite components, or are not of the most frequent

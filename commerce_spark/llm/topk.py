@@ -97,26 +97,33 @@ class Index:
         return run
 
     def _pack(self, keyed: DataFrame, parts: dict[int, int]) -> DataFrame:
-        """Blocks of a ring's vectors: ring, low, high, ids, vecs. A ring has as many blocks as its size asks for,
-        so that a ring of copies is many blocks of bounded size."""
+        """Blocks of a ring's vectors: ring, part, low, high, ids, vecs. A ring has as many parts as its size asks for,
+        so that a ring of copies is many blocks of bounded size, and no key of a join."""
         rows = self.block_rows * 2
-        table = F.broadcast(self.spark.createDataFrame(list(parts.items()), "ring int, parts int"))
-        dealt = keyed.join(table, "ring").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+        self.parts = self.spark.createDataFrame(list(parts.items()), "ring int, parts int")  # a row for each ring
+        dealt = keyed.join(F.broadcast(self.parts), "ring").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key, held = None, []
             for b in batches:
                 for ring, part, dist, i, vec in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
                     if held and ((ring, part) != key or len(held) == rows):
-                        yield _block(key[0], held)
+                        yield _block(key, held)
                         held = []
                     key = (ring, part)
                     held.append((dist, i, vec))
             if held:
-                yield _block(key[0], held)
+                yield _block(key, held)
 
         ordered = dealt.select("ring", "part", "dist", "vec_id", "vec").repartition("ring", "part").sortWithinPartitions("ring", "part", "dist", "vec_id")
-        return cut(ordered.mapInArrow(run, "ring int, low double, high double, ids binary, vecs binary"))
+        return cut(ordered.mapInArrow(run, "ring int, part int, low double, high double, ids binary, vecs binary"))
+
+    def pruned(self, vectors: np.ndarray, floors: np.ndarray) -> float:
+        """The share of the index's vectors that lie in rings which the bounds rule out, for queries with these floors."""
+        bound, of, rings = self._bound()
+        q2, lifted = of(vectors)
+        top = bound(q2[:, None], _distances(lifted, self.pivots)[:, self.ring // rings], self.low, self.high)
+        return float(((top < floors[:, None]) * self.n).sum() / (self.n.sum() * max(len(vectors), 1)))
 
     def search(self, queries: DataFrame, k: int = 5, query_rows: int = 256) -> DataFrame:
         """query_id, vec_id, score and rank: the k best other vectors of each query, ties to the smaller vec_id.
@@ -186,17 +193,18 @@ class Index:
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key, held = None, []
             for b in batches:
-                for ring, i, vec, floor in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
-                    if held and (ring != key or len(held) == query_rows):
+                for ring, part, i, vec, floor in zip(*(b.column(c).to_pylist() for c in range(5)), strict=True):
+                    if held and ((ring, part) != key or len(held) == query_rows):
                         yield _queries(key, held)
                         held = []
-                    key = ring
+                    key = (ring, part)
                     held.append((i, vec, -np.inf if floor is None else floor))
             if held:
                 yield _queries(key, held)
 
-        dealt = visits.withColumn("lane", F.pmod(F.xxhash64("query_id"), F.lit(lanes))).repartition("ring", "lane").sortWithinPartitions("ring", "query_id")
-        asked = dealt.select("ring", "query_id", "vec", "floor").mapInArrow(pack, "ring int, query_ids binary, query_vecs binary, floors binary")
+        meets = visits.join(F.broadcast(self.parts), "ring").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        dealt = meets.withColumn("lane", F.pmod(F.xxhash64("query_id"), F.lit(lanes))).repartition("ring", "part", "lane").sortWithinPartitions("ring", "part", "query_id")
+        asked = dealt.select("ring", "part", "query_id", "vec", "floor").mapInArrow(pack, "ring int, part int, query_ids binary, query_vecs binary, floors binary")
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -224,7 +232,7 @@ class Index:
                         found[2].append(s[i, ok])
                     yield pa.record_batch([pa.array(np.concatenate(f).astype(np.int64)) for f in found], ["query_id", "vec_id", "score"])
 
-        pairs = self.blocks.join(asked, "ring").select("ring", "ids", "vecs", "low", "high", "query_ids", "query_vecs", "floors")
+        pairs = self.blocks.join(asked, ["ring", "part"]).select("ring", "ids", "vecs", "low", "high", "query_ids", "query_vecs", "floors")
         with batch_rows(self.spark, 16):
             return cut(pairs.mapInArrow(score, "query_id long, vec_id long, score long"))
 
@@ -234,14 +242,14 @@ class Index:
         return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _block(ring: int, held: list) -> pa.RecordBatch:
+def _block(key: tuple[int, int], held: list) -> pa.RecordBatch:
     ids = np.array([h[1] for h in held], np.int64)
-    return pa.record_batch([pa.array([ring], pa.int32()), pa.array([held[0][0]], pa.float64()), pa.array([held[-1][0]], pa.float64()), pa.array([ids.tobytes()], pa.binary()), pa.array([b"".join(h[2] for h in held)], pa.binary())], ["ring", "low", "high", "ids", "vecs"])
+    return pa.record_batch([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([held[0][0]], pa.float64()), pa.array([held[-1][0]], pa.float64()), pa.array([ids.tobytes()], pa.binary()), pa.array([b"".join(h[2] for h in held)], pa.binary())], ["ring", "part", "low", "high", "ids", "vecs"])
 
 
-def _queries(ring: int, held: list) -> pa.RecordBatch:
+def _queries(key: tuple[int, int], held: list) -> pa.RecordBatch:
     ids, floors = np.array([h[0] for h in held], np.int64), np.array([h[2] for h in held], float)
-    return pa.record_batch([pa.array([ring], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([b"".join(h[1] for h in held)], pa.binary()), pa.array([floors.tobytes()], pa.binary())], ["ring", "query_ids", "query_vecs", "floors"])
+    return pa.record_batch([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([b"".join(h[1] for h in held)], pa.binary()), pa.array([floors.tobytes()], pa.binary())], ["ring", "part", "query_ids", "query_vecs", "floors"])
 
 
 def top_k(df: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0, **index) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -68,6 +69,18 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, rows: int = 512, mb:
                 n //= 2
             yield batch.slice(at, n)
             at += n
+    trim()
+
+
+def trim() -> None:
+    """Give memory that a task no longer uses back to the system: Python workers outlive their tasks, and the allocators
+    under Arrow and numpy keep what was freed."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
 
 
 def _bytes(column: pa.Array) -> int:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Grown, Names, chunks_of, hashes, mix64, pieces, ranges, text_bytes
+from .common import U64, Grown, Names, chunks_of, hashes, mix64, pieces, ranges, text_bytes, trim
 
 BLANK = "▁"
 NONE = np.iinfo(np.int32).max
@@ -52,7 +52,7 @@ class Codec:
     """A vocabulary with its merges, a dropout rate, a seed, and the forest of agendas. `room` bounds the forest's
     nodes and `room` times 16 its pieces, takes and signs, beyond what one batch adds."""
 
-    def __init__(self, model_path: str, dropout: float = 0.1, seed: int = 0, room: int = 1_200_000):
+    def __init__(self, model_path: str, dropout: float = 0.1, seed: int = 0, room: int = 400_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
@@ -440,7 +440,7 @@ def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 0
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(model_path, dropout, seed)
         try:
-            for b in pieces(batches, "text", rows=4096, mb=4):
+            for b in pieces(batches, "text", rows=4096, mb=2):
                 ids, many, good = tool.encode(b.column(1))
                 ids = ids.astype("<i4")
                 ends = np.concatenate(([0], np.cumsum(many))).astype(np.int32)
@@ -449,6 +449,7 @@ def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 0
                 yield pa.record_batch([b.column(0), pa.array(many.astype(np.int64)), lists, pa.array(crc, pa.int64()), pa.array(good)], ["doc_id", "n_pieces", "ids", "ids_crc32", "lossless"])
         finally:
             tool.clear()  # a worker outlives the task, and other stages need its memory
+            trim()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_pieces long, ids array<int>, ids_crc32 long, lossless boolean")

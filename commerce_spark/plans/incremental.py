@@ -11,6 +11,7 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from commerce_spark import registry
 from commerce_spark.operators import changes, quality
 from commerce_spark.registry import ENTITIES, Entity
 from commerce_spark.sources.files import Store
@@ -91,9 +92,7 @@ class Runs:
         frames = {}
         for name, e in self.entities.items():
             newest = changes.latest(self.raw(run, name), ["chave"], [F.desc("versao"), F.asc("payload")])
-            fields = [*e.columns, "atualizado_em"]
-            rows = newest.select(*[F.get_json_object("payload", f"$.{c}").alias(c) for c in fields])
-            typed = e.typed(rows)
+            typed = e.typed(newest.select(*registry.fields(e)))
             bad = typed.where(F.size("errors") > 0).limit(20).collect()
             if bad:
                 raise ValueError("; ".join(f"{name}/{r[e.key]}: {', '.join(r.errors)}" for r in bad))

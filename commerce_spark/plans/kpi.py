@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from commerce_spark.functions.scalar import lower_bound_at_zero, months_between, ratio, real
-from commerce_spark.operators import temporal
+from commerce_spark.operators import ranks, temporal
 
 from . import views
 from .views import Tables
@@ -18,9 +18,17 @@ from .views import Tables
 WIDE = "decimal(38,4)"
 
 
+def _counted(s: DataFrame, by: list[str]) -> DataFrame:
+    """Revenue, margin, customers and entries by some columns. An entry has one customer, so both are counted by
+    narrowing aggregates, without the copies of rows that several distinct counts in one aggregate make."""
+    e = s.groupBy(*by, "customer", "entry").agg(F.sum("revenue").alias("rev"), F.sum("margin").alias("mar"))
+    c = e.groupBy(*by, "customer").agg(F.sum("rev").alias("rev"), F.sum("mar").alias("mar"), F.count(F.lit(1)).alias("ent"))
+    return c.groupBy(*by).agg(F.sum("rev").cast(WIDE).alias("rev"), F.sum("mar").cast(WIDE).alias("mar"), F.count(F.lit(1)).alias("cust"), F.sum("ent").alias("ent"))
+
+
 def executive(t: Tables, met: int = 100, near: int = 90) -> DataFrame:
     """K1: the monthly executive series against its targets, with month-on-month and year-on-year growth."""
-    v = views.invoiced(t).groupBy("month").agg(F.sum("revenue").alias("rev"), F.sum("margin").alias("mar"), F.count_distinct("customer").alias("cust"), F.count_distinct("entry").alias("ent"))
+    v = _counted(views.invoiced(t), ["month"])
     goal = views.targets(t).groupBy("month").agg(F.sum("target").alias("goal"))
     w = Window.orderBy("month")  # one row a month
     s = v.join(goal, "month", "left").withColumn("m1", F.lag("rev", 1).over(w)).withColumn("m12", F.lag("rev", 12).over(w))
@@ -40,10 +48,13 @@ def _by_customer(t: Tables) -> DataFrame:
 
 def concentration(t: Tables, small: int = 5, large: int = 10) -> DataFrame:
     """K2: the share of the largest customers of each month."""
-    w = Window.partitionBy("month")
-    r = _by_customer(t).withColumn("pos", F.row_number().over(w.orderBy(F.desc("rev"), "customer")))
-    top = lambda n: F.sum(F.when(F.col("pos") <= n, F.col("rev")).otherwise(0))
-    return r.groupBy("month").agg(ratio(top(small), F.sum("rev")).alias("participacao_top5"), ratio(top(large), F.sum("rev")).alias("participacao_top10")).withColumnRenamed("month", "mes_referencia")
+    r = _by_customer(t)
+    w = Window.partitionBy("month").orderBy(F.desc("rev"), "customer")
+    first = r.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= large)  # partitions send their first rows only
+    top = lambda n: F.sum(F.when(F.col("pos") <= n, F.col("rev")))
+    tops = first.groupBy("month").agg(top(small).alias("small"), top(large).alias("large"))
+    m = r.groupBy("month").agg(F.sum("rev").alias("total")).join(tops, "month")
+    return m.select(F.col("month").alias("mes_referencia"), ratio(F.col("small"), F.col("total")).alias("participacao_top5"), ratio(F.col("large"), F.col("total")).alias("participacao_top10"))
 
 
 def management_signals(t: Tables) -> DataFrame:
@@ -76,16 +87,16 @@ def inactive(t: Tables, days: int = 90) -> DataFrame:
 
 def abc(t: Tables, a: int = 80, b: int = 95) -> DataFrame:
     """K6: ABC class of each customer and month by cumulative share; the customer that crosses a border is past it."""
-    w = Window.partitionBy("month")
-    run = w.orderBy(F.desc("rev"), "customer").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    r = _by_customer(t).withColumn("total", F.sum("rev").over(w).cast(WIDE)).withColumn("cum", F.sum("rev").over(run).cast(WIDE))
+    own = _by_customer(t)
+    total = own.groupBy("month").agg(F.sum("rev").cast(WIDE).alias("total"))
+    r = ranks.running(own, "month", "rev", "customer").withColumnRenamed("_cum", "cum").join(total, "month")
     mark = F.when(F.col("cum") * 100 <= F.col("total") * a, "A").when(F.col("cum") * 100 <= F.col("total") * b, "B").otherwise("C")
     return r.select(F.col("month").alias("mes_referencia"), F.col("customer").alias("id_cliente"), real(F.col("rev")).alias("faturamento_cliente"), ratio(F.col("rev"), F.col("total")).alias("participacao"), ratio(F.col("cum"), F.col("total")).alias("participacao_acumulada"), mark.alias("curva_abc"))
 
 
 def sellers(t: Tables) -> DataFrame:
     """K7: sellers' months with targets and dense ranks of revenue and margin."""
-    v = views.invoiced(t).groupBy("month", "seller").agg(F.sum("revenue").cast(WIDE).alias("rev"), F.sum("margin").cast(WIDE).alias("mar"), F.count_distinct("customer").alias("cust"), F.count_distinct("entry").alias("ent"))
+    v = _counted(views.invoiced(t), ["month", "seller"])
     r = v.join(views.targets(t), ["month", "seller"], "left").withColumn("pct", ratio(F.col("mar"), F.col("rev")))
     w = Window.partitionBy("month")
     return r.select(
@@ -112,12 +123,13 @@ def shrinking(t: Tables, percent: int = 20) -> DataFrame:
     return r.select(F.col("month").alias("mes_referencia"), F.col("customer").alias("id_cliente"), real(F.col("rev")).alias("faturamento"), real(F.col("mar")).alias("margem_bruta"), F.col("before").alias("mes_anterior"), real(F.col("rev0")).alias("faturamento_anterior"), real(F.col("mar0")).alias("margem_anterior"), ratio((F.col("rev") - F.col("rev0")).cast(WIDE), F.col("rev0")).alias("variacao_faturamento"), ratio((F.col("mar") - F.col("mar0")).cast(WIDE), F.col("mar0")).alias("variacao_margem"))
 
 
-def margin_erosion(t: Tables, points: float = 0.03) -> DataFrame:
-    """Consecutive months with steady or more revenue and a margin lower by `points` or more."""
+def margin_erosion(t: Tables, points: int = 3) -> DataFrame:
+    """Consecutive months with steady or more revenue and a margin lower by `points` percent points or more."""
     rate, rate0 = ratio(F.col("mar"), F.col("rev")), ratio(F.col("mar0"), F.col("rev0"))
-    exact = lambda c: c.cast("decimal(18,6)")
-    drop = exact(rate) - exact(rate0)
-    r = _with_previous(t).where((F.col("gap") == 1) & (F.col("rev") >= F.col("rev0")) & (drop <= F.lit(-points).cast("decimal(18,6)")))
+    drop = rate.cast("decimal(18,6)") - rate0.cast("decimal(18,6)")
+    exact = lambda c: F.col(c).cast("decimal(16,4)")  # noqa: E731  products of two stay exact
+    fell = (exact("mar") * exact("rev0") - exact("mar0") * exact("rev")) * 100 <= exact("rev") * exact("rev0") * -points
+    r = _with_previous(t).where((F.col("gap") == 1) & (F.col("rev0") > 0) & (F.col("rev") >= F.col("rev0")) & fell)
     return r.select(F.col("month").alias("mes_referencia"), F.col("customer").alias("id_cliente"), real(F.col("rev")).alias("faturamento"), rate.alias("percentual_margem"), F.col("before").alias("mes_anterior"), real(F.col("rev0")).alias("faturamento_anterior"), rate0.alias("margem_anterior"), real(drop).alias("variacao_pontos_margem"))
 
 

@@ -86,7 +86,7 @@ def _tenths(x: str) -> str:
 _STATUS = "CASE WHEN rev*100>=goal*100 THEN 'Meta atingida' WHEN rev*100>=goal*90 THEN 'Atenção' ELSE 'Risco' END"
 _SHRINK = "gap=1 AND rev0>0 AND rev*100<=rev0*80"
 _DROP = f"(CAST({r('mar', 'rev')} AS DECIMAL(18,6))-CAST({r('mar0', 'rev0')} AS DECIMAL(18,6)))"
-_ERODE = f"gap=1 AND rev>=rev0 AND {_DROP}<=CAST(-0.03 AS DECIMAL(18,6))"
+_ERODE = "gap=1 AND rev0>0 AND rev>=rev0 AND (CAST(mar AS DECIMAL(30,4))*CAST(rev0 AS DECIMAL(30,4))-CAST(mar0 AS DECIMAL(30,4))*CAST(rev AS DECIMAL(30,4)))*100<=CAST(rev AS DECIMAL(30,4))*CAST(rev0 AS DECIMAL(30,4))*-3"
 _SELLER_COLS = "clientes_carteira, clientes_cadastro_ativo, clientes_novos, clientes_recorrentes, clientes_reativados, clientes_sem_compra, clientes_retidos, clientes_com_compra_anterior"
 
 SQL = {

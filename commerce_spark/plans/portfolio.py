@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from commerce_spark.functions.scalar import months_between, ratio, real
-from commerce_spark.operators import temporal
+from commerce_spark.operators import ranks, temporal
 
 from . import views
 from .views import FIRST_MONTH, LAST_MONTH, Tables
@@ -117,8 +117,9 @@ def cohorts(t: Tables) -> DataFrame:
 
 def revenue_concentration(t: Tables, tenths: int = 2) -> DataFrame:
     """The share of the top 20 % of customers, and the Herfindahl index; null in a month without revenue."""
-    w = Window.partitionBy("competencia")
-    p = _portfolio(t).select("competencia", "id_cliente", "receita_mes").withColumn("_pos", F.row_number().over(w.orderBy(F.desc("receita_mes"), "id_cliente"))).withColumn("_total", F.sum("receita_mes").over(w).cast(WIDE)).withColumn("_n", F.count(F.lit(1)).over(w))
+    own = _portfolio(t).select("competencia", "id_cliente", "receita_mes")
+    whole = own.groupBy("competencia").agg(F.sum("receita_mes").cast(WIDE).alias("_total"), F.count(F.lit(1)).alias("_n"))
+    p = ranks.running(own, "competencia", "receita_mes", "id_cliente").join(whole, "competencia")
     top = F.sum(F.when((F.col("_pos") - 1) * 10 < F.col("_n") * tenths, F.col("receita_mes")))
     share = F.try_divide(F.col("receita_mes").cast("double"), F.col("_total").cast("double"))
     return _money(p.groupBy("competencia").agg(F.max("_total").alias("receita_total"), F.max("_n").alias("clientes_carteira"), top.alias("receita_top_20pct"), ratio(top, F.max("_total")).alias("participacao_top_20pct"), F.round(F.sum(share * share), 6).alias("indice_concentracao")))

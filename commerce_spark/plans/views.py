@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,19 +15,28 @@ LINE = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
 
 
 class Tables:
-    """Lazy readers of one folder's tables."""
+    """Lazy readers of one folder's tables. `given` holds DataFrames that stand in for views of this module, by name."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark: SparkSession, folder: str, given: dict[str, DataFrame] | None = None):
+        self.spark, self.folder, self.given = spark, folder, given or {}
 
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
+def view(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+    @wraps(f)
+    def found(t: Tables) -> DataFrame:
+        return t.given[f.__name__] if f.__name__ in t.given else f(t)
+
+    return found
+
+
 def cents(name: str) -> F.Column:
     return F.col(name).cast("decimal(12,2)")
 
 
+@view
 def sales(t: Tables) -> DataFrame:
     """One row a line: entry, date, month, customer, seller, product, exact revenue, cost and margin, status."""
     o = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", F.col("o_orderdate").cast("date").alias("sale_date"))
@@ -44,12 +56,14 @@ def invoiced(t: Tables) -> DataFrame:
     return sales(t).where("status = 'invoiced'")
 
 
+@view
 def months(t: Tables) -> DataFrame:
     from commerce_spark.operators import temporal
 
     return temporal.months(t.spark, FIRST_MONTH, LAST_MONTH)
 
 
+@view
 def targets(t: Tables) -> DataFrame:
     """A target for each seller and month: 115000 + 2500 by month + 7000 by seller modulo 10."""
     w = months(t).select(F.col("competencia").alias("month"), (F.year("competencia") * 12 + F.month("competencia") - 1995 * 12 - 1).alias("i"))
@@ -57,6 +71,7 @@ def targets(t: Tables) -> DataFrame:
     return t.supplier.select(F.col("s_suppkey").alias("seller")).crossJoin(F.broadcast(w)).select("month", "seller", value.alias("target"))
 
 
+@view
 def forecasts(t: Tables) -> DataFrame:
     """A forecast for each month at horizons of 30, 60 and 120 days."""
     w = months(t).select(F.col("competencia").alias("month"), (F.year("competencia") * 12 + F.month("competencia") - 1995 * 12 - 1).alias("i"))
@@ -66,6 +81,7 @@ def forecasts(t: Tables) -> DataFrame:
     return h.select(F.add_months("month", (-F.col("horizon") / 30).cast("int")).alias("issued"), "month", "horizon", value.alias("forecast"))
 
 
+@view
 def returns(t: Tables) -> DataFrame:
     """A return for each line flagged R: half its quantity, up, and its proportion of the revenue."""
     r = t.lineitem.where("l_returnflag = 'R'")
@@ -79,6 +95,7 @@ def returns(t: Tables) -> DataFrame:
     )
 
 
+@view
 def customer_history(t: Tables) -> DataFrame:
     """Type-2 history: seller, region and activity of each customer by [valid_from, valid_to).
 
@@ -100,6 +117,7 @@ def customer_history(t: Tables) -> DataFrame:
     return rows.select(F.concat_ws("-", F.col("id_cliente").cast("string"), F.date_format("valid_from", "yyyyMMdd")).alias("chave_cliente"), "id_cliente", "nome", "id_vendedor", "regiao", "ativo", "valid_from", "valid_to")
 
 
+@view
 def items(t: Tables) -> DataFrame:
     """Order items with exact money; the item's name is its order, part, supplier and line."""
     gross = cents("l_extendedprice").cast("decimal(18,4)")
@@ -110,5 +128,6 @@ def items(t: Tables) -> DataFrame:
     )
 
 
+@view
 def orders(t: Tables) -> DataFrame:
     return t.orders.select(F.col("o_orderkey").alias("id_pedido"), F.col("o_custkey").alias("id_cliente"), F.col("o_orderdate").cast("timestamp").alias("emitido_em"), F.when(F.col("o_orderstatus") == "P", "cancelado").otherwise("faturado").alias("status"))

@@ -38,11 +38,24 @@ def _strict(kind: str, c: Column) -> Column:
         return scalar.strict_money(c)
     if kind == "date":
         return F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), c.try_cast("date"))
-    if kind == "boolean":  # JSON's own booleans only: payloads keep a quoted text apart by its quotes
+    if kind == "boolean":  # as `fields` reads JSON's own booleans
         return F.when(c == "true", F.lit(True)).when(c == "false", F.lit(False))
     return scalar.filled_text(c)
 
 
+def fields(entity: Entity, payload: str = "payload") -> list[Column]:
+    """The entity's columns and atualizado_em of a JSON payload, as text. A boolean counts only as JSON's own, not as a
+    quoted word; a sale's net value is made of gross and discount, whatever the payload says."""
+    wanted = [*entity.columns, "atualizado_em"]
+    text = {c: F.get_json_object(payload, f"$.{c}") for c in wanted}
+    for c in (c for c, kind in entity.columns.items() if kind == "boolean"):
+        text[c] = F.from_json(payload, f"{c} boolean")[c].cast("string")
+    if {"valor_bruto", "valor_desconto", "valor_liquido"} <= set(wanted):
+        gross, off = (text[c].try_cast("decimal(38,8)") for c in ("valor_bruto", "valor_desconto"))
+        text["valor_liquido"] = (gross - off).cast("decimal(38,8)").cast("string")
+    return [text[c].alias(c) for c in wanted]
+
+
 _UNKNOWN = "Não informado"
 ENTITIES = {
     e.name: e

@@ -52,11 +52,11 @@ def test_life_of_runs(spark, runs):
 
     at = "2026-01-02T09:00:00Z"
     sales = base(at)["vendas"]
-    changed = [sales[0] | {"cancelado": True}, sales[0] | {"id_lancamento": 3, "valor_bruto": "100.00", "valor_desconto": "0.00", "valor_liquido": "90.00"}]
-    with pytest.raises(ValueError, match="líquido divergente"):
+    changed = [sales[0] | {"cancelado": True}, sales[0] | {"id_lancamento": 3, "valor_bruto": "100.00", "valor_desconto": "110.00", "valor_liquido": "90.00"}]
+    with pytest.raises(ValueError, match="quantidade ou valores inválidos"):
         runs.execute("d2", DAY2, source(spark, {"vendas": changed}))
     assert total(runs) == (2, 0, 430.0) and runs.begin("d2", DAY2)["status"] == "falha"
-    fixed = changed[1] | {"valor_liquido": "100.00", "atualizado_em": "2026-01-02T09:30:00Z"}
+    fixed = changed[1] | {"valor_desconto": "0.00", "atualizado_em": "2026-01-02T09:30:00Z"}
     runs.execute("d2", DAY2, source(spark, {"vendas": [fixed]}))  # the newer version heals the run
     assert total(runs) == (3, 1, 350.0)
     assert runs.monitor()["execucoes"].count() == 2
@@ -87,3 +87,20 @@ def test_gates(spark, runs):
         runs.execute("d7", later, source(spark, {"metas": [{"id_meta": 9, "id_vendedor": 1, "competencia": "2026-02-01", "valor_meta": "1.005", "atualizado_em": "2026-01-04T08:00:00Z"}]}))
     runs.execute("d8", later, source(spark, {}))  # an empty run advances the watermark
     assert set(runs.watermarks().values()) == {later}
+
+
+@pytest.mark.parametrize(("changed", "column"), [({"cancelado": "true"}, "cancelado"), ({"cancelado": 1}, "cancelado"), ({"quantidade": "02"}, "quantidade"), ({"valor_bruto": "1.234"}, "valor_liquido"), ({"data_venda": "01/01/2026"}, "data_venda"), ({"id_cliente": None}, "id_cliente")])
+def test_typed_intake_rejects(spark, tmp_path, changed, column):
+    rows = base()
+    rows["vendas"][0] |= changed
+    with pytest.raises(ValueError, match=rf"vendas/1: .*{column}"):
+        Runs(spark, str(tmp_path / "r")).execute("d1", DAY1, source(spark, rows))
+
+
+def test_net_value_is_derived_and_money_is_wide(spark, tmp_path):
+    rows = base()
+    del rows["vendas"][0]["valor_liquido"]
+    rows["vendas"][1] |= {"valor_bruto": "99999999999999999999999999999.99", "valor_desconto": "0.01", "valor_liquido": "1.00"}
+    r = Runs(spark, str(tmp_path / "r"))
+    r.execute("d1", DAY1, source(spark, rows))
+    assert [str(x.valor_liquido) for x in r.published("vendas").orderBy("id_lancamento").collect()] == ["180.00", "99999999999999999999999999999.98"]

@@ -8,6 +8,7 @@ import urllib.error
 import urllib.parse
 import urllib.request
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
@@ -16,7 +17,16 @@ RETRIED = {429, *range(500, 600)}
 LONGEST_WAIT = 60.0
 
 
-def fetch(url: str, attempts: int = 4, sleep=time.sleep, opener=urllib.request.urlopen) -> dict:
+def _open(url: str):
+    return urllib.request.urlopen(url, timeout=LONGEST_WAIT)
+
+
+def _instant(text: str) -> datetime:
+    at = datetime.fromisoformat(text)
+    return at if at.tzinfo else at.replace(tzinfo=timezone.utc)
+
+
+def fetch(url: str, attempts: int = 4, sleep=time.sleep, opener=_open) -> dict:
     """One page; 429 and 5xx are tried again with growing waits (Retry-After first), other errors fail at once."""
     for n in range(attempts):
         try:
@@ -27,7 +37,7 @@ def fetch(url: str, attempts: int = 4, sleep=time.sleep, opener=urllib.request.u
                 raise
             told = e.headers.get("Retry-After") if e.headers else None
             sleep(min(LONGEST_WAIT, float(told) if told and told.isdigit() else 2.0**n))
-        except urllib.error.URLError:
+        except (urllib.error.URLError, TimeoutError):
             if n == attempts - 1:
                 raise
             sleep(min(LONGEST_WAIT, 2.0**n))
@@ -36,8 +46,8 @@ def fetch(url: str, attempts: int = 4, sleep=time.sleep, opener=urllib.request.u
 
 def pages(url: str, low: str, high: str, size: int = 500, time_field: str = "atualizado_em", get=fetch) -> Iterator[dict]:
     """The rows of all pages with low <= time < high. A list that is none, a row outside the window or a cursor that
-    comes again is an error."""
-    cursor, seen = None, set()
+    comes again is an error. Instants are compared as such, whatever their offsets; one without is UTC."""
+    cursor, seen, first, end = None, set(), _instant(low), _instant(high)
     while True:
         query = {"inicio": low, "fim": high, "limite": size} | ({"cursor": cursor} if cursor else {})
         body = get(f"{url}?{urllib.parse.urlencode(query)}")
@@ -45,7 +55,7 @@ def pages(url: str, low: str, high: str, size: int = 500, time_field: str = "atu
         if not isinstance(rows, list):
             raise ValueError("the answer has no list of rows")
         for r in rows:
-            if not low <= r[time_field] < high:
+            if not first <= _instant(r[time_field]) < end:
                 raise ValueError("a row lies outside the window")
             yield r
         cursor = body.get("proximo_cursor")
@@ -82,7 +92,9 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         return [_Slice(*w) for w in json.loads(self.options["windows"])]
 
-    def read(self, partition: _Slice) -> Iterator[tuple]:
+    def read(self, partition: _Slice | None) -> Iterator[tuple]:
+        if partition is None:  # no window, no rows
+            return
         o = self.options
         for r in pages(o["url"], partition.low, partition.high, int(o.get("size", 500)), o.get("time_field", "atualizado_em")):
             yield tuple(r.get(n) for n in self.names)

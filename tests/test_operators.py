@@ -95,9 +95,9 @@ def test_rest(spark):
     with pytest.raises(ValueError, match="window"):
         list(rest.pages("http://x", "2026-01-02", "2026-01-03", get=get))
     with pytest.raises(ValueError, match="advance"):
-        list(rest.pages("http://x", "2026", "2027", get=lambda u: {"itens": [], "proximo_cursor": "c"}))
+        list(rest.pages("http://x", "2026-01-01", "2027-01-01", get=lambda u: {"itens": [], "proximo_cursor": "c"}))
     with pytest.raises(ValueError, match="list"):
-        list(rest.pages("http://x", "2026", "2027", get=lambda u: {"itens": "no"}))
+        list(rest.pages("http://x", "2026-01-01", "2027-01-01", get=lambda u: {"itens": "no"}))
     waits, answers = [], [urllib.error.HTTPError("u", 503, "", {"Retry-After": "90"}, None), urllib.error.HTTPError("u", 429, "", None, None), io.BytesIO(json.dumps({"ok": 1}).encode())]
 
     def opener(url):
@@ -114,6 +114,40 @@ def test_rest(spark):
         rest.allow("erp", "metas")
 
 
+def test_rest_source_reads_windows(spark):
+    """The registered source against a server of this test: two windows as two tasks, pages, offsets, and no window."""
+    import http.server
+    import threading
+    from urllib.parse import parse_qs, urlparse
+
+    every = [{"id": i, "atualizado_em": f"2026-01-0{1 + i % 4}T0{i % 3}:00:00+02:00"} for i in range(40)]
+
+    class Server(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            q = {k: v[0] for k, v in parse_qs(urlparse(self.path).query).items()}
+            rows = [r for r in every if rest._instant(q["inicio"]) <= rest._instant(r["atualizado_em"]) < rest._instant(q["fim"])]
+            at, n = int(q.get("cursor", 0)), int(q["limite"])
+            body = json.dumps({"itens": rows[at : at + n], "proximo_cursor": str(at + n) if at + n < len(rows) else None}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        spark.dataSource.register(rest.RestSource)
+        windows = [["2025-12-31T00:00:00Z", "2026-01-02T00:00:00Z"], ["2026-01-02T00:00:00Z", "2026-01-06T00:00:00Z"]]
+        source = spark.read.format("commerce_rest").option("url", f"http://127.0.0.1:{server.server_port}/x").option("fields", "id long, atualizado_em string").option("size", "3")
+        df = source.option("windows", json.dumps(windows)).load()
+        assert sorted(r.id for r in df.collect()) == list(range(40)) and df.rdd.getNumPartitions() == 2
+        assert source.option("windows", "[]").load().count() == 0
+    finally:
+        server.shutdown()
+
+
 def test_portfolio_is_dense(spark, data):
     t = Tables(spark, data)
     assert portfolio.monthly(t).count() == t.customer.count() * 80

@@ -96,24 +96,27 @@ class Runs:
             bad = typed.where(F.size("errors") > 0).limit(20).collect()
             if bad:
                 raise ValueError("; ".join(f"{name}/{r[e.key]}: {', '.join(r.errors)}" for r in bad))
-            frames[f"staging_{name}"] = typed.drop("errors")
+            others = self.store.read(f"staging_{name}", f"{e.schema}, execucao string").where(F.col("execucao") != run)
+            frames[f"staging_{name}"] = others.unionByName(typed.drop("errors").withColumn("execucao", F.lit(run)))
         self.store.commit(replaced=frames, state={f"run:{run}": self._run(run) | {"status": "preparada"}})
 
-    def staged(self, entity: str) -> DataFrame:
-        return self.store.read(f"staging_{entity}", self.entities[entity].schema)
+    def staged(self, run: str, entity: str) -> DataFrame:
+        """A run's staged rows; those of other runs stay as they are."""
+        e = self.entities[entity]
+        return self.store.read(f"staging_{entity}", f"{e.schema}, execucao string").where(F.col("execucao") == run).drop("execucao")
 
-    def candidate(self, entity: str) -> DataFrame:
-        """What would be published: the staged rows over the published ones."""
-        return changes.upsert(self.published(entity), self.staged(entity), [self.entities[entity].key], "atualizado_em")
+    def candidate(self, run: str, entity: str) -> DataFrame:
+        """What a run would publish: its staged rows over the published ones."""
+        return changes.upsert(self.published(entity), self.staged(run, entity), [self.entities[entity].key], "atualizado_em")
 
-    def violations(self) -> DataFrame:
-        """All rules over the candidate state, as (entity, key, rule)."""
-        c = {n: self.candidate(n) for n in self.entities}
+    def violations(self, run: str) -> DataFrame:
+        """All rules over a run's candidate state, as (entity, key, rule)."""
+        c = {n: self.candidate(run, n) for n in self.entities}
         checks = []
         for n, e in self.entities.items():
-            same = self.published(n).join(self.staged(n), [e.key, "atualizado_em"]).select(e.key)
+            same = self.published(n).join(self.staged(run, n), [e.key, "atualizado_em"]).select(e.key)
             content = [x for x in e.columns]
-            both = self.published(n).unionByName(self.staged(n))
+            both = self.published(n).unionByName(self.staged(run, n))
             checks.append(changes.conflicts(both, [e.key, "atualizado_em"], content).join(same, e.key, "left_semi").select(F.lit(n).alias("entity"), F.col(e.key).cast("string").alias("key"), F.lit("alteração sem atualizar timestamp").alias("rule")))
             checks.append(quality.holds(c[n], n, F.col(e.key) > 0, "chave não positiva", e.key))
             for column, parent in e.refers.items():
@@ -137,7 +140,7 @@ class Runs:
 
     def approve(self, run: str) -> dict:
         self._run(run, "preparada", "aprovada")
-        quality.gate(self.violations())
+        quality.gate(self.violations(run))
         self.store.commit(state={f"run:{run}": self._run(run) | {"status": "aprovada"}})
         return {"regras": "aprovadas"}
 
@@ -147,7 +150,7 @@ class Runs:
         if found["status"] == "sucesso":
             return
         self._run(run, "aprovada")
-        frames = {n: self.candidate(n).select(*e.columns, "atualizado_em") for n, e in self.entities.items()}
+        frames = {n: self.candidate(run, n).select(*e.columns, "atualizado_em") for n, e in self.entities.items()}
         marks = self.watermarks()
         later = {f"mark:{e}": max(found["end"], marks.get(e, found["end"]), key=_instant) for e in self.entities}
         self.store.commit(replaced=frames, state=later | {f"run:{run}": found | {"status": "sucesso"}}, fail_after=fail_after)

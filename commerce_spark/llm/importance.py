@@ -89,7 +89,9 @@ def occurrences(column: pa.Array, low: int, high: int, buckets: int) -> tuple[li
         run = np.cumsum(shared < n)[whole]  # the number of each suffix's run
         starts = order[whole]
         first = np.flatnonzero(np.diff(run, prepend=-1))
-        hashed = np.fromiter((zlib.crc32(b" ".join(names[t] for t in (tokens[s : s + n] - 1).tolist())) % buckets for s in starts[first].tolist()), np.int64, len(first))
+        heads = (tokens[starts[first][:, None] + np.arange(n)] - 1).tolist()
+        grams = [names[t] for (t,) in heads] if n == 1 else [b" ".join([names[t] for t in g]) for g in heads]
+        hashed = np.fromiter(map(zlib.crc32, grams), np.int64, len(first)) % buckets
         bucket = np.full(len(tokens), -1, np.int64)
         bucket[starts] = np.repeat(hashed, np.diff(np.append(first, len(starts))))
         bucket = bucket[at]

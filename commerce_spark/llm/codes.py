@@ -97,14 +97,19 @@ def nearest(x: np.ndarray, entries: np.ndarray, seen: list[int] | None = None) -
         best = np.einsum("ij,ij->i", d, d)
         row, entry = np.nonzero(coarse <= best[:, None])
         for starts, other in zip(levels[1:], theirs[1:], strict=True):
-            low = Sketch(part, starts).bound(row, other, entry) <= best[row]
+            fine = Sketch(part, starts).bound(row, other, entry)
+            first = np.flatnonzero(np.diff(row, prepend=-1))
+            hit = np.flatnonzero(fine == np.minimum.reduceat(fine, first)[row])
+            hit = hit[np.diff(row[hit], prepend=-1) > 0]  # each row's most promising entry now
+            d = part - entries[entry[hit]]
+            best = np.minimum(best, np.einsum("ij,ij->i", d, d))
+            low = fine <= best[row]
             row, entry = row[low], entry[low]
         d = part[row] - entries[entry]
         exact = np.einsum("ij,ij->i", d, d)
         if seen is not None:
             seen.append(len(exact))
-        first = np.flatnonzero(np.diff(row, prepend=-1))  # each row keeps its promising entry at least
-        low = np.minimum.reduceat(exact, first) if len(first) else exact
+        low = np.minimum.reduceat(exact, np.flatnonzero(np.diff(row, prepend=-1)))  # each row keeps its nearest entry at least
         hit = np.flatnonzero(exact == low[row])
         hit = hit[np.diff(row[hit], prepend=-1) > 0]
         index[at : at + BLOCK], dist[at : at + BLOCK] = entry[hit], low

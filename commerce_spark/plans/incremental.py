@@ -2,23 +2,36 @@
 
 A run goes from iniciada over preparada and aprovada to sucesso, or to falha; sucesso is final. Payloads are JSON
 objects as text. Tables, watermarks and run states change together, in one version of the store.
+
+Raw and staged rows lie by run, facts by month: a run reads and writes its own partitions and the months that it touches,
+whatever the history holds. Every stage logs one JSON line an entity, with the rows that its own job counted.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime, timedelta, timezone
+from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from commerce_spark import registry
 from commerce_spark.operators import changes, quality
+from commerce_spark.operators.telemetry import stage_event
 from commerce_spark.registry import ENTITIES, Entity
-from commerce_spark.sources.files import Store
+from commerce_spark.sources.store import Layout, Store
 
 LOOKBACK = timedelta(minutes=5)
 EPOCH = "1970-01-01T00:00:00+00:00"
 RAW = "execucao string, entidade string, chave string, versao timestamp, payload string"
+RAW_LAYOUT = Layout(("execucao", "entidade"), ("chave", "versao"))
+
+
+class Source(Protocol):
+    """What a run reads from: a call that gives the payloads of an entity changed in [low, high)."""
+
+    def __call__(self, entity: str, low: datetime, high: datetime) -> DataFrame: ...
 
 
 def _instant(text: str) -> datetime:
@@ -57,7 +70,7 @@ class Runs:
             raise ValueError("the end lies before a watermark")
         limits = {e: ((_instant(marks[e]) - LOOKBACK).isoformat() if e in marks else EPOCH) for e in self.entities}
         found = {"end": until.isoformat(), "limits": limits, "status": "iniciada", "error": None}
-        self.store.commit(state={f"run:{run}": found})
+        self.store.commit(state={f"run:{run}": self._stamped(found)})
         return found
 
     def window(self, run: str, entity: str) -> tuple[datetime, datetime]:
@@ -78,13 +91,20 @@ class Runs:
         both = old.unionByName(rows)
         if not changes.conflicts(both, ["execucao", "entidade", "chave", "versao"], ["payload"]).isEmpty():
             raise ValueError(f"{entity}: one version has different contents")
-        self.store.commit(appended={"raw": changes.insert_only(old, rows, ["execucao", "entidade", "chave", "versao"])})
+        with stage_event(run, "raw", entity) as event:
+            self._counted(event, "raw", appended={"raw": changes.insert_only(old, rows, ["execucao", "entidade", "chave", "versao"])}, layouts={"raw": RAW_LAYOUT})
+
+    def _counted(self, event: dict, name: str, **what) -> None:
+        counted: dict[str, int] = {}
+        self.store.commit(**what, counted=counted)
+        event["registros"] = counted.get(name, sum(counted.values()))
 
     def raw(self, run: str, entity: str) -> DataFrame:
-        return self.store.read("raw", RAW).where((F.col("execucao") == run) & (F.col("entidade") == entity))
+        return self.store.read("raw", RAW, where={"execucao": [run], "entidade": [entity]})
 
-    def published(self, entity: str) -> DataFrame:
-        return self.store.read(entity, self.entities[entity].schema)
+    def published(self, entity: str, months: set[str] | None = None) -> DataFrame:
+        """An entity's table, or what it holds in the given months (yyyy-MM) of its date."""
+        return self.store.read(entity, self.entities[entity].schema, where=None if months is None else {"mes": months})
 
     def stage(self, run: str) -> None:
         """The newest version of each key, then typed: an invalid older payload that was corrected does no harm."""
@@ -96,14 +116,15 @@ class Runs:
             bad = typed.where(F.size("errors") > 0).limit(20).collect()
             if bad:
                 raise ValueError("; ".join(f"{name}/{r[e.key]}: {', '.join(r.errors)}" for r in bad))
-            others = self.store.read(f"staging_{name}", f"{e.schema}, execucao string").where(F.col("execucao") != run)
-            frames[f"staging_{name}"] = others.unionByName(typed.drop("errors").withColumn("execucao", F.lit(run)))
-        self.store.commit(replaced=frames, state={f"run:{run}": self._run(run) | {"status": "preparada"}})
+            frames[f"staging_{name}"] = typed.drop("errors").withColumn("execucao", F.lit(run))
+        with stage_event(run, "staging") as event:  # other runs' partitions keep their files
+            by_run = {n: Layout(("execucao",), (self.entities[n.removeprefix("staging_")].key,)) for n in frames}
+            self._counted(event, "", overwritten=frames, emptied={n: [{"execucao": run}] for n in frames}, layouts=by_run, state={f"run:{run}": self._stamped(self._run(run) | {"status": "preparada"})})
 
     def staged(self, run: str, entity: str) -> DataFrame:
         """A run's staged rows; those of other runs stay as they are."""
         e = self.entities[entity]
-        return self.store.read(f"staging_{entity}", f"{e.schema}, execucao string").where(F.col("execucao") == run).drop("execucao")
+        return self.store.read(f"staging_{entity}", f"{e.schema}, execucao string", where={"execucao": [run]}).drop("execucao")
 
     def candidate(self, run: str, entity: str) -> DataFrame:
         """What a run would publish: its staged rows over the published ones."""
@@ -141,7 +162,7 @@ class Runs:
     def approve(self, run: str) -> dict:
         self._run(run, "preparada", "aprovada")
         quality.gate(self.violations(run))
-        self.store.commit(state={f"run:{run}": self._run(run) | {"status": "aprovada"}})
+        self.store.commit(state={f"run:{run}": self._stamped(self._run(run) | {"status": "aprovada"})})
         return {"regras": "aprovadas"}
 
     def publish(self, run: str, fail_after: int | None = None) -> None:
@@ -150,19 +171,40 @@ class Runs:
         if found["status"] == "sucesso":
             return
         self._run(run, "aprovada")
-        frames = {n: self.candidate(run, n).select(*e.columns, "atualizado_em") for n, e in self.entities.items()}
+        whole, some, emptied = {}, {}, {}
+        for n, e in self.entities.items():
+            months = self._touched(run, e) if e.month else None
+            if not months:
+                if e.month is None or n not in self.store.manifest()["tables"]:
+                    whole[n] = self.candidate(run, n).select(*e.columns, "atualizado_em")
+            else:
+                some[n] = changes.upsert(self.published(n, months), self.staged(run, n), [e.key], "atualizado_em").select(*e.columns, "atualizado_em")
+                emptied[n] = [{"mes": m} for m in months]
         marks = self.watermarks()
         later = {f"mark:{e}": max(found["end"], marks.get(e, found["end"]), key=_instant) for e in self.entities}
-        self.store.commit(replaced=frames, state=later | {f"run:{run}": found | {"status": "sucesso"}}, fail_after=fail_after)
+        with stage_event(run, "publicacao") as event:
+            self._counted(event, "", replaced=whole, overwritten=some, emptied=emptied, layouts={n: e.layout for n, e in self.entities.items()}, state=later | {f"run:{run}": self._stamped(found | {"status": "sucesso"})}, fail_after=fail_after)
+
+    def _touched(self, run: str, e: Entity) -> set[str]:
+        """The months that a run's rows are in, and those that their published versions are in: at most the table's partitions."""
+        month = F.date_format(e.month, "yyyy-MM").alias("mes")
+        staged = self.staged(run, e.name)
+        before = self.published(e.name).select(e.key, month).join(staged.select(e.key), e.key, "left_semi").select("mes")
+        return {r.mes for r in staged.select(month).unionByName(before).distinct().collect()}
+
+    @staticmethod
+    def _stamped(found: dict) -> dict:
+        return found | {"updated": datetime.now(timezone.utc).isoformat()}
 
     def fail(self, run: str, error: str) -> None:
         """Marks a run as failed; a success stays one."""
         found = self._run(run)
         if found["status"] != "sucesso":
-            self.store.commit(state={f"run:{run}": found | {"status": "falha", "error": error[:2000]}})
+            self.store.commit(state={f"run:{run}": self._stamped(found | {"status": "falha", "error": error[:2000]})})
 
-    def execute(self, run: str, end: str, extract) -> None:
-        """The whole run. extract(entity, low, high) gives a DataFrame of payloads. The first error is what is raised."""
+    def execute(self, run: str, end: str, extract: Source, after: Callable[[], object] | None = None) -> None:
+        """The whole run. extract(entity, low, high) gives a DataFrame of payloads. The first error is what is raised.
+        after: what follows a success, as a second publication; its failure doesn't undo the run."""
         self.begin(run, end)
         try:
             if self._run(run)["status"] == "sucesso":
@@ -172,6 +214,8 @@ class Runs:
             self.stage(run)
             self.approve(run)
             self.publish(run)
+            if after is not None:
+                after()
         except Exception as e:
             try:
                 self.fail(run, str(e))
@@ -181,8 +225,8 @@ class Runs:
 
     def monitor(self) -> dict[str, DataFrame]:
         """The last 30 runs; the lag of each watermark in hours; raw rows against versions."""
-        runs = [(k.removeprefix("run:"), v["status"], v["end"], v["error"]) for k, v in self._state().items() if k.startswith("run:")]
-        latest = self.spark.createDataFrame(runs, "id string, status string, fim string, erro string").orderBy(F.desc("fim"), "id").limit(30)
+        runs = [(k.removeprefix("run:"), v["status"], v["end"], v.get("updated"), v["error"]) for k, v in self._state().items() if k.startswith("run:")]
+        latest = self.spark.createDataFrame(runs, "id string, status string, fim string, atualizado_em string, erro string").orderBy(F.desc("atualizado_em"), "id").limit(30)
         marks = self.spark.createDataFrame(list(self.watermarks().items()), "entidade string, valor string").withColumn("horas_defasagem", F.timestamp_diff("HOUR", F.col("valor").cast("timestamp"), F.current_timestamp()))
         raw = self.store.read("raw", RAW).groupBy("execucao", "entidade").agg(F.count(F.lit(1)).alias("linhas_raw"), F.count_distinct(F.concat_ws("|", "chave", F.col("versao").cast("string"))).alias("versoes"))
         return {"execucoes": latest, "marcas": marks, "raw": raw}

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from commerce_spark.functions import scalar
+from commerce_spark.sources.store import Layout
 
 
 @dataclass(frozen=True)
@@ -17,6 +18,12 @@ class Entity:
     columns: dict[str, str]
     defaults: dict[str, str] = field(default_factory=dict)
     refers: dict[str, str] = field(default_factory=dict)  # column -> entity
+    month: str | None = None  # the date by whose month the table is laid out
+
+    @property
+    def layout(self) -> Layout:
+        """By month where the entity has a date, and sorted by key."""
+        return Layout((f"mes=date_format({self.month}, 'yyyy-MM')",) if self.month else (), (self.key,))
 
     @property
     def schema(self) -> str:
@@ -63,8 +70,8 @@ ENTITIES = {
         Entity("vendedores", "id_vendedor", {"id_vendedor": "bigint", "nome": "string", "ativo": "boolean", "equipe": "string", "regiao": "string"}, {"equipe": _UNKNOWN, "regiao": _UNKNOWN}),
         Entity("clientes", "id_cliente", {"id_cliente": "bigint", "nome": "string", "uf": "string", "cidade": "string", "segmento": "string"}, {"cidade": _UNKNOWN, "segmento": _UNKNOWN}),
         Entity("produtos", "id_produto", {"id_produto": "bigint", "descricao": "string", "categoria": "string"}, {"categoria": _UNKNOWN}),
-        Entity("vendas", "id_lancamento", {"id_lancamento": "bigint", "id_vendedor": "bigint", "id_cliente": "bigint", "id_produto": "bigint", "data_venda": "date", "quantidade": "bigint", "valor_bruto": scalar.MONEY, "valor_desconto": scalar.MONEY, "valor_liquido": scalar.MONEY, "cancelado": "boolean"}, refers={"id_vendedor": "vendedores", "id_cliente": "clientes", "id_produto": "produtos"}),
-        Entity("devolucoes", "id_devolucao", {"id_devolucao": "bigint", "id_lancamento": "bigint", "data_devolucao": "date", "quantidade": "bigint", "valor_devolvido": scalar.MONEY, "motivo": "string"}),
+        Entity("vendas", "id_lancamento", {"id_lancamento": "bigint", "id_vendedor": "bigint", "id_cliente": "bigint", "id_produto": "bigint", "data_venda": "date", "quantidade": "bigint", "valor_bruto": scalar.MONEY, "valor_desconto": scalar.MONEY, "valor_liquido": scalar.MONEY, "cancelado": "boolean"}, refers={"id_vendedor": "vendedores", "id_cliente": "clientes", "id_produto": "produtos"}, month="data_venda"),
+        Entity("devolucoes", "id_devolucao", {"id_devolucao": "bigint", "id_lancamento": "bigint", "data_devolucao": "date", "quantidade": "bigint", "valor_devolvido": scalar.MONEY, "motivo": "string"}, month="data_devolucao"),
         Entity("metas", "id_meta", {"id_meta": "bigint", "id_vendedor": "bigint", "competencia": "date", "valor_meta": scalar.MONEY}, refers={"id_vendedor": "vendedores"}),
     )
 }

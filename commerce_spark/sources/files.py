@@ -1,17 +1,16 @@
-"""File sources and sinks: JSON lines, Parquet, JSON exports, content-addressed loads, versioned publication."""
+"""File sources and sinks: JSON lines, JSON exports, incremental scans. The versioned store is in `store`."""
 
 from __future__ import annotations
 
-import hashlib
-import json
-import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from commerce_spark.functions.scalar import identifier
+from commerce_spark.sources.store import Layout, Store, signature
+
+__all__ = ["Layout", "Store", "dimension", "exported", "imported", "jdbc_window", "jsonl", "signature", "windowed", "with_defaults"]
 
 
 def jsonl(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
@@ -41,80 +40,6 @@ def imported(snapshot: DataFrame, name: str, schema: str) -> DataFrame:
     return snapshot.where(F.col("objeto") == name).select(F.from_json("registro", schema).alias("r")).select("r.*")
 
 
-def signature(df: DataFrame) -> str:
-    """A fingerprint of a table's rows whatever their order: row count and sums of hashes."""
-    h = F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256)
-    parts = [F.sum(F.conv(F.substring(h, 1 + 12 * k, 12), 16, 10).cast("decimal(38,0)")).alias(f"s{k}") for k in range(3)]
-    row = df.agg(F.count(F.lit(1)).alias("n"), *parts).first()
-    return hashlib.sha256(str(tuple(row)).encode()).hexdigest()
-
-
-class Store:
-    """Versioned tables in one folder with atomic publication of several tables at once.
-
-    A version is a set of Parquet folders and a manifest; a commit writes the data first and then renames its
-    manifest into place, so readers see all tables of a version or none. Everything goes through Hadoop's file
-    systems. One writer at a time is assumed.
-    """
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-        self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._path(f"{self.folder}/_versions"))
-
-    def versions(self) -> list[int]:
-        """The commit history: version numbers, oldest first."""
-        return sorted(int(s.getPath().getName()) for s in self._fs.listStatus(self._path(f"{self.folder}/_versions")) if s.getPath().getName().isdigit())
-
-    def manifest(self, version: int | None = None) -> dict:
-        found = self.versions()
-        if not found:
-            return {"tables": {}, "state": {}}
-        lines = self.spark.read.text(f"{self.folder}/_versions/{found[-1] if version is None else version}", wholetext=True).collect()
-        return json.loads(lines[0][0])
-
-    def read(self, name: str, schema: str | T.StructType | None = None, version: int | None = None) -> DataFrame:
-        """A table as published; an empty one of the given schema if it was never written."""
-        at = self.manifest(version)["tables"].get(name)
-        if at is None:
-            if schema is None:
-                raise KeyError(name)
-            return self.spark.createDataFrame([], schema)
-        reader = self.spark.read.schema(schema) if schema is not None else self.spark.read
-        return reader.parquet(*[f"{self.folder}/{p}" for p in at])
-
-    def commit(self, replaced: dict[str, DataFrame] | None = None, appended: dict[str, DataFrame] | None = None, state: dict | None = None, fail_after: int | None = None) -> int:
-        """Publish tables (and small state values) together. fail_after: raise after so many tables, for tests."""
-        old = self.manifest()
-        tables, done = dict(old["tables"]), 0
-        for how, frames in (("replace", replaced or {}), ("append", appended or {})):
-            for name, df in frames.items():
-                part = f"{identifier(name)}/{uuid.uuid4().hex}"
-                df.write.parquet(f"{self.folder}/{part}")
-                tables[name] = [part] if how == "replace" else [*tables.get(name, []), part]
-                done += 1
-                if fail_after is not None and done >= fail_after:
-                    raise RuntimeError("stopped before publication")
-        version = (self.versions() or [0])[-1] + 1
-        body = json.dumps({"tables": tables, "state": old["state"] | (state or {})}, sort_keys=True)
-        tmp = self._path(f"{self.folder}/_versions/.{uuid.uuid4().hex}")
-        out = self._fs.create(tmp)
-        out.write(bytearray(body.encode()))
-        out.close()
-        if not self._fs.rename(tmp, self._path(f"{self.folder}/_versions/{version}")):
-            raise RuntimeError(f"version {version} was published by another writer")
-        return version
-
-    def load_once(self, name: str, df: DataFrame) -> bool:
-        """Append a table's rows unless the same content was loaded before; whether it was appended."""
-        mark = f"load:{name}:{signature(df)}"
-        if mark in self.manifest()["state"]:
-            return False
-        self.commit(appended={name: df}, state={mark: 1})
-        return True
-
-
 def with_defaults(df: DataFrame, defaults: dict[str, object]) -> DataFrame:
     """Columns that older files lack, or null values, by their defaults."""
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) if c in df.columns else F.lit(v) for c, v in defaults.items()})

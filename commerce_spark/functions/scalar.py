@@ -23,6 +23,29 @@ def ratio(a: Column, b: Column, digits: int = 6) -> Column:
     return F.round(F.try_divide(a.cast("double"), b.cast("double")), digits)
 
 
+def fraction_at_most(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """Exactly a / b <= c / d, for whole numbers below 10^36 with b and d above 0.
+
+    The sign of a * d - c * b from products of halves of 18 digits, each of which a decimal of 38 holds."""
+    base = F.lit(10**18).cast("decimal(19,0)")
+    whole = "decimal(38,0)"
+
+    def split(x: Column) -> tuple[Column, Column]:
+        low = F.pmod(x, base).cast(whole)
+        return ((x.cast(whole) - low) / base).cast(whole), low
+
+    def halves(x: Column) -> list[Column]:
+        return [h.cast("decimal(18,0)") for h in split(x.cast(whole))]
+
+    (ah, al), (bh, bl), (ch, cl), (dh, dl) = (halves(x) for x in (a, b, c, d))
+    high, low = (ah * dh - ch * bh).cast(whole), (al * dl - cl * bl).cast(whole)
+    middle = ((ah * dl - ch * bl).cast(whole) + (al * dh - cl * bh).cast(whole)).cast(whole)
+    carry, low = split(low)
+    more, middle = split((middle + carry).cast(whole))
+    high = (high + more).cast(whole)
+    return (high < 0) | ((high == 0) & (middle == 0) & (low == 0))
+
+
 def real(c: Column) -> Column:
     """An exact decimal as the nearest double, for results."""
     return c.cast("double")

@@ -5,24 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from commerce_spark.sources.scratch import kept
 
-def running(df: DataFrame, group: str, value: str, tie: str, fine: int = 16, block: int = 1 << 16) -> DataFrame:
-    """df with _pos (from 1) and _cum (sum of value up to the row) by falling value, then rising tie, in each group.
 
-    No task holds a group: rows are sorted within lanes, and what earlier lanes hold comes from one row a lane. A lane is
-    a range of values, `fine` for each doubling; of rows without a positive value, a block of tie's numbers.
+def running(df: DataFrame, group: str, value: str, tie: str, block: int | None = None) -> DataFrame:
+    """df with _pos (from 1) and _cum (sum of value up to the row) by falling value (nulls last), then rising tie, in each
+    group, and the group's _n (rows) and _total (sum of value).
+
+    Rows are dealt out by ranges of (group, value, tie), so no task holds a group, nor all rows of one value: a lane is the
+    part of a group in one range, and what earlier lanes hold comes from one row a lane. The dealt rows are written once, as
+    their ranges must not change between the two looks at them. block: about how many rows a range holds; by default there
+    are as many ranges as shuffle partitions.
     """
-    positive = F.col(value) > 0
-    lane = F.when(positive, F.floor(F.log2(F.col(value).cast("double")) * fine)).otherwise(-(1 << 20)).cast("int")
-    rows = df.withColumn("_lane", lane).withColumn("_part", F.when(positive | F.col(value).isNull(), 0).otherwise(F.floor(F.col(tie) / block)).cast("long"))
-    if_less = F.when(F.col(value) < 0, -F.floor(F.log2(-F.col(value).cast("double")) * fine) - (1 << 21))  # below zero: larger amounts later
-    rows = rows.withColumn("_lane", F.coalesce(if_less.cast("int"), "_lane")).withColumn("_part", F.when(F.col(value) < 0, 0).otherwise(F.col("_part")))
-    lanes = rows.groupBy(group, "_lane", "_part").agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_v"))
-    before = Window.partitionBy(group).orderBy(F.desc("_lane"), "_part").rowsBetween(Window.unboundedPreceding, -1)
-    start = lanes.select(group, "_lane", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), F.sum("_v").over(before).alias("_v0"))
-    inside = Window.partitionBy(group, "_lane", "_part").orderBy(F.desc(value), tie)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) if block is None else max(1, -(-df.count() // block))
+    falling = F.desc_nulls_last(value)
+    rows = kept(df.repartitionByRange(parts, F.col(group), falling, F.col(tie)).withColumn("_lane", F.spark_partition_id()), "ranked")
+    lanes = rows.groupBy(group, "_lane").agg(F.count(F.lit(1)).alias("_rows"), F.sum(value).alias("_sum"))
+    whole = Window.partitionBy(group)
+    before = whole.orderBy("_lane").rowsBetween(Window.unboundedPreceding, -1)
+    start = lanes.select(group, "_lane", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_n0"), F.sum("_sum").over(before).alias("_v0"), F.sum("_rows").over(whole).alias("_n"), F.sum("_sum").over(whole).alias("_total"))
+    inside = Window.partitionBy(group, "_lane").orderBy(falling, tie)
     up_to = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    own = rows.withColumn("_row", F.row_number().over(inside)).withColumn("_sum", F.sum(value).over(up_to))
-    out = own.join(start, [group, "_lane", "_part"])
+    own = rows.withColumn("_row", F.row_number().over(inside)).withColumn("_own", F.sum(value).over(up_to))
     kind = df.schema[value].dataType
-    return out.select(*df.columns, (F.col("_n0") + F.col("_row")).alias("_pos"), (F.coalesce("_v0", F.lit(0)) + F.col("_sum")).cast(kind).alias("_cum"))
+    sums = (F.coalesce("_v0", F.lit(0)) + F.coalesce("_own", F.lit(0))).cast(kind).alias("_cum")
+    return own.join(start, [group, "_lane"]).select(*df.columns, (F.col("_n0") + F.col("_row")).alias("_pos"), sums, "_n", F.col("_total").cast(kind).alias("_total"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from commerce_spark.operators import changes, quality, temporal
+from commerce_spark.operators import changes, temporal
+from commerce_spark.operators.checks import Declared, checked
 from commerce_spark.plans.views import Tables
 
 _BODY = ["event_type", "value", "props"]
@@ -71,10 +72,10 @@ def quarantined(t: Tables) -> DataFrame:
 
 def checks(t: Tables) -> DataFrame:
     """Generic checks over orders and lines: unique, not null, accepted values, relationships."""
-    return quality.all_of(
-        quality.unique(t.lineitem, "lineitem", ["l_orderkey", "l_linenumber"]), quality.not_null(t.orders, "orders", "o_custkey", "o_orderkey"),
-        quality.accepted(t.orders, "orders", "o_orderstatus", ["F", "O"], "o_orderkey"), quality.related(t.orders, "orders", "o_custkey", t.customer.where("c_acctbal >= 0"), "c_custkey", "o_orderkey"),
-    )
+    lines = Declared("lineitem", "l_orderkey", unique=(("l_orderkey", "l_linenumber"),))
+    orders = Declared("orders", "o_orderkey", not_null=("o_custkey",), accepted={"o_orderstatus": ("F", "O")}, refers={"o_custkey": ("customer", "c_custkey")})
+    tables = {"lineitem": t.lineitem, "orders": t.orders, "customer": t.customer.where("c_acctbal >= 0")}
+    return checked([lines, orders], tables).select("entity", "key", "rule")
 
 
 def next_page(t: Tables) -> DataFrame:

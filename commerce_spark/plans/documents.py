@@ -8,42 +8,48 @@ are the quarantine. A return takes lines that weren't shipped too, so some retur
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from commerce_spark.functions.scalar import ratio, real
+from commerce_spark.operators import changes
 from commerce_spark.plans import lakehouse
+from commerce_spark.plans.graph import GRAPH
 from commerce_spark.plans.views import Tables
 
 CUTOFF = "2001-12-31"
 
 
-def events(t: Tables) -> DataFrame:
-    """The events as text, one row each, in the columns of lakehouse.FIELDS."""
+@GRAPH.model("staging")
+def doc_pedidos(t: Tables) -> DataFrame:
+    """Orders with what their lines ordered, shipped and took back."""
     q, shipped, back = F.col("l_quantity").cast("long"), F.col("l_linestatus") == "F", F.col("l_returnflag") == "R"
     lines = t.lineitem.groupBy("l_orderkey").agg(
         F.sum(q).alias("q"), F.min("l_suppkey").alias("seller"), F.min("l_partkey").alias("product"), F.sum(F.when(shipped, q)).alias("fq"), F.max(F.when(shipped, F.col("l_shipdate"))).alias("fd"), F.sum(F.when(back, q)).alias("rq"), F.max(F.when(back, F.col("l_shipdate"))).alias("rd")
     )
-    o = t.orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return t.orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
 
-    def of(rows: DataFrame, entity: str, version: int, date: str, quantity: str, status: str, order: bool) -> DataFrame:
-        key, day = F.col("o_orderkey").cast("string"), F.col(date)
-        text = lambda c: (F.col(c) if order else F.lit(None)).cast("string")
+
+def events(orders: DataFrame) -> DataFrame:
+    """The events as text, in the columns of lakehouse.FIELDS: each order is exploded into its own, so orders are read once."""
+
+    def of(when: Column, entity: str, version: int, date: str, quantity: str, status: str) -> Column:
+        order, key, day = entity == "pedido", F.col("o_orderkey").cast("string"), F.col(date)
+        none = F.lit(None).cast("string")
+        text = lambda c: F.col(c).cast("string") if order else none
         made = {
             "id_evento": F.concat(F.lit(f"{entity}-"), key, F.lit(f"-{version}")), "entidade": F.lit(entity), "id_registro": key, "versao": F.lit(str(version)), "atualizado_em": F.date_format(day + F.expr(f"interval {version} days"), "yyyy-MM-dd'T'HH:mm:ss'Z'"),
-            "id_cliente": text("o_custkey"), "id_vendedor": text("seller"), "id_produto": text("product"), "id_referencia": F.lit(None).cast("string") if order else key, "quantidade": F.col(quantity).cast("string"),
-            "preco_unitario": F.col("o_totalprice").cast("decimal(12,2)").cast("string") if order else F.lit(None).cast("string"), "data_documento": F.date_format(day, "yyyy-MM-dd"), "data_prevista": F.date_format(day + F.expr("interval 30 days"), "yyyy-MM-dd") if order else F.lit(None).cast("string"), "status": F.lit(status),
+            "id_cliente": text("o_custkey"), "id_vendedor": text("seller"), "id_produto": text("product"), "id_referencia": none if order else key, "quantidade": F.col(quantity).cast("string"),
+            "preco_unitario": F.col("o_totalprice").cast("decimal(12,2)").cast("string") if order else none, "data_documento": F.date_format(day, "yyyy-MM-dd"), "data_prevista": F.date_format(day + F.expr("interval 30 days"), "yyyy-MM-dd") if order else none, "status": F.lit(status),
         }
-        return rows.select(*[made[c].alias(c) for c in lakehouse.FIELDS])
+        return F.when(when, F.struct(*[made[c].alias(c) for c in lakehouse.FIELDS]))
 
-    invoiced, returned = o.where("fq is not null"), o.where("rq is not null")
-    out = of(o, "pedido", 1, "o_orderdate", "q", "aberto", True)
-    for rows in (
-        of(o.where("o_orderstatus = 'P'"), "pedido", 2, "o_orderdate", "q", "cancelado", True), of(invoiced, "faturamento", 1, "fd", "fq", "faturado", False),
-        of(invoiced.where("o_orderpriority = '1-URGENT'"), "faturamento", 2, "fd", "fq", "estornado", False), of(returned, "devolucao", 1, "rd", "rq", "confirmada", False),
-    ):
-        out = out.unionByName(rows)
-    return out
+    invoiced, returned = F.col("fq").isNotNull(), F.col("rq").isNotNull()
+    each = [
+        of(F.lit(True), "pedido", 1, "o_orderdate", "q", "aberto"), of(F.col("o_orderstatus") == "P", "pedido", 2, "o_orderdate", "q", "cancelado"), of(invoiced, "faturamento", 1, "fd", "fq", "faturado"),
+        of(invoiced & (F.col("o_orderpriority") == "1-URGENT"), "faturamento", 2, "fd", "fq", "estornado"), of(returned, "devolucao", 1, "rd", "rq", "confirmada"),
+    ]
+    return orders.select(F.inline(F.array_compact(F.array(*each))))
 
 
 def dimensions(t: Tables) -> dict[str, DataFrame]:
@@ -54,12 +60,52 @@ def dimensions(t: Tables) -> dict[str, DataFrame]:
     }
 
 
-def _state(t: Tables) -> lakehouse.Position:
-    return lakehouse.Position(events(t), dimensions(t))
+@GRAPH.model("comercial", "doc_pedidos")
+def eventos_avaliados(t: Tables, orders: DataFrame) -> DataFrame:
+    return lakehouse.evaluate(events(orders), dimensions(t))
+
+
+@GRAPH.model("comercial", "eventos_avaliados")
+def eventos_correntes(t: Tables, evaluated: DataFrame) -> DataFrame:
+    return lakehouse.current(evaluated)
+
+
+def _of(current: DataFrame, entity: str) -> DataFrame:
+    return current.where(F.col("entidade") == entity)
+
+
+@GRAPH.model("comercial", "eventos_correntes", "eventos_correntes")
+def faturas_resolvidas(t: Tables, current: DataFrame, orders: DataFrame) -> DataFrame:
+    return lakehouse.resolved(_of(current, "faturamento"), _of(orders, "pedido"))
+
+
+@GRAPH.model("comercial", "eventos_correntes", "faturas_resolvidas")
+def devolucoes_resolvidas(t: Tables, current: DataFrame, invoices: DataFrame) -> DataFrame:
+    return lakehouse.resolved(_of(current, "devolucao"), invoices.where("status = 'faturado'"))
+
+
+@GRAPH.model("comercial", "eventos_correntes")
+def prata_pedidos(t: Tables, current: DataFrame) -> DataFrame:
+    return lakehouse.silver_table("pedidos", _of(current, "pedido"))
+
+
+@GRAPH.model("comercial", "faturas_resolvidas")
+def prata_faturamentos(t: Tables, invoices: DataFrame) -> DataFrame:
+    return lakehouse.silver_table("faturamentos", invoices)
+
+
+@GRAPH.model("comercial", "devolucoes_resolvidas")
+def prata_devolucoes(t: Tables, returns: DataFrame) -> DataFrame:
+    return lakehouse.silver_table("devolucoes", returns)
+
+
+@GRAPH.model("comercial", "prata_pedidos", "prata_faturamentos", "prata_faturamentos", "prata_devolucoes")
+def posicao_pedidos(t: Tables, orders: DataFrame, invoices: DataFrame, again: DataFrame, returns: DataFrame) -> DataFrame:
+    return lakehouse.order_position(orders, invoices, returns, CUTOFF)
 
 
-def _silver(t: Tables) -> dict[str, DataFrame]:
-    return {name: rows for name, (_, rows) in _state(t).silver().items()}
+def _built(t: Tables, *names: str) -> list[DataFrame]:
+    return GRAPH.run(t, *names)
 
 
 def _plain(df: DataFrame) -> DataFrame:
@@ -70,21 +116,21 @@ def _plain(df: DataFrame) -> DataFrame:
 
 def silver_orders(t: Tables) -> DataFrame:
     """The current valid orders."""
-    return _plain(_silver(t)["pedidos"])
+    return _plain(_built(t, "prata_pedidos")[0])
 
 
 def silver_invoices(t: Tables) -> DataFrame:
     """The current valid invoices whose order is known and not later."""
-    return _plain(_silver(t)["faturamentos"])
+    return _plain(_built(t, "prata_faturamentos")[0])
 
 
 def silver_returns(t: Tables) -> DataFrame:
     """The current valid returns of standing invoices."""
-    return _plain(_silver(t)["devolucoes"])
+    return _plain(_built(t, "prata_devolucoes")[0])
 
 
 def _position(t: Tables) -> DataFrame:
-    return lakehouse.order_position(*_silver(t).values(), CUTOFF)
+    return _built(t, "posicao_pedidos")[0]
 
 
 def position(t: Tables) -> DataFrame:
@@ -94,7 +140,7 @@ def position(t: Tables) -> DataFrame:
 
 def return_facts(t: Tables) -> DataFrame:
     """K51."""
-    return _plain(lakehouse.return_facts(*_silver(t).values()))
+    return _plain(lakehouse.return_facts(*_built(t, "prata_pedidos", "prata_faturamentos", "prata_devolucoes")))
 
 
 def seller_summary(t: Tables) -> DataFrame:
@@ -121,12 +167,15 @@ def backlog_split(t: Tables) -> DataFrame:
 
 def inconsistencies(t: Tables) -> DataFrame:
     """K56."""
-    return lakehouse.inconsistencies(_position(t))
+    return lakehouse.inconsistencies(_built(t, "posicao_pedidos", "posicao_pedidos")[0])
 
 
 def quarantine(t: Tables) -> DataFrame:
     """K57."""
-    return _state(t).quarantine()
+    evaluated, current, again, invoices, returns = _built(t, "eventos_avaliados", "eventos_correntes", "eventos_correntes", "faturas_resolvidas", "devolucoes_resolvidas")
+    columns = ["id_evento", "entidade", "chave", "revisao"]
+    solved = _of(again, "pedido").select("id_evento").unionByName(invoices.select("id_evento")).unionByName(returns.select("id_evento"))
+    return changes.quarantine(evaluated.select(*columns, "reason"), current.select(*columns), solved, "id_evento", "referencia_ausente_ou_data_incompativel").withColumnRenamed("reason", "motivo")
 
 
 PLANS = {

@@ -54,6 +54,9 @@ class Runs:
             raise ValueError(f"run {run} is {found and found['status']}, not {' or '.join(allowed)}")
         return found
 
+    def status(self, run: str) -> str:
+        return self._run(run)["status"]
+
     def watermarks(self) -> dict[str, str]:
         return {k.removeprefix("mark:"): v for k, v in self._state().items() if k.startswith("mark:")}
 

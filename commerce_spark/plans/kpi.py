@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from commerce_spark.functions.scalar import lower_bound_at_zero, months_between, ratio, real
+from commerce_spark.functions.scalar import fraction_at_most, lower_bound_at_zero, months_between, ratio, real
 from commerce_spark.operators import ranks, temporal
 
 from . import views
@@ -87,9 +87,7 @@ def inactive(t: Tables, days: int = 90) -> DataFrame:
 
 def abc(t: Tables, a: int = 80, b: int = 95) -> DataFrame:
     """K6: ABC class of each customer and month by cumulative share; the customer that crosses a border is past it."""
-    own = _by_customer(t)
-    total = own.groupBy("month").agg(F.sum("rev").cast(WIDE).alias("total"))
-    r = ranks.running(own, "month", "rev", "customer").withColumnRenamed("_cum", "cum").join(total, "month")
+    r = ranks.running(_by_customer(t), "month", "rev", "customer").withColumn("cum", F.col("_cum")).withColumn("total", F.col("_total").cast(WIDE))
     mark = F.when(F.col("cum") * 100 <= F.col("total") * a, "A").when(F.col("cum") * 100 <= F.col("total") * b, "B").otherwise("C")
     return r.select(F.col("month").alias("mes_referencia"), F.col("customer").alias("id_cliente"), real(F.col("rev")).alias("faturamento_cliente"), ratio(F.col("rev"), F.col("total")).alias("participacao"), ratio(F.col("cum"), F.col("total")).alias("participacao_acumulada"), mark.alias("curva_abc"))
 
@@ -127,8 +125,8 @@ def margin_erosion(t: Tables, points: int = 3) -> DataFrame:
     """Consecutive months with steady or more revenue and a margin lower by `points` percent points or more."""
     rate, rate0 = ratio(F.col("mar"), F.col("rev")), ratio(F.col("mar0"), F.col("rev0"))
     drop = rate.cast("decimal(18,6)") - rate0.cast("decimal(18,6)")
-    exact = lambda c: F.col(c).cast("decimal(16,4)")  # noqa: E731  products of two stay exact
-    fell = (exact("mar") * exact("rev0") - exact("mar0") * exact("rev")) * 100 <= exact("rev") * exact("rev0") * -points
+    parts = lambda c: (F.col(c).cast(WIDE) * 10_000).cast("decimal(38,0)")
+    fell = fraction_at_most(parts("mar") * 100 + parts("rev") * points, parts("rev"), parts("mar0") * 100, parts("rev0"))
     r = _with_previous(t).where((F.col("gap") == 1) & (F.col("rev0") > 0) & (F.col("rev") >= F.col("rev0")) & fell)
     return r.select(F.col("month").alias("mes_referencia"), F.col("customer").alias("id_cliente"), real(F.col("rev")).alias("faturamento"), rate.alias("percentual_margem"), F.col("before").alias("mes_anterior"), real(F.col("rev0")).alias("faturamento_anterior"), rate0.alias("margem_anterior"), real(drop).alias("variacao_pontos_margem"))
 

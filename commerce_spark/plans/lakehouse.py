@@ -60,6 +60,29 @@ def evaluate(events: DataFrame, dimensions: dict[str, DataFrame]) -> DataFrame:
     return e.withColumn("reason", reason).drop("_cliente", "_vendedor", "_produto")
 
 
+def current(evaluated: DataFrame) -> DataFrame:
+    """The newest valid version of each document."""
+    return changes.latest(evaluated.where("reason is null"), ["entidade", "chave"], [F.desc("revisao"), F.asc("id_evento")])
+
+
+def resolved(children: DataFrame, parents: DataFrame) -> DataFrame:
+    """Documents whose parent is there and not later."""
+    parent = parents.select(F.col("chave").alias("referencia"), F.col("documento").alias("_since"))
+    return children.join(parent, "referencia").where("documento >= _since").drop("_since")
+
+
+SILVER = {
+    "pedidos": {"id_pedido": "chave", "versao": "revisao", "atualizado": "atualizado", "id_cliente": "cliente", "id_vendedor": "vendedor", "id_produto": "produto", "quantidade": "qtd", "preco_unitario": "preco", "data_pedido": "documento", "data_prevista": "previsao", "status": "status"},
+    "faturamentos": {"id_faturamento": "chave", "versao": "revisao", "atualizado": "atualizado", "id_pedido": "referencia", "quantidade": "qtd", "data_faturamento": "documento", "status": "status"},
+    "devolucoes": {"id_devolucao": "chave", "versao": "revisao", "atualizado": "atualizado", "id_faturamento": "referencia", "quantidade": "qtd", "data_devolucao": "documento", "status": "status"},
+}
+
+
+def silver_table(name: str, documents: DataFrame) -> DataFrame:
+    """Resolved documents in the columns of their silver table."""
+    return documents.select(*[F.col(c).alias(k) for k, c in SILVER[name].items()])
+
+
 class Position:
     """What a state of bronze says: evaluated and current events, resolved documents, quarantine, excess. With `keep` the
     evaluated events are persisted, and the caller lets them go."""
@@ -68,14 +91,11 @@ class Position:
         self.evaluated = evaluate(bronze, dimensions)
         if keep:
             self.evaluated.persist()
-        valid = self.evaluated.where("reason is null")
-        self.current = changes.latest(valid, ["entidade", "chave"], [F.desc("revisao"), F.asc("id_evento")])
+        self.current = current(self.evaluated)
         of = lambda name: self.current.where(F.col("entidade") == name)
         self.orders = of("pedido")
-        parent = self.orders.select(F.col("chave").alias("referencia"), F.col("documento").alias("_since"))
-        self.invoices = of("faturamento").join(parent, "referencia").where("documento >= _since").drop("_since")
-        parent = self.invoices.where("status = 'faturado'").select(F.col("chave").alias("referencia"), F.col("documento").alias("_since"))
-        self.returns = of("devolucao").join(parent, "referencia").where("documento >= _since").drop("_since")
+        self.invoices = resolved(of("faturamento"), self.orders)
+        self.returns = resolved(of("devolucao"), self.invoices.where("status = 'faturado'"))
 
     def quarantine(self) -> DataFrame:
         columns = ["id_evento", "entidade", "chave", "revisao"]
@@ -93,12 +113,7 @@ class Position:
 
     def silver(self) -> dict[str, tuple[str, DataFrame]]:
         """Table -> (key, rows): K49."""
-        head = lambda key: [F.col("chave").alias(key), F.col("revisao").alias("versao"), "atualizado"]
-        return {
-            "pedidos": ("id_pedido", self.orders.select(*head("id_pedido"), F.col("cliente").alias("id_cliente"), F.col("vendedor").alias("id_vendedor"), F.col("produto").alias("id_produto"), F.col("qtd").alias("quantidade"), F.col("preco").alias("preco_unitario"), F.col("documento").alias("data_pedido"), F.col("previsao").alias("data_prevista"), "status")),
-            "faturamentos": ("id_faturamento", self.invoices.select(*head("id_faturamento"), F.col("referencia").alias("id_pedido"), F.col("qtd").alias("quantidade"), F.col("documento").alias("data_faturamento"), "status")),
-            "devolucoes": ("id_devolucao", self.returns.select(*head("id_devolucao"), F.col("referencia").alias("id_faturamento"), F.col("qtd").alias("quantidade"), F.col("documento").alias("data_devolucao"), "status")),
-        }
+        return {name: (next(iter(SILVER[name])), silver_table(name, rows)) for name, rows in (("pedidos", self.orders), ("faturamentos", self.invoices), ("devolucoes", self.returns))}
 
 
 def order_position(orders: DataFrame, invoices: DataFrame, returns: DataFrame, cutoff: str) -> DataFrame:
@@ -186,6 +201,14 @@ class Lakehouse:
             raise ValueError("the cutoff must be a date")
         events = files.jsonl(self.spark, batch, EVENTS) if isinstance(batch, str) else batch.select(*[F.col(c).cast("string") for c in FIELDS])
         events = events.withColumn("hash_conteudo", content_hash(*[c for c in FIELDS if c != "id_evento"])).persist()
+        held = [events]
+        try:
+            return self._taken_in(events, cutoff, held)
+        finally:  # a refused batch leaves nothing in memory
+            for df in held:
+                df.unpersist()
+
+    def _taken_in(self, events: DataFrame, cutoff: str, held: list[DataFrame]) -> dict:
         if not events.where(F.col("id_evento").isNull() | (F.trim("id_evento") == "")).isEmpty():
             raise ValueError("an event has no id")
         old = self.store.read("eventos", BRONZE)
@@ -195,20 +218,19 @@ class Lakehouse:
         if not changes.conflicts(both.where("chave is not null and revisao is not null"), ["entidade", "chave", "revisao"], ["hash_conteudo"]).isEmpty():
             raise ValueError("a version of a document is ambiguous")
         new = changes.insert_only(old, events, ["id_evento"]).persist()
+        held.append(new)
         dimensions = {k: self.store.read(f"dim_{k}") for k in ("clientes", "vendedores", "produtos")}
         at = Position(old.unionByName(new), dimensions, keep=True)
-        held = at.quarantine()
-        self.store.commit(replaced={"quarentena": held}, appended={"eventos": new})
+        held.append(at.evaluated)
+        counted: dict[str, int] = {}
+        self.store.commit(replaced={"quarentena": at.quarantine()}, appended={"eventos": new}, counted=counted)
         if not at.excess().isEmpty():
             raise ValueError("more was consumed than a document holds; the silver tables stay as they were")
         synced = {}
         for name, (key, rows) in at.silver().items():
             synced[name] = changes.full_sync(self.store.read(name, rows.schema), rows, [key], "versao").select(*rows.columns)
-        self.store.commit(replaced=synced, state={"data_corte": cutoff})
-        out = {"eventos_bronze": self.store.read("eventos").count(), "quarentena": self.store.read("quarentena").count(), "pedidos": self.store.read("pedidos").count()}
-        for df in (events, new, at.evaluated):
-            df.unpersist()
-        return out
+        self.store.commit(replaced=synced, state={"data_corte": cutoff}, counted=counted)
+        return {"eventos_bronze": self.store.read("eventos").count(), "quarentena": counted["quarentena"], "pedidos": counted["pedidos"]}
 
     def position(self, cutoff: str | None = None) -> DataFrame:
         return order_position(*[self.store.read(k) for k in ("pedidos", "faturamentos", "devolucoes")], cutoff or self.store.manifest()["state"]["data_corte"])

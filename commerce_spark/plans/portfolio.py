@@ -1,4 +1,7 @@
-"""Customer portfolio: facts with as-of attribution, the dense monthly portfolio, retention, cohorts, alerts, checks."""
+"""Customer portfolio: facts with as-of attribution, the dense monthly portfolio, retention, cohorts, alerts, checks.
+
+The models say what they need (`graph`), so that a fact with several readers in a query is built once.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +12,7 @@ from commerce_spark.functions.scalar import months_between, ratio, real
 from commerce_spark.operators import ranks, temporal
 
 from . import views
+from .graph import GRAPH
 from .views import FIRST_MONTH, LAST_MONTH, Tables
 
 WIDE = "decimal(38,4)"
@@ -20,43 +24,58 @@ def _money(df: DataFrame) -> DataFrame:
     return df.select(*[real(F.col(c)).alias(c) if k.startswith("decimal") else F.col(c) for c, k in df.dtypes])
 
 
-def _orders(t: Tables) -> DataFrame:
+@GRAPH.model("intermediario")
+def int_pedidos(t: Tables) -> DataFrame:
+    """Orders with the sums of their items."""
     i = views.items(t).groupBy("id_pedido").agg(F.count(F.lit(1)).alias("itens"), F.sum("quantidade").alias("quantidade"), *[F.sum(c).cast(WIDE).alias(c) for c in ("valor_bruto", "valor_desconto", "valor_liquido")])
     return views.orders(t).join(i, "id_pedido")
 
 
 def orders(t: Tables) -> DataFrame:
     """Orders with the sums of their items; orders without items aren't there."""
-    return _money(_orders(t)).select("id_pedido", "id_cliente", F.col("emitido_em").cast("timestamp_ntz").alias("emitido_em"), "status", "itens", "quantidade", "valor_bruto", "valor_desconto", "valor_liquido")
+    return _money(int_pedidos(t)).select("id_pedido", "id_cliente", F.col("emitido_em").cast("timestamp_ntz").alias("emitido_em"), "status", "itens", "quantidade", "valor_bruto", "valor_desconto", "valor_liquido")
 
 
-def _fact(t: Tables) -> DataFrame:
-    f = temporal.as_of(_orders(t), views.customer_history(t), "id_cliente", "emitido_em", ["chave_cliente", "id_vendedor", "regiao"])
+@GRAPH.model("comercial", "int_pedidos", by=("competencia",), sort=("id_cliente",))
+def fato_pedidos(t: Tables, orders: DataFrame) -> DataFrame:
+    """Orders with the seller and region in force, their month and revenue."""
+    f = temporal.as_of(orders, views.customer_history(t), "id_cliente", "emitido_em", ["chave_cliente", "id_vendedor", "regiao"])
     return f.withColumn("competencia", F.trunc("emitido_em", "MM")).withColumn("receita", F.when(F.col("status") == "faturado", F.col("valor_liquido")).otherwise(0).cast(WIDE))
 
 
+def _fact(t: Tables) -> DataFrame:
+    return GRAPH.run(t, "fato_pedidos")[0]
+
+
 def order_facts(t: Tables) -> DataFrame:
     """Orders with the seller and region in force when they were issued; cancelled orders earn nothing."""
     return _money(_fact(t)).select("id_pedido", "id_cliente", "chave_cliente", "id_vendedor", "regiao", F.col("emitido_em").cast("timestamp_ntz").alias("emitido_em"), "competencia", "status", "itens", "quantidade", "valor_bruto", "valor_desconto", "valor_liquido", "receita")
 
 
-def _items(t: Tables) -> DataFrame:
-    f = _fact(t).select("id_pedido", "id_cliente", "id_vendedor", "competencia", "emitido_em", "status")
+@GRAPH.model("comercial", "fato_pedidos", by=("competencia",), sort=("id_pedido",))
+def fato_itens(t: Tables, fact: DataFrame) -> DataFrame:
+    """Items with their order's attribution."""
+    f = fact.select("id_pedido", "id_cliente", "id_vendedor", "competencia", "emitido_em", "status")
     return views.items(t).join(f, "id_pedido").withColumn("receita", F.when(F.col("status") == "faturado", F.col("valor_liquido")).otherwise(0).cast("decimal(18,4)"))
 
 
+def _items(t: Tables) -> DataFrame:
+    return GRAPH.run(t, "fato_itens")[0]
+
+
 def item_facts(t: Tables) -> DataFrame:
     """Items with their order's attribution."""
     return _money(_items(t)).select("id_item", "id_pedido", "id_cliente", "id_vendedor", "competencia", "status", "id_produto", "quantidade", "valor_bruto", "valor_desconto", "valor_liquido", "receita")
 
 
-def _portfolio(t: Tables) -> DataFrame:
+@GRAPH.model("comercial", "fato_pedidos", by=("competencia",), sort=("id_cliente",))
+def carteira_mensal(t: Tables, fact: DataFrame) -> DataFrame:
     """Customer x month by state at close, with invoiced orders of this month and the last.
 
     The series of a customer is dense, so last month is the row before; bought and earned amounts are one
     aggregate of the facts, joined once.
     """
-    own = _fact(t).groupBy("id_cliente", "competencia").agg(F.count_if(F.col("status") == "faturado").alias("pedidos_mes"), F.sum("receita").cast(WIDE).alias("receita_mes"))
+    own = fact.groupBy("id_cliente", "competencia").agg(F.count_if(F.col("status") == "faturado").alias("pedidos_mes"), F.sum("receita").cast(WIDE).alias("receita_mes"))
     state = temporal.state_at_close(views.customer_history(t), views.months(t)).select("id_cliente", "chave_cliente", "id_vendedor", "regiao", "ativo", "competencia")
     j = state.join(own, ["id_cliente", "competencia"], "left").withColumn("pedidos_mes", F.coalesce("pedidos_mes", F.lit(0)).cast("long")).withColumn("receita_mes", F.coalesce("receita_mes", F.lit(0)).cast(WIDE))
     series = Window.partitionBy("id_cliente").orderBy("competencia")
@@ -68,31 +87,39 @@ def _portfolio(t: Tables) -> DataFrame:
     return j.withColumn("situacao_compra", state_).withColumn("retido", now & before)
 
 
+def _portfolio(t: Tables) -> DataFrame:
+    return GRAPH.run(t, "carteira_mensal")[0]
+
+
 def monthly(t: Tables) -> DataFrame:
     """The dense monthly portfolio."""
     return _portfolio(t).select("id_cliente", "chave_cliente", "id_vendedor", "regiao", "ativo", "competencia", "pedidos_mes", "pedidos_mes_anterior", "primeira_competencia", "situacao_compra", "retido")
 
 
-def _sellers(t: Tables) -> DataFrame:
+@GRAPH.model("comercial", "carteira_mensal", "fato_pedidos", by=("competencia",), sort=("id_vendedor",))
+def carteira_vendedores(t: Tables, portfolio: DataFrame, fact: DataFrame) -> DataFrame:
+    """Sellers' portfolios at close, with what they sold."""
     c = F.count_if
-    p = _portfolio(t).groupBy("competencia", "id_vendedor").agg(
+    p = portfolio.groupBy("competencia", "id_vendedor").agg(
         F.count(F.lit(1)).alias("clientes_carteira"), c("ativo").alias("clientes_cadastro_ativo"), *[c(F.col("situacao_compra") == k).alias(n) for k, n in (("novo", "clientes_novos"), ("recorrente", "clientes_recorrentes"), ("reativado", "clientes_reativados"), ("sem_compra", "clientes_sem_compra"))],
         c("retido").alias("clientes_retidos"), c(F.col("pedidos_mes_anterior") > 0).alias("clientes_com_compra_anterior"),
     )
-    sold = _fact(t).groupBy("competencia", "id_vendedor").agg(F.sum("receita").cast(WIDE).alias("receita"), c(F.col("status") == "faturado").alias("pedidos_faturados"))
+    sold = fact.groupBy("competencia", "id_vendedor").agg(F.sum("receita").cast(WIDE).alias("receita"), c(F.col("status") == "faturado").alias("pedidos_faturados"))
     names = t.supplier.select(F.col("s_suppkey").alias("id_vendedor"), F.col("s_name").alias("nome"))
     return p.join(names, "id_vendedor").join(sold, ["competencia", "id_vendedor"], "left").withColumn("receita", F.coalesce("receita", F.lit(0)).cast(WIDE)).withColumn("pedidos_faturados", F.coalesce("pedidos_faturados", F.lit(0))).withColumn("retencao_pct", F.round(F.try_divide(F.col("clientes_retidos") * 100.0, F.col("clientes_com_compra_anterior")), 2))
 
 
 def seller_months(t: Tables) -> DataFrame:
     """sellers' portfolios at close, with the revenue that they sold."""
-    return _money(_sellers(t))
+    return _money(GRAPH.run(t, "carteira_vendedores")[0])
 
 
-def _behaviour(t: Tables) -> DataFrame:
+@GRAPH.model("comercial", "carteira_mensal", by=("competencia",), sort=("id_cliente",))
+def comportamento(t: Tables, portfolio: DataFrame) -> DataFrame:
+    """Trailing means, recency and one alert for each customer and month."""
     series = Window.partitionBy("id_cliente").orderBy("competencia")
     past, so_far = series.rowsBetween(-3, -1), series.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = _portfolio(t).withColumn("_sum3", F.sum("receita_mes").over(past).cast(WIDE)).withColumn("meses_base", F.count(F.lit(1)).over(past)).withColumn("ultima_competencia_compra", F.max(F.when(F.col("pedidos_mes") > 0, F.col("competencia"))).over(so_far)).withColumn("receita_acumulada", F.sum("receita_mes").over(so_far).cast(WIDE))
+    d = portfolio.withColumn("_sum3", F.sum("receita_mes").over(past).cast(WIDE)).withColumn("meses_base", F.count(F.lit(1)).over(past)).withColumn("ultima_competencia_compra", F.max(F.when(F.col("pedidos_mes") > 0, F.col("competencia"))).over(so_far)).withColumn("receita_acumulada", F.sum("receita_mes").over(so_far).cast(WIDE))
     idle = months_between(F.col("competencia"), F.col("ultima_competencia_compra"))
     mean = F.round(F.try_divide(F.col("_sum3").cast("double"), F.col("meses_base").cast("double")), 6)
     alert = (
@@ -103,6 +130,10 @@ def _behaviour(t: Tables) -> DataFrame:
     return d.withColumn("receita_media_3m_anteriores", mean).withColumn("ticket_medio", ratio(F.col("receita_mes"), F.col("pedidos_mes"), 9)).withColumn("variacao_vs_base", change).withColumn("meses_sem_compra", idle).withColumn("sinal_atencao", alert).drop("_sum3")
 
 
+def _behaviour(t: Tables) -> DataFrame:
+    return GRAPH.run(t, "comportamento")[0]
+
+
 def behaviour(t: Tables) -> DataFrame:
     """Trailing means, recency and one alert by fixed precedence for each customer and month."""
     return _money(_behaviour(t)).drop("regiao", "primeira_competencia", "situacao_compra", "retido", "pedidos_mes_anterior")
@@ -110,16 +141,23 @@ def behaviour(t: Tables) -> DataFrame:
 
 def cohorts(t: Tables) -> DataFrame:
     """Buyers of each first-purchase cohort by month."""
-    b = _behaviour(t).where("competencia >= primeira_competencia")
+    return _cohorts(_behaviour(t))
+
+
+def _cohorts(behaviour: DataFrame) -> DataFrame:
+    b = behaviour.where("competencia >= primeira_competencia")
     g = b.groupBy(F.col("primeira_competencia").alias("coorte"), "competencia").agg(F.count(F.lit(1)).alias("clientes_coorte"), F.count_if(F.col("pedidos_mes") > 0).alias("compradores"), F.sum("receita_mes").alias("receita"))
     return _money(g.withColumn("idade_coorte_meses", months_between(F.col("competencia"), F.col("coorte"))).withColumn("taxa_compra", ratio(F.col("compradores"), F.col("clientes_coorte"))))
 
 
 def revenue_concentration(t: Tables, tenths: int = 2) -> DataFrame:
     """The share of the top 20 % of customers, and the Herfindahl index; null in a month without revenue."""
-    own = _portfolio(t).select("competencia", "id_cliente", "receita_mes")
-    whole = own.groupBy("competencia").agg(F.sum("receita_mes").cast(WIDE).alias("_total"), F.count(F.lit(1)).alias("_n"))
-    p = ranks.running(own, "competencia", "receita_mes", "id_cliente").join(whole, "competencia")
+    return _concentration(_portfolio(t), tenths)
+
+
+def _concentration(portfolio: DataFrame, tenths: int = 2) -> DataFrame:
+    own = portfolio.select("competencia", "id_cliente", "receita_mes")
+    p = ranks.running(own, "competencia", "receita_mes", "id_cliente")
     top = F.sum(F.when((F.col("_pos") - 1) * 10 < F.col("_n") * tenths, F.col("receita_mes")))
     share = F.try_divide(F.col("receita_mes").cast("double"), F.col("_total").cast("double"))
     return _money(p.groupBy("competencia").agg(F.max("_total").alias("receita_total"), F.max("_n").alias("clientes_carteira"), top.alias("receita_top_20pct"), ratio(top, F.max("_total")).alias("participacao_top_20pct"), F.round(F.sum(share * share), 6).alias("indice_concentracao")))
@@ -156,11 +194,12 @@ def staged_items(t: Tables) -> DataFrame:
 
 def covers_customers(t: Tables) -> DataFrame:
     """Customer months that the portfolio lacks, by counting a dense series instead of crossing both sides."""
+    p, again = GRAPH.run(t, "carteira_mensal", "carteira_mensal")
     n = views.months(t).agg(F.count(F.lit(1)).alias("n"))
-    have = _portfolio(t).groupBy("id_cliente").agg(F.count_distinct("competencia").alias("have"))
+    have = p.groupBy("id_cliente").agg(F.count_distinct("competencia").alias("have"))
     short = t.customer.select(F.col("c_custkey").alias("id_cliente")).join(have, "id_cliente", "left").crossJoin(F.broadcast(n)).where(F.coalesce("have", F.lit(0)) < F.col("n")).select("id_cliente")
     missing = short.crossJoin(F.broadcast(views.months(t).select("competencia")))
-    return missing.join(_portfolio(t).select("id_cliente", "competencia"), ["id_cliente", "competencia"], "left_anti")
+    return missing.join(again.select("id_cliente", "competencia"), ["id_cliente", "competencia"], "left_anti")
 
 
 def no_duplicates(t: Tables) -> DataFrame:
@@ -176,17 +215,19 @@ def dates_inside(t: Tables, first: str = FIRST_MONTH, end: str = "2001-01-01") -
 
 def revenue_reconciles(t: Tables) -> DataFrame:
     """Months whose revenue differs between orders and sellers' portfolios."""
-    a = _fact(t).groupBy("competencia").agg(F.sum("receita").alias("a"))
-    b = _sellers(t).groupBy("competencia").agg(F.sum("receita").alias("b"))
+    fact, sellers = GRAPH.run(t, "fato_pedidos", "carteira_vendedores")
+    a = fact.groupBy("competencia").agg(F.sum("receita").alias("a"))
+    b = sellers.groupBy("competencia").agg(F.sum("receita").alias("b"))
     return a.join(b, "competencia", "full").where(~F.coalesce("a", F.lit(0)).eqNullSafe(F.coalesce("b", F.lit(0)))).select("competencia")
 
 
 def behaviour_in_range(t: Tables) -> DataFrame:
     """Indicators outside their ranges."""
-    b = _behaviour(t).where("meses_sem_compra < 0 or meses_base not between 0 and 3 or (meses_base < 3 and ativo and sinal_atencao <> 'historico_insuficiente')").select("id_cliente", "competencia")
+    found, again, p = GRAPH.run(t, "comportamento", "comportamento", "carteira_mensal")
+    b = found.where("meses_sem_compra < 0 or meses_base not between 0 and 3 or (meses_base < 3 and ativo and sinal_atencao <> 'historico_insuficiente')").select("id_cliente", "competencia")
     zero = F.lit(0).cast("long").alias("id_cliente")
-    c = cohorts(t).where("taxa_compra not between 0 and 1 or compradores > clientes_coorte").select(zero, "competencia")
-    d = revenue_concentration(t).where("participacao_top_20pct not between 0 and 1 or indice_concentracao not between 0 and 1").select(zero, "competencia")
+    c = _cohorts(again).where("taxa_compra not between 0 and 1 or compradores > clientes_coorte").select(zero, "competencia")
+    d = _concentration(p).where("participacao_top_20pct not between 0 and 1 or indice_concentracao not between 0 and 1").select(zero, "competencia")
     return b.unionByName(c).unionByName(d)
 
 
@@ -197,8 +238,9 @@ def items_valid(t: Tables, most: int = 49) -> DataFrame:
 
 def items_reconcile(t: Tables) -> DataFrame:
     """Orders that differ from the sum of their items."""
-    i = _items(t).groupBy("id_pedido").agg(F.sum("receita").alias("r"), F.sum("valor_liquido").alias("v"))
-    return _fact(t).join(i, "id_pedido").where((F.col("r") != F.col("receita")) | (F.col("v") != F.col("valor_liquido"))).select("id_pedido")
+    items, fact = GRAPH.run(t, "fato_itens", "fato_pedidos")
+    i = items.groupBy("id_pedido").agg(F.sum("receita").alias("r"), F.sum("valor_liquido").alias("v"))
+    return fact.join(i, "id_pedido").where((F.col("r") != F.col("receita")) | (F.col("v") != F.col("valor_liquido"))).select("id_pedido")
 
 
 def orders_in_validity(t: Tables) -> DataFrame:

@@ -12,7 +12,7 @@ import hashlib
 import json
 import time
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -174,13 +174,14 @@ class Store:
         kept = Layout(tuple(f"{c}={table['derived'][c]}" if c in table["derived"] else c for c in table["by"]), tuple(table["sort"]))
         return given or kept
 
-    def commit(self, replaced: dict[str, DataFrame] | None = None, appended: dict[str, DataFrame] | None = None, state: dict | None = None, fail_after: int | None = None, overwritten: dict[str, DataFrame] | None = None, emptied: dict[str, Iterable[dict]] | None = None, layouts: dict[str, Layout] | None = None, counted: dict[str, int] | None = None) -> int:
+    def commit(self, replaced: dict[str, DataFrame] | None = None, appended: dict[str, DataFrame] | None = None, state: dict | None = None, fail_after: int | None = None, overwritten: dict[str, DataFrame] | None = None, emptied: dict[str, Iterable[dict]] | None = None, layouts: dict[str, Layout] | None = None, counted: dict[str, int] | None = None, before: Callable[[], object] | None = None) -> int:
         """Publish tables (and small state values) together.
 
         replaced: the whole table. appended: rows beside those there are. overwritten: the partitions that the rows have,
         and those named in `emptied`, give way to the rows; all other partitions keep their files. layouts: of new tables
         (a known table keeps its own unless it is replaced). counted: gets the rows written of each table, observed by the
-        write itself. fail_after: raise after so many tables, for tests.
+        write itself. before: called when all is written and nothing shows; what it raises stops the commit. fail_after:
+        raise after so many tables, for tests.
         """
         old, layouts = self.manifest(), layouts or {}
         version = (self.versions() or [0])[-1] + 1
@@ -203,6 +204,8 @@ class Store:
                 done += 1
                 if fail_after is not None and done >= fail_after:
                     raise RuntimeError("stopped before publication")
+        if before is not None:
+            before()
         return self._publish({"tables": tables, "state": old["state"] | (state or {})}, version)
 
     def load_once(self, name: str, df: DataFrame, attempts: int = 3, wait: float = 1.0) -> bool:

@@ -27,23 +27,30 @@ def fraction_at_most(a: Column, b: Column, c: Column, d: Column) -> Column:
     """Exactly a / b <= c / d, for whole numbers below 10^36 with b and d above 0.
 
     The sign of a * d - c * b from products of halves of 18 digits, each of which a decimal of 38 holds."""
-    base = F.lit(10**18).cast("decimal(19,0)")
-    whole = "decimal(38,0)"
+    base, whole = F.lit(10**18).cast("decimal(19,0)"), "decimal(38,0)"
+    bind = lambda x, f: F.transform(F.array(x), f)[0]  # noqa: E731  x is worked out once, however often f uses it
 
     def split(x: Column) -> tuple[Column, Column]:
         low = F.pmod(x, base).cast(whole)
-        return ((x.cast(whole) - low) / base).cast(whole), low
-
-    def halves(x: Column) -> list[Column]:
-        return [h.cast("decimal(18,0)") for h in split(x.cast(whole))]
-
-    (ah, al), (bh, bl), (ch, cl), (dh, dl) = (halves(x) for x in (a, b, c, d))
-    high, low = (ah * dh - ch * bh).cast(whole), (al * dl - cl * bl).cast(whole)
-    middle = ((ah * dl - ch * bl).cast(whole) + (al * dh - cl * bh).cast(whole)).cast(whole)
-    carry, low = split(low)
-    more, middle = split((middle + carry).cast(whole))
-    high = (high + more).cast(whole)
-    return (high < 0) | ((high == 0) & (middle == 0) & (low == 0))
+        return ((x - low) / base).cast(whole), low
+
+    def halves(**numbers: Column) -> Column:
+        return F.struct(*[h.cast("decimal(18,0)").alias(f"{k}{i}") for k, x in numbers.items() for i, h in enumerate(split(x.cast(whole)))])
+
+    def products(h: Column) -> Column:
+        high, low = (h.a0 * h.d0 - h.c0 * h.b0).cast(whole), (h.a1 * h.d1 - h.c1 * h.b1).cast(whole)
+        return F.struct(high.alias("high"), ((h.a0 * h.d1 - h.c0 * h.b1).cast(whole) + (h.a1 * h.d0 - h.c1 * h.b0).cast(whole)).cast(whole).alias("middle"), low.alias("low"))
+
+    def carried(s: Column) -> Column:
+        over, low = split(s.low)
+        return F.struct(s.high.alias("high"), (s.middle + over).cast(whole).alias("middle"), low.alias("low"))
+
+    def sign(s: Column) -> Column:
+        over, middle = split(s.middle)
+        high = (s.high + over).cast(whole)
+        return (high < 0) | ((high == 0) & (middle == 0) & (s.low == 0))
+
+    return bind(bind(bind(halves(a=a, b=b, c=c, d=d), products), carried), sign)
 
 
 def real(c: Column) -> Column:

@@ -99,8 +99,8 @@ def prata_devolucoes(t: Tables, returns: DataFrame) -> DataFrame:
     return lakehouse.silver_table("devolucoes", returns)
 
 
-@GRAPH.model("comercial", "prata_pedidos", "prata_faturamentos", "prata_faturamentos", "prata_devolucoes")
-def posicao_pedidos(t: Tables, orders: DataFrame, invoices: DataFrame, again: DataFrame, returns: DataFrame) -> DataFrame:
+@GRAPH.model("comercial", "prata_pedidos", "prata_faturamentos", "prata_devolucoes")
+def posicao_pedidos(t: Tables, orders: DataFrame, invoices: DataFrame, returns: DataFrame) -> DataFrame:
     return lakehouse.order_position(orders, invoices, returns, CUTOFF)
 
 

@@ -118,11 +118,11 @@ class Position:
 
 def order_position(orders: DataFrame, invoices: DataFrame, returns: DataFrame, cutoff: str) -> DataFrame:
     """Each order's quantities and values, open, invoiced, returned and cancelled, and its days late at the cutoff."""
-    billed = invoices.where("status = 'faturado'")
-    sold = billed.groupBy("id_pedido").agg(F.sum("quantidade").alias("_sold"))
-    back = returns.select("id_faturamento", F.col("quantidade").alias("_q")).join(billed.select("id_faturamento", "id_pedido"), "id_faturamento").groupBy("id_pedido").agg(F.sum("_q").alias("_back"))
+    back = returns.groupBy("id_faturamento").agg(F.sum("quantidade").alias("_q"))
+    billed = invoices.where("status = 'faturado'").select("id_faturamento", "id_pedido", "quantidade").join(back, "id_faturamento", "left")
+    moved = billed.groupBy("id_pedido").agg(F.sum("quantidade").alias("_sold"), F.sum("_q").alias("_back"))
     zero = F.lit(0).cast("long")
-    p = orders.join(sold, "id_pedido", "left").join(back, "id_pedido", "left").withColumns({"quantidade_pedida": F.col("quantidade"), "quantidade_faturada": F.coalesce("_sold", zero), "quantidade_devolvida": F.coalesce("_back", zero)}).drop("_sold", "_back")
+    p = orders.join(moved, "id_pedido", "left").withColumns({"quantidade_pedida": F.col("quantidade"), "quantidade_faturada": F.coalesce("_sold", zero), "quantidade_devolvida": F.coalesce("_back", zero)}).drop("_sold", "_back")
     rest, cancelled = F.col("quantidade_pedida") - F.col("quantidade_faturada"), F.col("status") == "cancelado"
     p = p.withColumn("quantidade_aberta", F.when(cancelled, zero).otherwise(rest)).withColumn("quantidade_cancelada", F.when(cancelled, rest).otherwise(zero))
     worth = lambda q: (q.cast("decimal(18,0)") * F.col("preco_unitario")).cast("decimal(28,2)")

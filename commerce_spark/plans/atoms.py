@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from commerce_spark.operators import changes, temporal
 from commerce_spark.operators.checks import Declared, checked
+from commerce_spark.plans.incremental import lag_hours
 from commerce_spark.plans.views import Tables
 
 _BODY = ["event_type", "value", "props"]
@@ -88,13 +89,40 @@ def monitor_raw(t: Tables) -> DataFrame:
     return t.events.groupBy(F.col("event_type").alias("entidade")).agg(F.count(F.lit(1)).alias("linhas_raw"), F.count_distinct(F.concat_ws("|", F.col("user_id").cast("string"), F.col("event_id").cast("string"))).alias("versoes"))
 
 
+def monitor_lag(t: Tables) -> DataFrame:
+    """Each type's watermark, and its lag in whole hours behind the newest event."""
+    marks = t.events.groupBy(F.col("event_type").alias("entidade")).agg(F.max("ts").alias("valor"))
+    return lag_hours(marks, marks.agg(F.max("valor").alias("agora")))
+
+
+def monitor_runs(t: Tables, shown: int = 30) -> DataFrame:
+    """The newest runs, one a day of events; a day with invalid values failed and says why."""
+    bad = F.count_if(F.col("value") < 1)
+    days = t.events.groupBy(F.col("ts").cast("date").alias("dia")).agg(F.max("ts").alias("atualizado_em"), bad.alias("_bad"))
+    failed = F.col("_bad") > 0
+    return days.select(
+        F.concat(F.lit("dia-"), F.col("dia").cast("string")).alias("id"), F.when(failed, "falha").otherwise("sucesso").alias("status"), F.date_add("dia", 1).alias("fim"), "atualizado_em",
+        F.when(failed, F.concat(F.col("_bad").cast("string"), F.lit(" eventos com valor_invalido"))).alias("erro"),
+    ).orderBy(F.desc("atualizado_em"), "id").limit(shown)
+
+
+def failures(t: Tables) -> DataFrame:
+    """Failed runs whose message has a pattern."""
+    return monitor_runs(t, 1 << 30).where((F.col("status") == "falha") & F.col("erro").like("1%valor\\_inv%")).select("id", "erro")
+
+
 PLANS = {
+    "k19_lag": monitor_lag, "k19_runs": monitor_runs, "c19_failures": failures,
     "i01_insert_only": insert_only, "i02_upsert": upsert, "i03_full_sync": full_sync, "i04_watermark": watermark, "i05_window_scan": window_scan, "i10_history": history, "i11_latest_valid": latest_valid, "i12_quarantine": quarantined, "i15_ambiguous": ambiguous,
     "j07_checks": checks, "c09_next_page": next_page, "k19_monitor_raw": monitor_raw,
 }
 
 _PARTS = "WITH h AS (SELECT *, event_id//2 AS version, event_id%2 AS s FROM events), n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, s ORDER BY version DESC) AS r FROM h) WHERE r=1) "
+_RUN = "SELECT 'dia-' || CAST(ts AS DATE) AS id, CASE WHEN COUNT(*) FILTER (value<1)>0 THEN 'falha' ELSE 'sucesso' END AS status, CAST(CAST(ts AS DATE) + INTERVAL 1 DAY AS DATE) AS fim, MAX(ts) AS atualizado_em, CASE WHEN COUNT(*) FILTER (value<1)>0 THEN COUNT(*) FILTER (value<1) || ' eventos com valor_invalido' END AS erro FROM events GROUP BY CAST(ts AS DATE)"
 SQL = {
+    "k19_lag": "SELECT entidade, valor, datesub('hour', valor, (SELECT MAX(ts) FROM events)) AS horas_defasagem FROM (SELECT event_type AS entidade, MAX(ts) AS valor FROM events GROUP BY 1)",
+    "k19_runs": f"{_RUN} ORDER BY atualizado_em DESC, id LIMIT 30",
+    "c19_failures": f"SELECT id, erro FROM ({_RUN}) WHERE erro LIKE '1%valor^_inv%' ESCAPE '^'",
     "i01_insert_only": "SELECT event_id, user_id FROM events WHERE event_type<>'purchase'",
     "i02_upsert": _PARTS + "SELECT user_id, version, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY version DESC, s DESC) AS k FROM n) WHERE k=1",
     "i03_full_sync": _PARTS + "SELECT a.user_id, CASE WHEN b.version>=a.version THEN b.version ELSE a.version END AS version, CASE WHEN b.version>=a.version THEN b.event_id ELSE a.event_id END AS event_id FROM n a LEFT JOIN n b ON b.user_id=a.user_id AND b.s=0 WHERE a.s=1 AND a.value>=1",

@@ -8,6 +8,8 @@ are the quarantine. A return takes lines that weren't shipped too, so some retur
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from commerce_spark.operators import changes
 from commerce_spark.plans import lakehouse
 from commerce_spark.plans.graph import GRAPH
 from commerce_spark.plans.views import Tables
+from commerce_spark.sources.scratch import kept, shared
 
 CUTOFF = "2001-12-31"
 
@@ -178,7 +181,22 @@ def quarantine(t: Tables) -> DataFrame:
     return changes.quarantine(evaluated.select(*columns, "reason"), current.select(*columns), solved, "id_evento", "referencia_ausente_ou_data_incompativel").withColumnRenamed("reason", "motivo")
 
 
+def runs(t: Tables) -> DataFrame:
+    """The log of the engine's runs, newest first: orders, invoices and returns come as a batch each; the returns are
+    refused where more came back than was invoiced, and the log says so."""
+    engine = lakehouse.Lakehouse(t.spark, f"{shared(t.spark)}/scratch/lakehouse-{uuid.uuid4().hex}")
+    engine.load_dimensions(dimensions(t))
+    rows = kept(events(doc_pedidos(t)), "eventos")  # one scan for the three batches
+    for entity in lakehouse.STATES:
+        try:
+            engine.process(rows.where(F.col("entidade") == entity), CUTOFF, name=entity)
+        except lakehouse.Refused:
+            continue
+    return engine.runs().select(F.col("arquivo").alias("lote"), "data_corte", "status", "eventos_bronze", "quarentena", "erro")
+
+
 PLANS = {
+    "k58_runs": runs,
     "k49_silver_orders": silver_orders, "k49_silver_invoices": silver_invoices, "k49_silver_returns": silver_returns, "k50_position": position, "k51_return_facts": return_facts, "k52_seller_summary": seller_summary,
     "k53_open_orders": open_orders, "k54_returns_by_category": returns_by_category, "k55_backlog_split": backlog_split, "k56_inconsistencies": inconsistencies, "k57_quarantine": quarantine,
 }
@@ -202,6 +220,12 @@ def _d(*names: str) -> str:
 
 
 _MONEY = _d("valor_aberto", "valor_faturado", "valor_devolvido", "receita_apos_devolucao")
+_QUARANTINE = """SELECT 'pedido-'||o_orderkey||'-'||v AS id_evento, 'pedido' AS entidade, o_orderkey AS chave, CAST(v AS BIGINT) AS revisao, CASE WHEN o_orderkey<=0 THEN 'identificador_versao_ou_data_invalida' ELSE 'quantidade_invalida' END AS motivo
+                FROM o, (VALUES (1),(2)) t(v) WHERE (v=1 OR o_orderstatus='P') AND (coalesce(q,0)<=0 OR o_orderkey<=0)
+            UNION ALL SELECT 'faturamento-'||o_orderkey||'-'||v, 'faturamento', o_orderkey, v, 'identificador_versao_ou_data_invalida' FROM o, (VALUES (1),(2)) t(v) WHERE (v=1 OR o_orderpriority='1-URGENT') AND fq>0 AND o_orderkey<=0
+            UNION ALL SELECT 'devolucao-'||o_orderkey||'-1', 'devolucao', o_orderkey, 1, 'identificador_versao_ou_data_invalida' FROM o WHERE rq>0 AND o_orderkey<=0
+            UNION ALL SELECT 'faturamento-'||o_orderkey||'-'||CASE WHEN o_orderpriority='1-URGENT' THEN 2 ELSE 1 END, 'faturamento', o_orderkey, CASE WHEN o_orderpriority='1-URGENT' THEN 2 ELSE 1 END, 'referencia_ausente_ou_data_incompativel' FROM o WHERE fq>0 AND o_orderkey>0 AND o_orderkey NOT IN (SELECT id_faturamento FROM fat)
+            UNION ALL SELECT 'devolucao-'||o_orderkey||'-1', 'devolucao', o_orderkey, 1, 'referencia_ausente_ou_data_incompativel' FROM o WHERE rq>0 AND o_orderkey>0 AND o_orderkey NOT IN (SELECT id_devolucao FROM dev)"""
 SQL = {
     name: _BASE + select
     for name, select in {
@@ -215,11 +239,11 @@ SQL = {
         "k54_returns_by_category": "SELECT p_brand AS categoria, CAST(SUM(valor_faturado) AS DOUBLE) AS faturamento, CAST(SUM(valor_devolvido) AS DOUBLE) AS devolucoes, CAST(SUM(receita_apos_devolucao) AS DOUBLE) AS receita_apos_devolucao, round(CAST(SUM(valor_devolvido) AS DOUBLE)/nullif(CAST(SUM(valor_faturado) AS DOUBLE),0),6) AS taxa_devolucao_valor FROM pos JOIN part ON p_partkey=id_produto GROUP BY 1",
         "k55_backlog_split": "SELECT id_vendedor, CAST(SUM(valor_aberto) AS DOUBLE) AS carteira, CAST(SUM(CASE WHEN quantidade_faturada>0 THEN valor_aberto ELSE 0 END) AS DOUBLE) AS saldo_parcial, CAST(SUM(quantidade_cancelada*price) AS DOUBLE) AS saldo_cancelado FROM pos GROUP BY 1",
         "k56_inconsistencies": "SELECT id_pedido FROM pos WHERE quantidade_devolvida>quantidade_faturada OR quantidade_aberta<0 OR quantidade_pedida<>quantidade_faturada+quantidade_aberta+quantidade_cancelada",
-        "k57_quarantine": """SELECT 'pedido-'||o_orderkey||'-'||v AS id_evento, 'pedido' AS entidade, o_orderkey AS chave, CAST(v AS BIGINT) AS revisao, CASE WHEN o_orderkey<=0 THEN 'identificador_versao_ou_data_invalida' ELSE 'quantidade_invalida' END AS motivo
-                FROM o, (VALUES (1),(2)) t(v) WHERE (v=1 OR o_orderstatus='P') AND (coalesce(q,0)<=0 OR o_orderkey<=0)
-            UNION ALL SELECT 'faturamento-'||o_orderkey||'-'||v, 'faturamento', o_orderkey, v, 'identificador_versao_ou_data_invalida' FROM o, (VALUES (1),(2)) t(v) WHERE (v=1 OR o_orderpriority='1-URGENT') AND fq>0 AND o_orderkey<=0
-            UNION ALL SELECT 'devolucao-'||o_orderkey||'-1', 'devolucao', o_orderkey, 1, 'identificador_versao_ou_data_invalida' FROM o WHERE rq>0 AND o_orderkey<=0
-            UNION ALL SELECT 'faturamento-'||o_orderkey||'-'||CASE WHEN o_orderpriority='1-URGENT' THEN 2 ELSE 1 END, 'faturamento', o_orderkey, CASE WHEN o_orderpriority='1-URGENT' THEN 2 ELSE 1 END, 'referencia_ausente_ou_data_incompativel' FROM o WHERE fq>0 AND o_orderkey>0 AND o_orderkey NOT IN (SELECT id_faturamento FROM fat)
-            UNION ALL SELECT 'devolucao-'||o_orderkey||'-1', 'devolucao', o_orderkey, 1, 'referencia_ausente_ou_data_incompativel' FROM o WHERE rq>0 AND o_orderkey>0 AND o_orderkey NOT IN (SELECT id_devolucao FROM dev)""",
+        "k57_quarantine": _QUARANTINE,
+        "k58_runs": f"""SELECT lote, '2001-12-31' AS data_corte, CASE WHEN over THEN 'falha' ELSE 'sucesso' END AS status, CASE WHEN over THEN NULL ELSE bronze END AS eventos_bronze, CASE WHEN over THEN NULL ELSE held END AS quarentena,
+            CASE WHEN over THEN 'more was consumed than a document holds; the silver tables stay as they were' END AS erro FROM (
+            SELECT 'pedido' AS lote, (SELECT COUNT(*) + COUNT(*) FILTER (o_orderstatus='P') FROM o) AS bronze, (SELECT COUNT(*) FROM ({_QUARANTINE}) WHERE entidade='pedido') AS held, false AS over
+            UNION ALL SELECT 'faturamento', (SELECT COUNT(*) + COUNT(*) FILTER (o_orderstatus='P') + COUNT(fq) + COUNT(fq) FILTER (o_orderpriority='1-URGENT') FROM o), (SELECT COUNT(*) FROM ({_QUARANTINE}) WHERE entidade<>'devolucao'), EXISTS (SELECT 1 FROM fat JOIN ped USING (id_pedido) WHERE fat.status='faturado' AND fat.quantidade>ped.quantidade)
+            UNION ALL SELECT 'devolucao', (SELECT COUNT(*) + COUNT(*) FILTER (o_orderstatus='P') + COUNT(fq) + COUNT(fq) FILTER (o_orderpriority='1-URGENT') + COUNT(rq) FROM o), (SELECT COUNT(*) FROM ({_QUARANTINE})), EXISTS (SELECT 1 FROM dev JOIN fat USING (id_faturamento) WHERE dev.quantidade>fat.quantidade))""",
     }.items()
 }

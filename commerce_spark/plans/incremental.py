@@ -20,7 +20,7 @@ from commerce_spark import registry
 from commerce_spark.operators import changes, quality
 from commerce_spark.operators.telemetry import stage_event
 from commerce_spark.registry import ENTITIES, Entity
-from commerce_spark.sources.store import Layout, Store
+from commerce_spark.sources.store import Layout, Store, signature
 
 LOOKBACK = timedelta(minutes=5)
 EPOCH = "1970-01-01T00:00:00+00:00"
@@ -41,6 +41,11 @@ def _instant(text: str) -> datetime:
     return at.astimezone(timezone.utc)
 
 
+def lag_hours(marks: DataFrame, now: DataFrame) -> DataFrame:
+    """entidade, valor, horas_defasagem: whole hours from each watermark to `agora`, the one value of now."""
+    return marks.crossJoin(F.broadcast(now)).select("entidade", "valor", F.timestamp_diff("HOUR", F.col("valor"), F.col("agora")).alias("horas_defasagem"))
+
+
 class Runs:
     def __init__(self, spark: SparkSession, folder: str, entities: dict[str, Entity] = ENTITIES):
         self.spark, self.store, self.entities = spark, Store(spark, folder), entities
@@ -54,6 +59,17 @@ class Runs:
             raise ValueError(f"run {run} is {found and found['status']}, not {' or '.join(allowed)}")
         return found
 
+    def bootstrap(self) -> list[str]:
+        """Create the tables that aren't there, empty and in their layouts; their names."""
+        have = self.store.manifest()["tables"]
+        kinds = {"raw": (RAW, RAW_LAYOUT)}
+        for n, e in self.entities.items():
+            kinds |= {f"staging_{n}": (f"{e.schema}, execucao string", Layout(("execucao",), (e.key,))), n: (e.schema, e.layout)}
+        new = {n: k for n, k in kinds.items() if n not in have}
+        if new:
+            self.store.commit(replaced={n: self.spark.createDataFrame([], schema) for n, (schema, _) in new.items()}, layouts={n: layout for n, (_, layout) in new.items()})
+        return sorted(new)
+
     def status(self, run: str) -> str:
         return self._run(run)["status"]
 
@@ -226,10 +242,21 @@ class Runs:
                 e.add_note(f"the failure couldn't be recorded: {second}")
             raise
 
+    def failures(self, pattern: str) -> DataFrame:
+        """id, erro of the failed runs whose message is LIKE the pattern."""
+        failed = [(k.removeprefix("run:"), v["error"]) for k, v in self._state().items() if k.startswith("run:") and v["status"] == "falha"]
+        return self.spark.createDataFrame(failed, "id string, erro string").where(F.col("erro").like(pattern))
+
+    def fingerprint(self) -> dict[str, str]:
+        """A signature of each published table, and the watermarks: equal before and after a run that failed."""
+        tables = self.store.manifest()["tables"]
+        return {n: signature(self.published(n)) for n in self.entities if n in tables} | {f"mark:{k}": v for k, v in self.watermarks().items()}
+
     def monitor(self) -> dict[str, DataFrame]:
         """The last 30 runs; the lag of each watermark in hours; raw rows against versions."""
         runs = [(k.removeprefix("run:"), v["status"], v["end"], v.get("updated"), v["error"]) for k, v in self._state().items() if k.startswith("run:")]
         latest = self.spark.createDataFrame(runs, "id string, status string, fim string, atualizado_em string, erro string").orderBy(F.desc("atualizado_em"), "id").limit(30)
-        marks = self.spark.createDataFrame(list(self.watermarks().items()), "entidade string, valor string").withColumn("horas_defasagem", F.timestamp_diff("HOUR", F.col("valor").cast("timestamp"), F.current_timestamp()))
+        marks = self.spark.createDataFrame(list(self.watermarks().items()), "entidade string, valor string").withColumn("valor", F.col("valor").cast("timestamp"))
+        marks = lag_hours(marks, self.spark.range(1).select(F.current_timestamp().alias("agora")))
         raw = self.store.read("raw", RAW).groupBy("execucao", "entidade").agg(F.count(F.lit(1)).alias("linhas_raw"), F.count_distinct(F.concat_ws("|", "chave", F.col("versao").cast("string"))).alias("versoes"))
         return {"execucoes": latest, "marcas": marks, "raw": raw}

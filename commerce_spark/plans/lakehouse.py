@@ -170,11 +170,17 @@ def inconsistencies(position: DataFrame) -> DataFrame:
     return bad.unionByName(twice)
 
 
+class Refused(ValueError):
+    """A batch that the engine doesn't take."""
+
+
 class Lakehouse:
-    """The engine over a versioned store: `load_dimensions`, `process`, then the gold functions on `silver`."""
+    """The engine over a versioned store: `load_dimensions`, `process`, then the gold functions on `silver`.
+
+    inbox: folders that batches may be read from; None allows any path."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.store = spark, files.Store(spark, folder)
+    def __init__(self, spark: SparkSession, folder: str, inbox: tuple[str, ...] | None = None):
+        self.spark, self.store, self.inbox = spark, files.Store(spark, folder), inbox
 
     def load_dimensions(self, dimensions: dict[str, DataFrame]) -> None:
         for name, df in dimensions.items():
@@ -183,8 +189,9 @@ class Lakehouse:
                 raise ValueError(f"{name}: {key} is missing")
         self.store.commit(replaced={f"dim_{k}": v for k, v in dimensions.items()})
 
-    def process(self, batch: str | DataFrame, cutoff: str = "2026-09-30") -> dict:
-        """Take in a batch (a JSON-lines path or a DataFrame of its strings); a log row is written whatever happens."""
+    def process(self, batch: str | DataFrame, cutoff: str = "2026-09-30", name: str = "dataframe") -> dict:
+        """Take in a batch (a JSON-lines path or a DataFrame of its strings); a log row is written whatever happens. name:
+        what the log calls a DataFrame."""
         began, status, error, found = time.monotonic(), "sucesso", None, {}
         try:
             found = self._process(batch, cutoff)
@@ -193,12 +200,14 @@ class Lakehouse:
             status, error = "falha", str(e)[:2000]
             raise
         finally:
-            row = (str(uuid.uuid4()), batch if isinstance(batch, str) else "dataframe", cutoff, status, datetime.now(timezone.utc), time.monotonic() - began, found.get("eventos_bronze"), found.get("quarentena"), error)
+            row = (str(uuid.uuid4()), batch if isinstance(batch, str) else name, cutoff, status, datetime.now(timezone.utc), time.monotonic() - began, found.get("eventos_bronze"), found.get("quarentena"), error)
             self.store.commit(appended={"execucoes": self.spark.createDataFrame([row], RUNS)})
 
     def _process(self, batch: str | DataFrame, cutoff: str) -> dict:
         if not re.fullmatch(r"\d{4}-\d{2}-\d{2}", cutoff):
             raise ValueError("the cutoff must be a date")
+        if isinstance(batch, str) and self.inbox is not None:
+            files.inside(batch, self.inbox)
         events = files.jsonl(self.spark, batch, EVENTS) if isinstance(batch, str) else batch.select(*[F.col(c).cast("string") for c in FIELDS])
         events = events.withColumn("hash_conteudo", content_hash(*[c for c in FIELDS if c != "id_evento"])).persist()
         held = [events]
@@ -210,13 +219,13 @@ class Lakehouse:
 
     def _taken_in(self, events: DataFrame, cutoff: str, held: list[DataFrame]) -> dict:
         if not events.where(F.col("id_evento").isNull() | (F.trim("id_evento") == "")).isEmpty():
-            raise ValueError("an event has no id")
+            raise Refused("an event has no id")
         old = self.store.read("eventos", BRONZE)
         both = typed(old.unionByName(events))
         if not changes.conflicts(both, ["id_evento"], ["hash_conteudo"]).isEmpty():
-            raise ValueError("an event id was used again with other content")
+            raise Refused("an event id was used again with other content")
         if not changes.conflicts(both.where("chave is not null and revisao is not null"), ["entidade", "chave", "revisao"], ["hash_conteudo"]).isEmpty():
-            raise ValueError("a version of a document is ambiguous")
+            raise Refused("a version of a document is ambiguous")
         new = changes.insert_only(old, events, ["id_evento"]).persist()
         held.append(new)
         dimensions = {k: self.store.read(f"dim_{k}") for k in ("clientes", "vendedores", "produtos")}
@@ -225,7 +234,7 @@ class Lakehouse:
         counted: dict[str, int] = {}
         self.store.commit(replaced={"quarentena": at.quarantine()}, appended={"eventos": new}, counted=counted)
         if not at.excess().isEmpty():
-            raise ValueError("more was consumed than a document holds; the silver tables stay as they were")
+            raise Refused("more was consumed than a document holds; the silver tables stay as they were")
         synced = {}
         for name, (key, rows) in at.silver().items():
             synced[name] = changes.full_sync(self.store.read(name, rows.schema), rows, [key], "versao").select(*rows.columns)

@@ -119,6 +119,12 @@ SQL = {
     "k28_revenue_concentration": _with(f"SELECT competencia, {d('MAX(total)', 'receita_total')}, MAX(n) AS clientes_carteira, CAST(SUM(receita_mes) FILTER (pos<=ceil(n*CAST(0.2 AS DECIMAL(3,1)))) AS DOUBLE) AS receita_top_20pct, {r('SUM(receita_mes) FILTER (pos<=ceil(n*CAST(0.2 AS DECIMAL(3,1))))', 'MAX(total)', 'participacao_top_20pct')}, round(SUM(power(CAST(receita_mes AS DOUBLE)/nullif(CAST(total AS DOUBLE),0),2)),6) AS indice_concentracao FROM (SELECT *, row_number() OVER (PARTITION BY competencia ORDER BY receita_mes DESC, id_cliente) AS pos, SUM(receita_mes) OVER (PARTITION BY competencia) AS total, COUNT(*) OVER (PARTITION BY competencia) AS n FROM port) GROUP BY 1", "port"),
     "k29_customer_versions": _with("SELECT chave_cliente, id_cliente, nome, id_vendedor, regiao, ativo, valid_from AS vigencia_inicio, valid_to AS vigencia_fim FROM ver", "ver"),
     "k29_months": _with("SELECT month AS competencia, month + INTERVAL 1 MONTH AS fim_exclusivo FROM cal", "cal"),
+    "k30_staged_customers": _with("SELECT id_cliente, nome, id_vendedor, regiao, ativo, valid_from AS atualizado_em FROM ver WHERE valid_to IS NULL", "ver"),
+    "k30_staged_products": "SELECT p_partkey AS id_produto, p_name AS nome, p_type AS categoria FROM part",
+    "k30_staged_sellers": "SELECT s_suppkey AS id_vendedor, s_name AS nome FROM supplier",
+    "k48_inspect_versions": _with("SELECT id_cliente, id_vendedor, regiao, ativo, valid_from AS vigencia_inicio, valid_to AS vigencia_fim FROM ver", "ver"),
+    "k48_inspect_orders": _with(f"SELECT id_cliente, id_pedido, emitido_em, id_vendedor, regiao, {d('receita')} FROM fact", "fact"),
+    "k48_inspect_sellers": _with(f"SELECT competencia, id_vendedor, nome, {d('receita')}, clientes_novos, clientes_recorrentes, clientes_reativados, clientes_sem_compra, retencao_pct FROM sel", "sel"),
     "k29_products": "SELECT p_partkey AS id_produto, p_name AS nome, p_type AS categoria FROM part",
     "k29_sellers": "SELECT s_suppkey AS id_vendedor, s_name AS nome FROM supplier",
     "k30_staged_orders": _with("SELECT * FROM ord", "ord"),

@@ -189,6 +189,12 @@ def staged_items(t: Tables) -> DataFrame:
     return _money(views.items(t))
 
 
+def staged_customers(t: Tables) -> DataFrame:
+    """Customers as their source has them now."""
+    h = views.customer_history(t).where("valid_to is null")
+    return h.select("id_cliente", "nome", "id_vendedor", "regiao", "ativo", F.col("valid_from").cast("timestamp_ntz").alias("atualizado_em"))
+
+
 # --- checks: violations, none in sound data -----------------------------------------------------------------
 
 
@@ -308,3 +314,19 @@ def moved_portfolio(t: Tables) -> DataFrame:
 def portfolio_inspection(t: Tables) -> DataFrame:
     """Rows, customers and revenue of the portfolio by month."""
     return _money(_portfolio(t).groupBy("competencia").agg(F.count(F.lit(1)).alias("linhas"), F.count_distinct("id_cliente").alias("clientes"), F.sum("receita_mes").alias("receita")))
+
+
+def inspect_versions(t: Tables) -> DataFrame:
+    """Where each customer was, from when to when."""
+    h = views.customer_history(t)
+    return h.select("id_cliente", "id_vendedor", "regiao", "ativo", F.col("valid_from").cast("timestamp_ntz").alias("vigencia_inicio"), F.col("valid_to").cast("timestamp_ntz").alias("vigencia_fim")).orderBy("id_cliente", "vigencia_inicio")
+
+
+def inspect_orders(t: Tables) -> DataFrame:
+    """Each customer's orders with the seller and region that they count for."""
+    return _money(_fact(t).select("id_cliente", "id_pedido", F.col("emitido_em").cast("timestamp_ntz").alias("emitido_em"), "id_vendedor", "regiao", "receita")).orderBy("id_cliente", "emitido_em", "id_pedido")
+
+
+def inspect_sellers(t: Tables) -> DataFrame:
+    """sellers' months, in order."""
+    return seller_months(t).select("competencia", "id_vendedor", "nome", "receita", "clientes_novos", "clientes_recorrentes", "clientes_reativados", "clientes_sem_compra", "retencao_pct").orderBy("competencia", "id_vendedor")

@@ -15,10 +15,11 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "k13_calendar": kpi.calendar, "k14_entries": kpi.entries, "k15_revenue_and_targets": kpi.revenue_and_targets, "k16_performance": kpi.performance, "k17_performance_percent": kpi.performance_percent, "k18_base_counts": kpi.base_counts, "k20_base_totals": kpi.base_totals,
     "k21_orders": portfolio.orders, "k22_order_facts": portfolio.order_facts, "k23_item_facts": portfolio.item_facts, "k24_monthly": portfolio.monthly, "k25_seller_months": portfolio.seller_months, "k26_behaviour": portfolio.behaviour, "k27_cohorts": portfolio.cohorts,
     "k28_revenue_concentration": portfolio.revenue_concentration, "k29_customer_versions": portfolio.customer_versions, "k29_months": portfolio.month_dimension, "k29_products": portfolio.product_dimension, "k29_sellers": portfolio.seller_dimension,
-    "k30_staged_orders": portfolio.staged_orders, "k30_staged_items": portfolio.staged_items, "k31_covers_customers": portfolio.covers_customers, "k32_no_duplicates": portfolio.no_duplicates, "k33_dates_inside": portfolio.dates_inside, "k34_revenue_reconciles": portfolio.revenue_reconciles,
+    "k30_staged_orders": portfolio.staged_orders, "k30_staged_items": portfolio.staged_items, "k30_staged_customers": portfolio.staged_customers, "k30_staged_products": portfolio.product_dimension, "k30_staged_sellers": portfolio.seller_dimension, "k31_covers_customers": portfolio.covers_customers, "k32_no_duplicates": portfolio.no_duplicates, "k33_dates_inside": portfolio.dates_inside, "k34_revenue_reconciles": portfolio.revenue_reconciles,
     "k35_behaviour_in_range": portfolio.behaviour_in_range, "k36_items_valid": portfolio.items_valid, "k37_items_reconcile": portfolio.items_reconcile, "k38_orders_in_validity": portfolio.orders_in_validity, "k39_orders_without_items": portfolio.orders_without_items,
     "k40_one_current_version": portfolio.one_current_version, "k41_versions_apart": portfolio.versions_apart, "k42_versions_valid": portfolio.versions_valid, "k43_category_mix": portfolio.category_mix, "k44_contacts": portfolio.contacts, "k45_signal_summary": portfolio.signal_summary,
     "k46_retention": portfolio.retention, "k47_moved_portfolio": portfolio.moved_portfolio, "k48_portfolio_inspection": portfolio.portfolio_inspection,
+    "k48_inspect_versions": portfolio.inspect_versions, "k48_inspect_orders": portfolio.inspect_orders, "k48_inspect_sellers": portfolio.inspect_sellers,
 }
 
 

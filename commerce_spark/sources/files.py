@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from commerce_spark.sources.store import Layout, Store, signature
 
-__all__ = ["Layout", "Store", "dimension", "exported", "imported", "jdbc_window", "jsonl", "signature", "windowed", "with_defaults"]
+__all__ = ["Layout", "Store", "dimension", "exported", "imported", "inside", "jdbc_window", "jsonl", "signature", "windowed", "with_defaults"]
 
 
 def jsonl(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
@@ -26,6 +26,19 @@ def dimension(spark: SparkSession, path: str, schema: str, key: str) -> DataFram
     return df
 
 
+def inside(path: str, folders: Iterable[str]) -> str:
+    """path, if it lies in one of the folders: with its scheme, and without ways up, empty names or wildcards."""
+    scheme, at = path.split("://", 1) if "://" in path else ("", path)
+    names = at.split("/")
+    if any(n in (".", "..") for n in names) or "" in names[1:-1] or set("*?[]{}\\,\0") & set(at):
+        raise ValueError(f"not a plain path: {path!r}")
+    for f in folders:
+        own, root = f.split("://", 1) if "://" in f else ("", f)
+        if own == scheme and at.startswith(f"{root.rstrip('/')}/"):
+            return path
+    raise ValueError(f"{path!r} lies in none of the folders that are allowed")
+
+
 def exported(tables: dict[str, DataFrame]) -> DataFrame:
     """All rows of all tables as (objeto, registro as JSON)."""
     parts = [df.select(F.lit(name).alias("objeto"), F.to_json(F.struct("*")).alias("registro")) for name, df in tables.items()]

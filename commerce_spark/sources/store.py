@@ -259,6 +259,15 @@ class Store:
         self.commit(overwritten={name: swapped})
         return found.change
 
+    def dropped(self, name: str, ending: str = "_teste") -> None:
+        """Remove the whole store, as before a scenario is run anew. name: the folder's own name, said again; it must have the
+        ending of stores that may go."""
+        own = self.folder.rsplit("/", 1)[-1]
+        if name != own or not own.endswith(ending) or own == ending:
+            raise ValueError(f"{own} isn't a store that may be dropped as {name}")
+        self._fs.delete(self._path(self.folder), True)
+        self._fs.mkdirs(self._path(f"{self.folder}/_versions"))
+
     # --- keeping house -------------------------------------------------------------------------------------------
 
     def compact(self, name: str, most: int = 8) -> int:

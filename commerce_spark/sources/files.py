@@ -30,7 +30,7 @@ def inside(path: str, folders: Iterable[str]) -> str:
     """path, if it lies in one of the folders: with its scheme, and without ways up, empty names or wildcards."""
     scheme, at = path.split("://", 1) if "://" in path else ("", path)
     names = at.split("/")
-    if any(n in (".", "..") for n in names) or "" in names[1:-1] or set("*?[]{}\\,\0") & set(at):
+    if any(n in (".", "..") for n in names) or "" in names[1:] or set("*?[]{}\\,\0") & set(at):
         raise ValueError(f"not a plain path: {path!r}")
     for f in folders:
         own, root = f.split("://", 1) if "://" in f else ("", f)

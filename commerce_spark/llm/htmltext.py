@@ -6,12 +6,14 @@ clusters; the lines of the upper one are content, and content decides on regions
 
 - Elements that say what they are (menus, footers, adverts, comments and so on) count zero and never come out. A name
   alone doesn't count against an element that holds over half of the page's text, so that a layout's name
-  doesn't take the article with it.
+  doesn't take the article with it, nor does a form around the page. Names of headings, paragraphs, lists and tables, and the
+  ids of sections, don't count at all.
 - Of the elements marked as article or main text, all with content come out, if together they hold half of the content.
 - Else the search goes down from the page to the innermost element with four fifths of the content, and that comes out; where
   that is the page itself, the content lines and the headings before them.
 
-In a region everything comes out but runs of three or more lines of links below the border: menus without a name.
+In a region everything comes out but runs of three or more lines of links below the border, paragraphs of a marked element
+aside: menus without a name. Parsing and choosing take time in proportion to the page, whatever is left open in it.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ BLOCK = set(
     "legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul head".split()
 )
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-SILENT = set("head title style script noscript template iframe object svg canvas audio video math select button textarea datalist map".split())
+SILENT = set("head title style script noscript template iframe object svg canvas audio video annotation annotation-xml select button textarea datalist map".split())
 OUTSIDE = set("nav header footer aside form dialog menu search".split())
 ROLES = set("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar tablist status".split())
 FLOW = HEADINGS | set("p li dt dd pre address caption figcaption legend summary hr tr td th thead tbody tfoot table ul ol dl option optgroup".split())
@@ -44,7 +46,7 @@ OUTER_WORDS = set(
     "sharing social related recommended recommendations sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer footers topbar masthead siteheader pageheader pagination pager popup modal overlay widget "
     "widgets toolbar skiplink paywall disclaimer copyright".split()
 )
-COMMENT_WORDS = set("comment comments commentlist respond disqus replies".split())
+COMMENT_WORDS = set("comment comments commentlist respond responses disqus replies".split())
 ADVERT_WORDS = set("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo".split())
 CONTENT_WORDS = set("article articlebody postcontent entrycontent maincontent articlecontent story storybody".split())
 NOT_NAMES = {"has", "no", "not", "with", "without", "is", "hide", "show"}
@@ -68,10 +70,13 @@ class Element:
 
     def __init__(self, tag: str, attrs: list, parent: int):
         given = {k: v or "" for k, v in attrs}
-        words, whole = names(f"{given.get('class', '')} {given.get('id', '')}")
+        flow = tag in FLOW
+        # a heading's or paragraph's name says how it looks, and a section's id is a link's target, made of its heading
+        told = "" if flow else given.get("class", "") if tag == "section" else f"{given.get('class', '')} {given.get('id', '')}"
+        words, whole = names(told)
         role = given.get("role", "").lower()
         page = tag in ("html", "body")
-        self.tag, self.parent, self.flow = tag, parent, tag in FLOW
+        self.tag, self.parent, self.flow = tag, parent, flow
         self.hidden = "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "").lower()
         self.outer = tag in OUTSIDE or role in ROLES
         self.strict = not page and tag not in ("main", "article") and bool(words & COMMENT_WORDS) or tag == "article" and bool({"comment", "comments"} & words)
@@ -87,6 +92,8 @@ class Page(HTMLParser):
         self.lines: list[tuple] = []
         self.elements = [Element("html", [], -1)]
         self.open: list[tuple[str, int, bool]] = []  # (tag, element, whether its text is left out)
+        self.where: dict[str, list[int]] = {}  # the places of each tag in `open`
+        self.blocks: list[int] = []  # those of block elements
         self.parts: list[str] = []
         self.tags = self.links = self.anchors = 0
 
@@ -127,6 +134,9 @@ class Page(HTMLParser):
             given = names(" ".join(v or "" for k, v in attrs if k in ("class", "id")))[0]
             silent = silent or inline.hidden or bool(given & ADVERT_WORDS)
         self.anchors += tag == "a"
+        self.where.setdefault(tag, []).append(len(self.open))
+        if block:
+            self.blocks.append(len(self.open))
         self.open.append((tag, at, silent))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -135,17 +145,23 @@ class Page(HTMLParser):
             self.handle_endtag(tag)
 
     def _drop(self, i: int) -> None:
-        self.anchors -= sum(t == "a" for t, _, _ in self.open[i:])
+        for tag, _, _ in reversed(self.open[i:]):
+            self.where[tag].pop()
+            self.anchors -= tag == "a"
         del self.open[i:]
+        while self.blocks and self.blocks[-1] >= i:
+            self.blocks.pop()
+
+    def _last(self, tag: str) -> int:
+        """The place of the innermost open element of a tag, -1 without one."""
+        at = self.where.get(tag)
+        return at[-1] if at else -1
 
     def _close(self, tag: str, stop: set[str]) -> None:
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                self.cut()
-                self._drop(i)
-                return
-            if self.open[i][0] in stop:
-                return
+        i = self._last(tag)
+        if i >= 0 and all(self._last(t) < i for t in stop):
+            self.cut()
+            self._drop(i)
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
@@ -153,12 +169,9 @@ class Page(HTMLParser):
             return
         if tag in BLOCK:
             self.cut()
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                self._drop(i)
-                return
-            if tag not in BLOCK and self.open[i][0] in BLOCK:
-                return  # an inline end tag doesn't close blocks
+        i = self._last(tag)
+        if i >= 0 and (tag in BLOCK or not self.blocks or i > self.blocks[-1]):  # an inline end tag doesn't close blocks
+            self._drop(i)
 
     def handle_data(self, data: str) -> None:
         if self.open and self.open[-1][2]:
@@ -200,21 +213,16 @@ def _left_out(page: Page, own: list[int]) -> list[bool]:
     for i in range(len(page.elements) - 1, 0, -1):
         e = page.elements[i]
         marks[e.parent] |= marks[i] or e.tag in ("article", "main")
-    out, most = [False] * len(page.elements), own[0] / 2
+    out, under, most = [False] * len(page.elements), [False] * len(page.elements), own[0] / 2
     for i, e in enumerate(page.elements):
         inside = i > 0 and out[e.parent]
-        header = e.tag == "header" and any(x.marked for x in _up(page, e.parent))  # an article's own header holds its heading
-        kept = own[i] > most and (marks[i] or not e.outer)  # what holds most of the text isn't at the side of it
+        under[i] = i > 0 and (under[e.parent] or page.elements[e.parent].marked)
+        header = e.tag == "header" and under[i]  # an article's own header holds its heading
+        kept = own[i] > most and (marks[i] or not e.outer or e.tag == "form")  # what holds most of the text isn't at the side of it
         out[i] = inside or e.hidden or e.strict or (e.outer and not header or e.named) and not kept
     return out
 
 
-def _up(page: Page, i: int) -> Iterator[Element]:
-    while i >= 0:
-        yield page.elements[i]
-        i = page.elements[i].parent
-
-
 def _pick(page: Page, sigma: float = 1.0) -> list[str]:
     lines, n = page.lines, len(page.elements)
     plain = [max(0, len(x[0]) - x[2]) for x in lines]
@@ -231,17 +239,27 @@ def _pick(page: Page, sigma: float = 1.0) -> list[str]:
         region[i] = region[e.parent] if i and region[e.parent] >= 0 else i if e.marked and not gone[i] else -1
     marked = [r for r in dict.fromkeys(region) if r >= 0 and weight[r]]
     if marked and 2 * sum(weight[r] for r in marked) >= weight[0]:
-        chosen = [u and region[x[3]] in marked for x, u in zip(lines, usable, strict=True)]
-        inner = [any(e.tag == "article" for e in _up(page, x[3])) for x in lines]
+        wanted = set(marked)
+        chosen = [u and region[x[3]] in wanted for x, u in zip(lines, usable, strict=True)]
+        article = [False] * n
+        for i, e in enumerate(page.elements):
+            article[i] = e.tag == "article" or i > 0 and article[e.parent]
+        inner = [article[x[3]] for x in lines]
+        of: dict[int, list[int]] = {}
+        for i, x in enumerate(lines):
+            of.setdefault(region[x[3]], []).append(i)
         for r in marked:  # of main text around articles, the lines of the content and headings
-            mine = [i for i, x in enumerate(lines) if region[x[3]] == r]
+            mine = of.get(r, [])
             if page.elements[r].tag != "article" and any(inner[i] for i in mine):
                 for i in mine:
                     chosen[i] = chosen[i] and (inner[i] or content[i] or lines[i][4])
     else:
-        root = 0
-        while heavy := [i for i, e in enumerate(page.elements) if e.parent == root and not e.flow and weight[i] * 5 >= weight[root] * 4 > 0]:
-            root = heavy[0]
+        root, heavy = 0, {}  # of each element the first child with most of its content
+        for i, e in enumerate(page.elements[1:], 1):
+            if not e.flow and weight[i] * 5 >= weight[e.parent] * 4 > 0:
+                heavy.setdefault(e.parent, i)
+        while root in heavy:
+            root = heavy[root]
         if page.elements[root].tag in ("html", "body"):
             chosen = list(content)
             for i in range(len(lines) - 2, -1, -1):
@@ -251,7 +269,7 @@ def _pick(page: Page, sigma: float = 1.0) -> list[str]:
             for i, e in enumerate(page.elements):
                 inside[i] = i == root or i > 0 and inside[e.parent]
             chosen = [u and inside[x[3]] for x, u in zip(lines, usable, strict=True)]
-    links = [x[2] * 2 > len(x[0]) and v < border for x, v in zip(lines, values, strict=True)]
+    links = [x[2] * 2 > len(x[0]) and v < border and not (region[x[3]] >= 0 and page.elements[x[3]].tag == "p") for x, v in zip(lines, values, strict=True)]
     at = 0
     while at < len(lines):
         end = at

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from .common import pieces
 
 BITS = 13
+STEP = 1 << 16  # trigrams that are weighed at a time
 #: Families of language codes; a code that is not listed is a family of its own.
 FAMILY = {
     "en": "germanic", "de": "germanic", "nl": "germanic", "sv": "germanic", "da": "germanic", "no": "germanic",
@@ -33,10 +34,11 @@ def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw = [t.encode() for t in texts]
     data = _FOLD[np.frombuffer(b" " + b" ".join(raw) + b"  ", np.uint8)]
     begins = np.concatenate(([0], np.cumsum([len(r) + 1 for r in raw])[:-1])).astype(np.int64)
-    wide = data.astype(np.uint32)
-    mixed = (wide[:-2] * np.uint32(0x9E3779B1)) ^ (wide[1:-1] * np.uint32(0x85EBCA77)) ^ (wide[2:] * np.uint32(0xC2B2AE3D))
+    mixed = data[:-2] * np.uint32(0x9E3779B1)
+    mixed ^= data[1:-1] * np.uint32(0x85EBCA77)
+    mixed ^= data[2:] * np.uint32(0xC2B2AE3D)
     mixed = (mixed ^ (mixed >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-    return (mixed >> np.uint32(32 - BITS)).astype(np.int64), data[1:-1] != 32, begins
+    return (mixed >> np.uint32(32 - BITS)).astype(np.uint16), data[1:-1] != 32, begins
 
 
 def features(texts: list[str]) -> np.ndarray:
@@ -93,15 +95,25 @@ class Model:
         best = np.argmax(votes + np.tanh(total / max(1, len(names))) * 0.49, axis=1)
         return best, least[np.arange(len(margins)), best]
 
+    def _sums(self, codes: np.ndarray, counts: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """The weights of each text's trigrams, summed by pair in steps of 2^16 trigrams: memory grows with neither texts nor
+        languages times signs."""
+        out = np.zeros((len(begins), len(self.pairs)))
+        for a in range(0, len(codes) if self.pairs else 0, STEP):
+            b = min(a + STEP, len(codes))
+            first, last = np.searchsorted(begins, a, "right") - 1, np.searchsorted(begins, b, "left")
+            starts = np.maximum(begins[first:last] - a, 0)
+            out[first:last] += np.add.reduceat(np.where(counts[a:b, None], self.weights[codes[a:b]], 0), starts, axis=0, dtype=np.float64)
+        return out
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and score of each text; und and 0 for a text that is null or has no letter."""
         if not texts or not self.families:
             return ["und"] * len(texts), np.zeros(len(texts))
         whole = [t or "" for t in texts]
         codes, counts, begins = _trigrams(whole)
-        weights = np.where(counts[:, None], self.weights[codes], 0) if len(self.pairs) else np.zeros((len(codes), 0), np.float32)
         n = np.add.reduceat(counts, begins, dtype=np.int64)
-        margins = np.add.reduceat(weights, begins, axis=0, dtype=np.float64) / np.maximum(n, 1)[:, None] + self.bias
+        margins = self._sums(codes, counts, begins) / np.maximum(n, 1)[:, None] + self.bias
         names = sorted(self.families)
         family, sure = self._vote(names, margins)
         picked, score = np.empty(len(texts), object), _squash(sure)
@@ -130,7 +142,7 @@ def fit(docs: DataFrame, per_language: int = 200, text_col: str = "text", lang_c
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text rlike '\\\\p{L}'")
     # the ranks are taken over narrow rows; texts are only fetched for the sample
     best = rows.select("doc_id", "lang").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per_language)
-    sample = rows.join(F.broadcast(best.select("doc_id", "lang").distinct()), ["doc_id", "lang"])
+    sample = rows.join(F.broadcast(best.select("doc_id", "lang").distinct()), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))  # one row an id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):

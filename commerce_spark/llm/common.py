@@ -53,6 +53,14 @@ def cut(df: DataFrame) -> DataFrame:
         return df.checkpoint(eager=True)
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """The name, or the name with underscores behind it, that no column of df has in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def width(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

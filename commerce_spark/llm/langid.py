@@ -173,7 +173,8 @@ def fit(docs: DataFrame, per_language: int = 200, text_col: str = "text", lang_c
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred and score of every row from its whole text alone."""
+    """doc_id, lang_pred and score of every row from its whole text alone. Null and empty texts and texts without a letter are
+    und with score 0; rows may share an id or have none, and repeated rows get equal results; an empty table gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text", mb=4):
@@ -190,7 +191,7 @@ def held_out(id_col: str = "doc_id") -> F.Column:
 
 def keep_known(docs: DataFrame, model: Model) -> DataFrame:
     """The rows whose text is in some language, columns as they were: a null lang becomes the predicted one, and
-    rows predicted und (null texts, texts without a letter) go."""
+    rows predicted und (null texts, texts without a letter) go. A table without lang stays one."""
 
     columns = docs.columns
 
@@ -199,6 +200,9 @@ def keep_known(docs: DataFrame, model: Model) -> DataFrame:
             k = b.schema.get_field_index("lang")
             lang, _ = model.predict(b.column(b.schema.get_field_index("text")).to_pylist())
             keep = pa.array([x != "und" for x in lang])
+            if k < 0:
+                yield b.filter(keep)
+                continue
             filled = pa.array([old if old is not None else new for old, new in zip(b.column(k).to_pylist(), lang, strict=True)], b.schema.field(k).type)
             yield b.set_column(k, b.schema.field(k), filled).filter(keep)
 

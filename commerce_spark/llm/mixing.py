@@ -20,7 +20,7 @@ from math import ceil
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import offsets, width
+from .common import offsets, spare, width
 
 
 def tempered(totals: dict, power: float = 0.7) -> dict:
@@ -138,6 +138,7 @@ def mixed(docs: DataFrame, weights: dict | None = None, block_bytes: int = 1 <<
     """
     at, table, block_bytes = _streams(docs, weights, block_bytes, slots, 1 << 14, seed)
     first = at.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("start", "source", "cycle", "served")).alias("one")).select("doc_id", "one.*")
-    times = _served(first, table, block_bytes).select(F.col("doc_id").alias("_id"), F.col("slot").alias("_slot"), F.col("place").alias("_place"))
-    out = docs.join(times, docs.doc_id == times._id, "left").drop("_id")
-    return out.repartitionByRange(width(docs.sparkSession), F.asc_nulls_first("_slot"), "_place").sortWithinPartitions(F.asc_nulls_first("_slot"), "_place").select(docs.columns)
+    name, slot, place = (spare(docs, n) for n in ("_id", "_slot", "_place"))
+    times = _served(first, table, block_bytes).select(F.col("doc_id").alias(name), F.col("slot").alias(slot), F.col("place").alias(place))
+    out = docs.join(times, docs.doc_id == times[name], "left").drop(name)
+    return out.repartitionByRange(width(docs.sparkSession), F.asc_nulls_first(slot), place).sortWithinPartitions(F.asc_nulls_first(slot), place).select(docs.columns)

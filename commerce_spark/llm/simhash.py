@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, local_components, members, mix64, only_members, pieces, width
+from .common import components, cut, local_components, members, mix64, only_members, pieces, spare, width
 
 SEED = 42
 
@@ -405,5 +405,6 @@ def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Data
     kept = similar_classes(known.select("doc_id", "text"), words, similarity).where("doc_id = component_id").select("doc_id").distinct()
     rest = [F.col(c).cast("string").asc_nulls_first() for c in docs.columns if c not in ("doc_id", "text")]
     first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first(), *rest)
-    one = known.join(kept, "doc_id").select(docs.columns).withColumn("_at", F.row_number().over(first)).where("_at = 1").select(docs.columns)
+    at = spare(docs, "_at")
+    one = known.join(kept, "doc_id").select(docs.columns).withColumn(at, F.row_number().over(first)).where(F.col(at) == 1).select(docs.columns)
     return one.unionByName(docs.where("doc_id is null"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, cut, members, mix64, not_members, only_members, pieces, text_bytes
+from .common import U64, cut, members, mix64, not_members, only_members, pieces, spare, text_bytes
 
 GRAM = 64
 _BYTE = mix64(np.arange(256, dtype=U64) * U64(0x632BE59BD9B4E019) + U64(7))
@@ -302,10 +302,10 @@ def strip(docs: DataFrame, length: int = 200) -> DataFrame:
             wide.append((s, e))
         return (_without(raw, merge(wide)).decode(),)
 
-    found = cut(spans(docs.select("doc_id", "text"), length).groupBy("ref").agg(F.collect_list(F.struct("start", "end")).alias("_spans")))
-    columns = docs.columns
-    named = docs.withColumn("_ref", _ref())
-    joined = named.join(found.withColumnRenamed("ref", "_ref"), "_ref", "left").select(*columns, "_spans")
+    found = cut(spans(docs.select("doc_id", "text"), length).groupBy("ref").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
+    columns, ref, held = docs.columns, spare(docs, "_ref"), spare(docs, "_spans")
+    named = docs.withColumn(ref, _ref())
+    joined = named.join(found.withColumnsRenamed({"ref": ref, "spans": held}), ref, "left").select(*columns, held)
     at = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,6 +25,7 @@ class Declared:
     accepted: dict[str, tuple] = field(default_factory=dict)
     refers: dict[str, tuple[str, str]] = field(default_factory=dict)
     holds: dict[str, str] = field(default_factory=dict)
+    told: dict[str, str] = field(default_factory=dict)  # rule -> what violations call it
 
 
 def _row_rules(d: Declared) -> dict[str, Column]:
@@ -55,7 +56,8 @@ def violations(d: Declared, tables: dict[str, DataFrame]) -> DataFrame:
     if not items:
         raise ValueError(f"nothing is declared of {d.name}")
     found = df.select(F.explode(F.array_compact(F.array(*items))).alias("i")).groupBy("i.rule", "i.key", "i.exact", "i.least").agg(F.count(F.lit(1)).alias("rows"))
-    return found.where("rows >= least").select(F.lit(d.name).alias("entity"), "key", "rule", "rows")
+    rule = F.coalesce(*[F.when(F.col("rule") == k, v) for k, v in d.told.items()], F.col("rule"))
+    return found.where("rows >= least").select(F.lit(d.name).alias("entity"), "key", rule.alias("rule"), "rows")
 
 
 def report(found: DataFrame, shown: int = 20) -> DataFrame:
@@ -74,6 +76,9 @@ def checked(declared: list[Declared], tables: dict[str, DataFrame]) -> DataFrame
     return out
 
 
+#: What the first project's load asserts of its sales (the columns of `sources.generators.demonstration_sales`).
+SALES = Declared("vendas", "entry", unique=(("entry",),), not_null=("entry",), holds={"quantity > 0": "quantity > 0", "price >= 0": "price >= 0"})
+
 #: What the portfolio's sources state of themselves, in the columns of `plans.views`.
 SOURCES = [
     Declared("clientes", "id_cliente", unique=(("id_cliente",),), not_null=("id_cliente", "atualizado_em", "id_vendedor"), refers={"id_vendedor": ("vendedores", "id_vendedor")}),

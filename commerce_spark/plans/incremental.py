@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from commerce_spark import registry
 from commerce_spark.operators import changes, quality
+from commerce_spark.operators.checks import Declared, checked
 from commerce_spark.operators.telemetry import stage_event
 from commerce_spark.registry import ENTITIES, Entity
 from commerce_spark.sources.store import Layout, Store, signature
@@ -28,6 +29,15 @@ RAW = "execucao string, entidade string, chave string, versao timestamp, payload
 RAW_LAYOUT = Layout(("execucao", "entidade"), ("chave", "versao"))
 
 
+#: Conditions on an entity's rows, by the message of what breaks them; returns stand beside their sale (_q pieces, cancelled _c).
+RULES = {
+    "clientes": {"UF inválida": "uf rlike '^[A-Z]{2}$'"},
+    "vendas": {"quantidade ou valores inválidos": "quantidade > 0 and valor_bruto >= 0 and valor_desconto >= 0 and valor_desconto <= valor_bruto", "líquido divergente": "valor_liquido = valor_bruto - valor_desconto"},
+    "metas": {"valor/competência inválido": "valor_meta >= 0 and trunc(competencia, 'MM') = competencia"},
+    "devolucoes": {"lançamento sem venda": "_q is not null", "venda cancelada": "_q is null or not _c", "quantidade ou valor inválido": "quantidade > 0 and valor_devolvido > 0", "data ou motivo inválido": "_q is null or (data_devolucao >= data_venda and trim(motivo) <> '')"},
+}
+
+
 class Source(Protocol):
     """What a run reads from: a call that gives the payloads of an entity changed in [low, high)."""
 
@@ -152,31 +162,24 @@ class Runs:
     def violations(self, run: str) -> DataFrame:
         """All rules over a run's candidate state, as (entity, key, rule)."""
         c = {n: self.candidate(run, n) for n in self.entities}
-        checks = []
+        sale = c["vendas"].select("id_lancamento", "data_venda", F.col("quantidade").alias("_q"), F.col("valor_liquido").alias("_v"), F.col("cancelado").alias("_c"))
+        told = [checked([self._declared(e) for e in self.entities.values()], c | {"devolucoes": c["devolucoes"].join(sale, "id_lancamento", "left")}).select("entity", "key", "rule")]
         for n, e in self.entities.items():
-            same = self.published(n).join(self.staged(run, n), [e.key, "atualizado_em"]).select(e.key)
-            content = [x for x in e.columns]
-            both = self.published(n).unionByName(self.staged(run, n))
-            checks.append(changes.conflicts(both, [e.key, "atualizado_em"], content).join(same, e.key, "left_semi").select(F.lit(n).alias("entity"), F.col(e.key).cast("string").alias("key"), F.lit("alteração sem atualizar timestamp").alias("rule")))
-            checks.append(quality.holds(c[n], n, F.col(e.key) > 0, "chave não positiva", e.key))
-            for column, parent in e.refers.items():
-                checks.append(quality.related(c[n], n, column, c[parent], self.entities[parent].key, e.key).withColumn("rule", F.lit(f"{column} sem dimensão")))
-        checks.append(quality.holds(c["clientes"], "clientes", F.col("uf").rlike("^[A-Z]{2}$"), "UF inválida", "id_cliente"))
-        gross, off, net = (F.col(x) for x in ("valor_bruto", "valor_desconto", "valor_liquido"))
-        checks.append(quality.holds(c["vendas"], "vendas", (F.col("quantidade") > 0) & (gross >= 0) & (off >= 0) & (off <= gross), "quantidade ou valores inválidos", "id_lancamento"))
-        checks.append(quality.holds(c["vendas"], "vendas", net == gross - off, "líquido divergente", "id_lancamento"))
-        checks.append(quality.holds(c["metas"], "metas", (F.col("valor_meta") >= 0) & (F.trunc("competencia", "MM") == F.col("competencia")), "valor/competência inválido", "id_meta"))
-        checks.append(quality.unique(c["metas"], "metas", ["id_vendedor", "competencia"]).withColumn("rule", F.lit("Mais de uma meta para vendedor e competência")))
-        sale = c["vendas"].select("id_lancamento", "data_venda", F.col("quantidade").alias("_q"), F.col("valor_liquido").alias("_v"), "cancelado")
-        r = c["devolucoes"].join(sale, "id_lancamento", "left")
-        known = F.col("_q").isNotNull()
-        checks.append(quality.holds(r, "devolucoes", known, "lançamento sem venda", "id_devolucao"))
-        checks.append(quality.holds(r.where(known), "devolucoes", ~F.col("cancelado"), "venda cancelada", "id_devolucao"))
-        checks.append(quality.holds(r, "devolucoes", (F.col("quantidade") > 0) & (F.col("valor_devolvido") > 0), "quantidade ou valor inválido", "id_devolucao"))
-        checks.append(quality.holds(r.where(known), "devolucoes", (F.col("data_devolucao") >= F.col("data_venda")) & (F.trim("motivo") != ""), "data ou motivo inválido", "id_devolucao"))
+            staged = self.staged(run, n)
+            same = self.published(n).join(staged, [e.key, "atualizado_em"]).select(e.key)
+            both = self.published(n).unionByName(staged)
+            told.append(changes.conflicts(both, [e.key, "atualizado_em"], [*e.columns]).join(same, e.key, "left_semi").select(F.lit(n).alias("entity"), F.col(e.key).cast("string").alias("key"), F.lit("alteração sem atualizar timestamp").alias("rule")))
         total = c["devolucoes"].groupBy("id_lancamento").agg(F.sum("quantidade").alias("_rq"), F.sum("valor_devolvido").alias("_rv")).join(sale, "id_lancamento")
-        checks.append(quality.holds(total, "devolucoes", (F.col("_rq") <= F.col("_q")) & (F.col("_rv") <= F.col("_v")), "acumulado superior à venda", "id_lancamento"))
-        return quality.all_of(*checks)
+        told.append(quality.holds(total, "devolucoes", (F.col("_rq") <= F.col("_q")) & (F.col("_rv") <= F.col("_v")), "acumulado superior à venda", "id_lancamento"))
+        return quality.all_of(*told)
+
+    @staticmethod
+    def _declared(e: Entity) -> Declared:
+        """What holds for an entity's rows by themselves, its references included: one scan of its candidate state."""
+        own = {"chave não positiva": f"{e.key} > 0"} | RULES.get(e.name, {})
+        goals = {"unique": (("id_vendedor", "competencia"),)} if e.name == "metas" else {}
+        told = {f"related {x}": f"{x} sem dimensão" for x in e.refers} | {"unique id_vendedor, competencia": "Mais de uma meta para vendedor e competência"}
+        return Declared(e.name, e.key, refers={x: (parent, ENTITIES[parent].key) for x, parent in e.refers.items()}, holds=own, told=told, **goals)
 
     def approve(self, run: str) -> dict:
         self._run(run, "preparada", "aprovada")

@@ -71,15 +71,16 @@ class Sketch:
         norm = np.einsum("ij,ij->i", x.astype(np.float64), x.astype(np.float64))
         self.rest = np.sqrt(np.maximum(norm - np.einsum("ij,ij->i", self.mean, self.mean), 0))
         self.slack = 1e-7 + 1e-12 * norm
+        self.root = np.sqrt(self.slack)  # a norm that cancels out to rounding can be off by its root
 
     def bound(self, own: np.ndarray, other: Sketch, theirs: np.ndarray) -> np.ndarray:
         """Of pairs of rows, what their squared distance is at least."""
-        d = self.mean[own] - other.mean[theirs]
-        r = self.rest[own] - other.rest[theirs]
-        slack = self.slack[own] + other.slack[theirs]
-        # a norm that cancels out to rounding can be off by its root
-        r = np.maximum(np.abs(r) - np.sqrt(slack), 0)
-        return (d * d).sum(axis=-1) + r * r - slack
+        r = np.maximum(np.abs(self.rest[own] - other.rest[theirs]) - (self.root[own] + other.root[theirs]), 0)
+        out = r * r - (self.slack[own] + other.slack[theirs])
+        for j in range(self.mean.shape[1]):
+            d = self.mean[own, j] - other.mean[theirs, j]
+            out += d * d
+        return out
 
 
 def nearest(x: np.ndarray, entries: np.ndarray, seen: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -88,7 +89,7 @@ def nearest(x: np.ndarray, entries: np.ndarray, seen: list[int] | None = None) -
     index, dist = np.empty(len(x), np.int64), np.empty(len(x), np.int64)
     levels = bounds_of(x.shape[1])
     theirs = [Sketch(entries, s) for s in levels]
-    every = np.arange(len(entries))
+    every, columns, fields = np.arange(len(entries)), np.ascontiguousarray(x.T), np.ascontiguousarray(entries.T)
     for at in range(0, len(x), BLOCK):
         part = x[at : at + BLOCK]
         own = Sketch(part, levels[0])
@@ -105,8 +106,10 @@ def nearest(x: np.ndarray, entries: np.ndarray, seen: list[int] | None = None) -
             best = np.minimum(best, np.einsum("ij,ij->i", d, d))
             low = fine <= best[row]
             row, entry = row[low], entry[low]
-        d = part[row] - entries[entry]
-        exact = np.einsum("ij,ij->i", d, d)
+        exact = np.zeros(len(row), np.int64)
+        for j in range(part.shape[1]):
+            d = columns[j][at : at + BLOCK][row] - fields[j][entry]
+            exact += d * d
         if seen is not None:
             seen.append(len(exact))
         low = np.minimum.reduceat(exact, np.flatnonzero(np.diff(row, prepend=-1)))  # each row keeps its nearest entry at least

@@ -8,8 +8,6 @@ are the quarantine. A return takes lines that weren't shipped too, so some retur
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +16,7 @@ from commerce_spark.operators import changes
 from commerce_spark.plans import lakehouse
 from commerce_spark.plans.graph import GRAPH
 from commerce_spark.plans.views import Tables
-from commerce_spark.sources.scratch import kept, shared
+from commerce_spark.sources.scratch import folder, kept
 
 CUTOFF = "2001-12-31"
 
@@ -184,7 +182,7 @@ def quarantine(t: Tables) -> DataFrame:
 def runs(t: Tables) -> DataFrame:
     """The log of the engine's runs, newest first: orders, invoices and returns come as a batch each; the returns are
     refused where more came back than was invoiced, and the log says so."""
-    engine = lakehouse.Lakehouse(t.spark, f"{shared(t.spark)}/scratch/lakehouse-{uuid.uuid4().hex}")
+    engine = lakehouse.Lakehouse(t.spark, folder(t.spark, "lakehouse"))
     engine.load_dimensions(dimensions(t))
     rows = kept(events(doc_pedidos(t)), "eventos")  # one scan for the three batches
     for entity in lakehouse.STATES:

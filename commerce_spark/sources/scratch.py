@@ -24,12 +24,19 @@ def shared(spark: SparkSession) -> str:
     return at.get().rstrip("/")
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder of this name, which goes when the driver ends."""
+    at = f"{shared(spark)}/scratch/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return at
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """df written once and read back as columns; the folder goes when the driver ends. An executor that is lost takes
     nothing with it."""
-    spark = df.sparkSession
-    at = f"{shared(spark)}/scratch/{name}-{uuid.uuid4().hex}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    at = f"{folder(df.sparkSession, name)}/rows"
     df.write.parquet(at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)

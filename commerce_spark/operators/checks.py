@@ -76,7 +76,7 @@ def checked(declared: list[Declared], tables: dict[str, DataFrame]) -> DataFrame
     return out
 
 
-#: What the first project's load asserts of its sales (the columns of `sources.generators.demonstration_sales`).
+#: What a load asserts of the demonstration sales (the columns of `sources.generators.demonstration_sales`).
 SALES = Declared("vendas", "entry", unique=(("entry",),), not_null=("entry",), holds={"quantity > 0": "quantity > 0", "price >= 0": "price >= 0"})
 
 #: What the portfolio's sources state of themselves, in the columns of `plans.views`.

@@ -32,17 +32,24 @@ def days(spark: SparkSession, first: str, last: str) -> DataFrame:
     )
 
 
+def spans_at_close(history: DataFrame, calendar: DataFrame) -> DataFrame:
+    """The history rows that are in force just before the end of some month of the calendar, with inicio and fim: the first
+    and the last such month. The calendar gives first and last month only."""
+    span = calendar.agg(F.min("competencia").alias("_first"), F.max("competencia").alias("_last"))
+    h = history.crossJoin(F.broadcast(span))
+    start = F.greatest(F.trunc("valid_from", "MM"), F.col("_first"))
+    end = F.least(F.coalesce(F.add_months(F.trunc("valid_to", "MM"), -1), F.col("_last")), F.col("_last"))
+    return h.where(start <= end).withColumn("inicio", start).withColumn("fim", end).drop("_first", "_last")
+
+
 def state_at_close(history: DataFrame, calendar: DataFrame) -> DataFrame:
     """The history row in force just before the end of each month of the calendar.
 
     Each version is exploded over the months it spans instead of compared with all months: the work is the
-    result's size. The calendar gives first and last month only.
+    result's size.
     """
-    span = calendar.agg(F.min("competencia").alias("_first"), F.max("competencia").alias("_last"))
-    h = history.crossJoin(F.broadcast(span))
-    start = F.greatest(F.trunc("valid_from", "MM"), F.col("_first"))
-    end = F.least(F.coalesce(F.add_months(F.trunc("valid_to", "MM"), -1), F.col("_last")), F.col("_last"))
-    return h.where(start <= end).withColumn("competencia", F.explode(F.sequence(start, end, F.expr("interval 1 month")))).drop("_first", "_last")
+    h = spans_at_close(history, calendar)
+    return h.withColumn("competencia", F.explode(F.sequence("inicio", "fim", F.expr("interval 1 month")))).drop("inicio", "fim")
 
 
 def overlaps(history: DataFrame, key: str, version: str) -> DataFrame:

@@ -5,7 +5,7 @@ The models say what they need (`graph`), so that a fact with several readers in
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from commerce_spark.functions.scalar import months_between, ratio, real
@@ -68,23 +68,55 @@ def item_facts(t: Tables) -> DataFrame:
     return _money(_items(t)).select("id_item", "id_pedido", "id_cliente", "id_vendedor", "competencia", "status", "id_produto", "quantidade", "valor_bruto", "valor_desconto", "valor_liquido", "receita")
 
 
-@GRAPH.model("comercial", "fato_pedidos", by=("competencia",), sort=("id_cliente",))
-def carteira_mensal(t: Tables, fact: DataFrame) -> DataFrame:
-    """Customer x month by state at close, with invoiced orders of this month and the last.
+@GRAPH.model("dm", "fato_pedidos", sort=("id_cliente",))
+def carteira_versoes(t: Tables, fact: DataFrame) -> DataFrame:
+    """One row a customer version that is in force at some close: its months from inicio to fim, the customer's rows in
+    the series before them (antes), and all the customer's months with invoiced orders (compras), each with its place in the
+    series (linha) and the revenue so far.
 
-    The series of a customer is dense, so last month is the row before; bought and earned amounts are one
-    aggregate of the facts, joined once.
+    The monthly rows are made from this (`_months`) where they are read: they are many times as many, and shuffling,
+    sorting or keeping them is what a task has no room for.
     """
-    own = fact.groupBy("id_cliente", "competencia").agg(F.count_if(F.col("status") == "faturado").alias("pedidos_mes"), F.sum("receita").cast(WIDE).alias("receita_mes"))
-    state = temporal.state_at_close(views.customer_history(t), views.months(t)).select("id_cliente", "chave_cliente", "id_vendedor", "regiao", "ativo", "competencia")
-    j = state.join(own, ["id_cliente", "competencia"], "left").withColumn("pedidos_mes", F.coalesce("pedidos_mes", F.lit(0)).cast("long")).withColumn("receita_mes", F.coalesce("receita_mes", F.lit(0)).cast(WIDE))
-    series = Window.partitionBy("id_cliente").orderBy("competencia")
+    own = fact.where("status = 'faturado' and competencia is not null").groupBy("id_cliente", "competencia").agg(F.count(F.lit(1)).alias("pedidos"), F.coalesce(F.sum("receita").cast(WIDE), F.lit(0).cast(WIDE)).alias("receita"))
+    own = own.groupBy("id_cliente").agg(F.collect_list(F.struct("competencia", "pedidos", "receita")).alias("_own"))  # a row a month at most
+    h = temporal.spans_at_close(views.customer_history(t), views.months(t)).select("id_cliente", "chave_cliente", "id_vendedor", "regiao", "ativo", "inicio", "fim")
     whole = Window.partitionBy("id_cliente")
-    bought = F.when(F.col("pedidos_mes") > 0, F.col("competencia"))
-    j = j.withColumn("pedidos_mes_anterior", F.coalesce(F.lag("pedidos_mes").over(series), F.lit(0)).cast("long")).withColumn("primeira_competencia", F.min(bought).over(whole))
+    earlier = whole.orderBy("inicio", "fim", "chave_cliente").rowsBetween(Window.unboundedPreceding, -1)
+    h = h.withColumn("antes", F.coalesce(F.sum(months_between(F.col("fim"), F.col("inicio")) + 1).over(earlier), F.lit(0)).cast("int"))
+    inside = F.filter("_own", lambda x: x["competencia"].between(F.col("inicio"), F.col("fim")))
+    placed = F.transform(inside, lambda x: F.struct((F.col("antes") + months_between(x["competencia"], F.col("inicio")) + 1).alias("linha"), x["competencia"].alias("competencia"), x["pedidos"].alias("pedidos"), x["receita"].alias("receita")))
+    v = h.join(own, "id_cliente", "left").withColumn("_mine", placed).withColumn("_all", F.array_sort(F.flatten(F.collect_list("_mine").over(whole)))).drop("_own", "_mine")
+    so_far = lambda x: F.aggregate(F.filter("_all", lambda y: y["linha"] <= x["linha"]), F.lit(0).cast(WIDE), lambda a, y: (a + y["receita"]).cast(WIDE))
+    v = v.withColumn("compras", F.transform("_all", lambda x: F.struct(*[x[c].alias(c) for c in ("linha", "competencia", "pedidos", "receita")], so_far(x).alias("acumulada"))))
+    return v.withColumn("primeira_competencia", F.array_min(F.transform("_all", lambda x: x["competencia"]))).drop("_all")
+
+
+def _months(versions: DataFrame) -> DataFrame:
+    """The months of each version, with their place in the customer's series (_linha) and its purchases by place (_por_linha)."""
+    by_place = F.map_from_entries(F.transform("compras", lambda x: F.struct(x["linha"], F.struct(x["pedidos"].alias("pedidos"), x["receita"].alias("receita")))))
+    e = versions.withColumn("_por_linha", by_place).select("*", F.posexplode(F.sequence("inicio", "fim", F.expr("interval 1 month"))).alias("_i", "competencia"))
+    return e.withColumn("_linha", F.col("antes") + F.col("_i") + 1)
+
+
+def _at(place: Column, name: str, kind: str) -> Column:
+    return F.coalesce(F.col("_por_linha")[place][name], F.lit(0)).cast(kind)
+
+
+def _dense(months: DataFrame, *more: str) -> DataFrame:
+    """The rows of the portfolio by `_months`, and `more` of its columns."""
+    j = months.withColumns({"pedidos_mes": _at(F.col("_linha"), "pedidos", "long"), "receita_mes": _at(F.col("_linha"), "receita", WIDE), "pedidos_mes_anterior": _at(F.col("_linha") - 1, "pedidos", "long")})
     now, before = F.col("pedidos_mes") > 0, F.col("pedidos_mes_anterior") > 0
-    state_ = F.when(~now, "sem_compra").when(F.col("primeira_competencia") == F.col("competencia"), "novo").when(before, "recorrente").otherwise("reativado")
-    return j.withColumn("situacao_compra", state_).withColumn("retido", now & before)
+    state = F.when(~now, "sem_compra").when(F.col("primeira_competencia") == F.col("competencia"), "novo").when(before, "recorrente").otherwise("reativado")
+    return j.select(
+        "id_cliente", "competencia", "chave_cliente", "id_vendedor", "regiao", "ativo", "pedidos_mes", "receita_mes", "pedidos_mes_anterior", "primeira_competencia", state.alias("situacao_compra"), (now & before).alias("retido"), *more
+    )
+
+
+@GRAPH.model("comercial", "carteira_versoes", by=("competencia",), sort=("id_cliente",))
+def carteira_mensal(t: Tables, versions: DataFrame) -> DataFrame:
+    """Customer x month by state at close, with invoiced orders of this month and the last: the row before in the customer's
+    series."""
+    return _dense(_months(versions))
 
 
 def _portfolio(t: Tables) -> DataFrame:
@@ -209,8 +241,11 @@ def covers_customers(t: Tables) -> DataFrame:
 
 
 def no_duplicates(t: Tables) -> DataFrame:
-    """K32."""
-    return _portfolio(t).groupBy("id_cliente", "competencia").agg(F.count(F.lit(1)).alias("n")).where("n <> 1").select("id_cliente", "competencia")
+    """Only customers with versions that meet can have a month twice, so only theirs become months and are counted."""
+    v = GRAPH.run(t, "carteira_versoes")[0]
+    ordered = Window.partitionBy("id_cliente").orderBy("inicio", "fim").rowsBetween(Window.unboundedPreceding, -1)
+    met = v.withColumn("_met", F.max("fim").over(ordered) >= F.col("inicio")).withColumn("_any", F.max("_met").over(Window.partitionBy("id_cliente"))).where("_any")
+    return _months(met).groupBy("id_cliente", "competencia").agg(F.count(F.lit(1)).alias("n")).where("n <> 1").select("id_cliente", "competencia")
 
 
 def dates_inside(t: Tables, first: str = FIRST_MONTH, end: str = "2001-01-01") -> DataFrame:

@@ -348,7 +348,11 @@ def moved_portfolio(t: Tables) -> DataFrame:
 
 def portfolio_inspection(t: Tables) -> DataFrame:
     """Rows, customers and revenue of the portfolio by month."""
-    return _money(_portfolio(t).groupBy("competencia").agg(F.count(F.lit(1)).alias("linhas"), F.count_distinct("id_cliente").alias("clientes"), F.sum("receita_mes").alias("receita")))
+    v = GRAPH.run(t, "carteira_versoes")[0]
+    ordered = Window.partitionBy("id_cliente").orderBy("inicio", "fim").rowsBetween(Window.unboundedPreceding, -1)
+    p = _dense(_months(v.withColumn("_seen", F.max("fim").over(ordered))), "_seen")
+    new = F.col("_seen").isNull() | (F.col("_seen") < F.col("competencia"))  # a month that no version before has: each customer counts once
+    return _money(p.groupBy("competencia").agg(F.count(F.lit(1)).alias("linhas"), F.count_if(new).alias("clientes"), F.sum("receita_mes").alias("receita")))
 
 
 def inspect_versions(t: Tables) -> DataFrame:

@@ -146,12 +146,14 @@ def seller_months(t: Tables) -> DataFrame:
     return _money(GRAPH.run(t, "carteira_vendedores")[0])
 
 
-@GRAPH.model("comercial", "carteira_mensal", by=("competencia",), sort=("id_cliente",))
-def comportamento(t: Tables, portfolio: DataFrame) -> DataFrame:
+@GRAPH.model("comercial", "carteira_versoes", by=("competencia",), sort=("id_cliente",))
+def comportamento(t: Tables, versions: DataFrame) -> DataFrame:
     """Trailing means, recency and one alert for each customer and month."""
-    series = Window.partitionBy("id_cliente").orderBy("competencia")
-    past, so_far = series.rowsBetween(-3, -1), series.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = portfolio.withColumn("_sum3", F.sum("receita_mes").over(past).cast(WIDE)).withColumn("meses_base", F.count(F.lit(1)).over(past)).withColumn("ultima_competencia_compra", F.max(F.when(F.col("pedidos_mes") > 0, F.col("competencia"))).over(so_far)).withColumn("receita_acumulada", F.sum("receita_mes").over(so_far).cast(WIDE))
+    place = F.col("_linha")
+    d = _dense(_months(versions), "_linha", "_por_linha", "compras")
+    before = sum((_at(place - k, "receita", WIDE) for k in (2, 3)), _at(place - 1, "receita", WIDE))
+    d = d.withColumn("_last", F.try_element_at(F.filter("compras", lambda x: x["linha"] <= place), F.lit(-1)))
+    d = d.withColumn("_sum3", F.when(place > 1, before.cast(WIDE))).withColumn("meses_base", F.least(place - 1, F.lit(3)).cast("long")).withColumn("ultima_competencia_compra", F.col("_last.competencia")).withColumn("receita_acumulada", F.coalesce(F.col("_last.acumulada"), F.lit(0)).cast(WIDE)).drop("_linha", "_por_linha", "compras", "_last")
     idle = months_between(F.col("competencia"), F.col("ultima_competencia_compra"))
     mean = F.round(F.try_divide(F.col("_sum3").cast("double"), F.col("meses_base").cast("double")), 6)
     alert = (
@@ -173,11 +175,11 @@ def behaviour(t: Tables) -> DataFrame:
 
 def cohorts(t: Tables) -> DataFrame:
     """Buyers of each first-purchase cohort by month."""
-    return _cohorts(_behaviour(t))
+    return _cohorts(_portfolio(t))
 
 
-def _cohorts(behaviour: DataFrame) -> DataFrame:
-    b = behaviour.where("competencia >= primeira_competencia")
+def _cohorts(portfolio: DataFrame) -> DataFrame:
+    b = portfolio.where("competencia >= primeira_competencia")
     g = b.groupBy(F.col("primeira_competencia").alias("coorte"), "competencia").agg(F.count(F.lit(1)).alias("clientes_coorte"), F.count_if(F.col("pedidos_mes") > 0).alias("compradores"), F.sum("receita_mes").alias("receita"))
     return _money(g.withColumn("idade_coorte_meses", months_between(F.col("competencia"), F.col("coorte"))).withColumn("taxa_compra", ratio(F.col("compradores"), F.col("clientes_coorte"))))
 
@@ -188,11 +190,14 @@ def revenue_concentration(t: Tables, tenths: int = 2) -> DataFrame:
 
 
 def _concentration(portfolio: DataFrame, tenths: int = 2) -> DataFrame:
-    own = portfolio.select("competencia", "id_cliente", "receita_mes")
-    p = ranks.running(own, "competencia", "receita_mes", "id_cliente")
-    top = F.sum(F.when((F.col("_pos") - 1) * 10 < F.col("_n") * tenths, F.col("receita_mes")))
+    """Customers of one revenue are one row with their number: most bought nothing, and which of equal ones comes first
+    changes no sum."""
+    own = portfolio.groupBy("competencia", "receita_mes").agg(F.count(F.lit(1)).alias("clientes"))
+    p = ranks.running(own, "competencia", "receita_mes", "clientes", copies="clientes")
+    first = F.least(F.col("clientes"), F.expr(f"(_n * {tenths} + 9) div 10") - F.col("_pos") + 1)  # how many of them are among the first tenths
+    top = F.sum(F.when(first > 0, F.col("receita_mes") * first))
     share = F.try_divide(F.col("receita_mes").cast("double"), F.col("_total").cast("double"))
-    return _money(p.groupBy("competencia").agg(F.max("_total").alias("receita_total"), F.max("_n").alias("clientes_carteira"), top.alias("receita_top_20pct"), ratio(top, F.max("_total")).alias("participacao_top_20pct"), F.round(F.sum(share * share), 6).alias("indice_concentracao")))
+    return _money(p.groupBy("competencia").agg(F.max("_total").alias("receita_total"), F.max("_n").alias("clientes_carteira"), top.cast(WIDE).alias("receita_top_20pct"), ratio(top, F.max("_total")).alias("participacao_top_20pct"), F.round(F.sum(share * share * F.col("clientes")), 6).alias("indice_concentracao")))
 
 
 def customer_versions(t: Tables) -> DataFrame:
@@ -264,11 +269,11 @@ def revenue_reconciles(t: Tables) -> DataFrame:
 
 def behaviour_in_range(t: Tables) -> DataFrame:
     """Indicators outside their ranges."""
-    found, again, p = GRAPH.run(t, "comportamento", "comportamento", "carteira_mensal")
-    b = found.where("meses_sem_compra < 0 or meses_base not between 0 and 3 or (meses_base < 3 and ativo and sinal_atencao <> 'historico_insuficiente')").select("id_cliente", "competencia")
+    v, again, third = GRAPH.run(t, *["carteira_versoes"] * 3)  # written once; months are made by each check
+    b = comportamento(t, v).where("meses_sem_compra < 0 or meses_base not between 0 and 3 or (meses_base < 3 and ativo and sinal_atencao <> 'historico_insuficiente')").select("id_cliente", "competencia")
     zero = F.lit(0).cast("long").alias("id_cliente")
-    c = _cohorts(again).where("taxa_compra not between 0 and 1 or compradores > clientes_coorte").select(zero, "competencia")
-    d = _concentration(p).where("participacao_top_20pct not between 0 and 1 or indice_concentracao not between 0 and 1").select(zero, "competencia")
+    c = _cohorts(carteira_mensal(t, again)).where("taxa_compra not between 0 and 1 or compradores > clientes_coorte").select(zero, "competencia")
+    d = _concentration(carteira_mensal(t, third)).where("participacao_top_20pct not between 0 and 1 or indice_concentracao not between 0 and 1").select(zero, "competencia")
     return b.unionByName(c).unionByName(d)
 
 

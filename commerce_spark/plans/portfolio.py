@@ -128,11 +128,12 @@ def monthly(t: Tables) -> DataFrame:
     return _portfolio(t).select("id_cliente", "chave_cliente", "id_vendedor", "regiao", "ativo", "competencia", "pedidos_mes", "pedidos_mes_anterior", "primeira_competencia", "situacao_compra", "retido")
 
 
-@GRAPH.model("comercial", "carteira_mensal", "fato_pedidos", by=("competencia",), sort=("id_vendedor",))
-def carteira_vendedores(t: Tables, portfolio: DataFrame, fact: DataFrame) -> DataFrame:
-    """Sellers' portfolios at close, with what they sold."""
+@GRAPH.model("comercial", "carteira_versoes", "fato_pedidos", by=("competencia",), sort=("id_vendedor",))
+def carteira_vendedores(t: Tables, versions: DataFrame, fact: DataFrame) -> DataFrame:
+    """Sellers' portfolios at close, with what they sold. Versions go to their sellers before they become months."""
     c = F.count_if
-    p = portfolio.groupBy("competencia", "id_vendedor").agg(
+    own = versions.select("id_cliente", "chave_cliente", "id_vendedor", "regiao", "ativo", "inicio", "fim", "antes", "compras", "primeira_competencia").repartition("id_vendedor")
+    p = _dense(_months(own)).groupBy("competencia", "id_vendedor").agg(
         F.count(F.lit(1)).alias("clientes_carteira"), c("ativo").alias("clientes_cadastro_ativo"), *[c(F.col("situacao_compra") == k).alias(n) for k, n in (("novo", "clientes_novos"), ("recorrente", "clientes_recorrentes"), ("reativado", "clientes_reativados"), ("sem_compra", "clientes_sem_compra"))],
         c("retido").alias("clientes_retidos"), c(F.col("pedidos_mes_anterior") > 0).alias("clientes_com_compra_anterior"),
     )

@@ -15,8 +15,8 @@ def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 
 def conflicts(df: DataFrame, keys: list[str], content: list[str]) -> DataFrame:
-    """Keys that come with more than one content."""
-    hashed = df.select(*keys, content_hash(*content).alias("_content"))
+    """Keys that come with more than one content, by its 64-bit hash: numbers are aggregated without a sort of texts."""
+    hashed = df.select(*keys, F.xxhash64(F.to_json(F.struct(*content))).alias("_content"))
     found = hashed.groupBy(*keys).agg(F.min("_content").alias("_a"), F.max("_content").alias("_b"))
     return found.where("_a <> _b").select(*keys)
 

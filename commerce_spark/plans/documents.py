@@ -12,16 +12,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from commerce_spark.functions.scalar import ratio, real
-from commerce_spark.operators import changes
 from commerce_spark.plans import lakehouse
 from commerce_spark.plans.graph import GRAPH
 from commerce_spark.plans.views import Tables
-from commerce_spark.sources.scratch import folder, kept
+from commerce_spark.sources.scratch import folder
 
 CUTOFF = "2001-12-31"
 
 
-@GRAPH.model("staging")
+@GRAPH.model("dm", sort=("o_orderkey",))
 def doc_pedidos(t: Tables) -> DataFrame:
     """Orders with what their lines ordered, shipped and took back."""
     q, shipped, back = F.col("l_quantity").cast("long"), F.col("l_linestatus") == "F", F.col("l_returnflag") == "R"
@@ -31,10 +30,11 @@ def doc_pedidos(t: Tables) -> DataFrame:
     return t.orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
 
 
-def events(orders: DataFrame) -> DataFrame:
-    """The events as text, in the columns of lakehouse.FIELDS: each order is exploded into its own, so orders are read once."""
+def events(orders: DataFrame, only: str | None = None) -> DataFrame:
+    """The events as text, in the columns of lakehouse.FIELDS: each order is exploded into its own, so orders are read once.
+    only: the events of one entity."""
 
-    def of(when: Column, entity: str, version: int, date: str, quantity: str, status: str) -> Column:
+    def of(when: Column, entity: str, version: int, date: str, quantity: str, status: str) -> tuple[str, Column]:
         order, key, day = entity == "pedido", F.col("o_orderkey").cast("string"), F.col(date)
         none = F.lit(None).cast("string")
         text = lambda c: F.col(c).cast("string") if order else none
@@ -43,14 +43,14 @@ def events(orders: DataFrame) -> DataFrame:
             "id_cliente": text("o_custkey"), "id_vendedor": text("seller"), "id_produto": text("product"), "id_referencia": none if order else key, "quantidade": F.col(quantity).cast("string"),
             "preco_unitario": F.col("o_totalprice").cast("decimal(12,2)").cast("string") if order else none, "data_documento": F.date_format(day, "yyyy-MM-dd"), "data_prevista": F.date_format(day + F.expr("interval 30 days"), "yyyy-MM-dd") if order else none, "status": F.lit(status),
         }
-        return F.when(when, F.struct(*[made[c].alias(c) for c in lakehouse.FIELDS]))
+        return entity, F.when(when, F.struct(*[made[c].alias(c) for c in lakehouse.FIELDS]))
 
     invoiced, returned = F.col("fq").isNotNull(), F.col("rq").isNotNull()
     each = [
         of(F.lit(True), "pedido", 1, "o_orderdate", "q", "aberto"), of(F.col("o_orderstatus") == "P", "pedido", 2, "o_orderdate", "q", "cancelado"), of(invoiced, "faturamento", 1, "fd", "fq", "faturado"),
         of(invoiced & (F.col("o_orderpriority") == "1-URGENT"), "faturamento", 2, "fd", "fq", "estornado"), of(returned, "devolucao", 1, "rd", "rq", "confirmada"),
     ]
-    return orders.select(F.inline(F.array_compact(F.array(*each))))
+    return orders.select(F.inline(F.array_compact(F.array(*[made for entity, made in each if only in (None, entity)]))))
 
 
 def dimensions(t: Tables) -> dict[str, DataFrame]:
@@ -61,9 +61,13 @@ def dimensions(t: Tables) -> dict[str, DataFrame]:
     }
 
 
-@GRAPH.model("comercial", "doc_pedidos")
-def eventos_avaliados(t: Tables, orders: DataFrame) -> DataFrame:
-    return lakehouse.evaluate(events(orders), dimensions(t))
+def _references(orders: DataFrame) -> DataFrame:
+    return orders.select(F.col("o_custkey").alias("cliente"), F.col("seller").alias("vendedor"), F.col("product").alias("produto"))
+
+
+@GRAPH.model("comercial", "doc_pedidos", "doc_pedidos")
+def eventos_avaliados(t: Tables, orders: DataFrame, again: DataFrame) -> DataFrame:
+    return lakehouse.evaluate(events(orders), dimensions(t), _references(again))
 
 
 @GRAPH.model("comercial", "eventos_avaliados")
@@ -173,10 +177,8 @@ def inconsistencies(t: Tables) -> DataFrame:
 
 def quarantine(t: Tables) -> DataFrame:
     """K57."""
-    evaluated, current, again, invoices, returns = _built(t, "eventos_avaliados", "eventos_correntes", "eventos_correntes", "faturas_resolvidas", "devolucoes_resolvidas")
-    columns = ["id_evento", "entidade", "chave", "revisao"]
-    solved = _of(again, "pedido").select("id_evento").unionByName(invoices.select("id_evento")).unionByName(returns.select("id_evento"))
-    return changes.quarantine(evaluated.select(*columns, "reason"), current.select(*columns), solved, "id_evento", "referencia_ausente_ou_data_incompativel").withColumnRenamed("reason", "motivo")
+    evaluated, current, orders, invoices = _built(t, "eventos_avaliados", "eventos_correntes", "eventos_correntes", "faturas_resolvidas")
+    return lakehouse.held(evaluated, (_of(current, "faturamento"), _of(orders, "pedido")), (_of(current, "devolucao"), invoices.where("status = 'faturado'")))
 
 
 def runs(t: Tables) -> DataFrame:
@@ -184,10 +186,10 @@ def runs(t: Tables) -> DataFrame:
     refused where more came back than was invoiced, and the log says so."""
     engine = lakehouse.Lakehouse(t.spark, folder(t.spark, "lakehouse"))
     engine.load_dimensions(dimensions(t))
-    rows = kept(events(doc_pedidos(t)), "eventos")  # one scan for the three batches
-    for entity in lakehouse.STATES:
+    rows = GRAPH.run(t, *["doc_pedidos"] * 3)  # one scan for the three batches: orders are fewer and narrower than their events
+    for entity, orders in zip(lakehouse.STATES, rows, strict=True):
         try:
-            engine.process(rows.where(F.col("entidade") == entity), CUTOFF, name=entity)
+            engine.process(events(orders, entity), CUTOFF, name=entity)
         except lakehouse.Refused:
             continue
     return engine.runs().select(F.col("arquivo").alias("lote"), "data_corte", "status", "eventos_bronze", "quarentena", "erro")

@@ -38,5 +38,5 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     """df written once and read back as columns; the folder goes when the driver ends. An executor that is lost takes
     nothing with it."""
     at = f"{folder(df.sparkSession, name)}/rows"
-    df.write.parquet(at)
+    df.write.option("compression", "zstd").parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)

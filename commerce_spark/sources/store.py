@@ -149,7 +149,7 @@ class Store:
             rows = rows.sortWithinPartitions(*layout.names, *layout.sort)
         root = f"{name}/{COMMIT}={uuid.uuid4().hex}"
         writer = rows.write.partitionBy(*layout.names) if layout.by else rows.write
-        writer.parquet(f"{self.folder}/{root}")
+        writer.option("compression", "zstd").parquet(f"{self.folder}/{root}")
         if counted is not None:
             counted[name] = (observed(seen) or {"rows": 0})["rows"]
         parts: dict[str, list[str]] = {}
